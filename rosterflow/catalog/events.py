@@ -165,8 +165,8 @@ ORACLES = {
       from v_events""", v_events=V.EVENTS),
     "event_publish_json": V.oracle("""
       select event_type as key, '{"eventId":"' || event_id || '","eventType":"' || event_type || '","eventTime":"'
-        || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","source":"checkin-service","traceId":"t","version":"1.0","payload":"{'
-        || '\\"studentId\\":\\"' || student_id || '\\"}","retryCount":' || cast(retry_count as string) || '}' as value,
+        || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","source":"checkin-service","traceId":"t","version":"1.0","payload":{"studentId":"'
+        || student_id || '"},"retryCount":' || cast(retry_count as string) || '}' as value,
         'message-id=' || event_id || ';x-retry-count=' || cast(retry_count as string) as headers
       from v_events""", v_events=V.EVENTS),
     "event_dedupe": V.oracle("""

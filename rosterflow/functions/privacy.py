@@ -149,14 +149,13 @@ def mask_placeholders(col: Column) -> Column:
 
 def placeholder_matches(col: Column) -> Column:
     """Array of (rule, original, placeholder) found while the rules are applied one after the other."""
+    def tagged(hits: Column, rule: int, placeholder: str) -> Column:
+        return F.transform(hits, lambda hit: F.struct(
+            F.lit(rule).alias("rule"), hit.alias("original"), F.lit(placeholder).alias("placeholder")))
+
     found = []
     for rule, (placeholder, pattern) in enumerate(PLACEHOLDER_RULES):
-        hits = F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
-        found.append(F.transform(
-            hits,
-            lambda hit, rule=rule, placeholder=placeholder: F.struct(
-                F.lit(rule).alias("rule"), hit.alias("original"), F.lit(placeholder).alias("placeholder")),
-        ))
+        found.append(tagged(F.regexp_extract_all(col, F.lit(pattern), F.lit(0)), rule, placeholder))
         col = F.regexp_replace(col, pattern, placeholder)
     return F.concat(*found)
 

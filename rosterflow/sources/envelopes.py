@@ -60,13 +60,14 @@ def payload_of(event_type: str, payload: str = "payload") -> Column:
 def publish_rows(envelopes: DataFrame) -> DataFrame:
     """Key, value and headers of messages, in the shape the Kafka writer takes.
 
-    The routing key is the event type; the retry count travels as a header.
+    The routing key is the event type; the JSON payload stays a nested object; the
+    retry count travels as a header.
     """
     at = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     body = F.to_json(F.struct(
         F.col("event_id").alias("eventId"), F.col("event_type").alias("eventType"), at.alias("eventTime"),
-        F.col("source"), F.col("trace_id").alias("traceId"), F.col("version"), F.col("payload"),
-        F.col("retry_count").alias("retryCount")))
+        F.col("source"), F.col("trace_id").alias("traceId"), F.col("version"),
+        F.try_parse_json("payload").alias("payload"), F.col("retry_count").alias("retryCount")))
 
     def header(name: str, value: Column) -> Column:
         return F.struct(F.lit(name).alias("key"), F.encode(value.cast("string"), "utf-8").alias("value"))
