@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from rosterflow import constants as C
 from rosterflow.catalog import views as V
@@ -14,6 +15,9 @@ from rosterflow.session import shared_dir
 from rosterflow.sources import knowledge
 
 
+_INDEX_TABLES: dict[tuple[str, str], str] = {}
+
+
 def sections(spark, sf):
     return V.view(spark, sf, V.CHUNKS)
 
@@ -22,6 +26,18 @@ def chunks(spark, sf):
     return knowledge.ingest(sections(spark, sf), "n")
 
 
+def indexed(spark, sf):
+    """The chunk index, built and stored once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEX_TABLES:
+        name = f"chunk_index_{uuid.uuid4().hex}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        knowledge.store_index(
+            knowledge.index_chunks(chunks(spark, sf)), name, shared_dir(spark, "chunk-index"), buckets)
+        _INDEX_TABLES[key] = name
+    return spark.table(_INDEX_TABLES[key])
+
+
 def questions(spark, sf):
     return V.view(spark, sf, V.QUESTIONS)
 
@@ -74,10 +90,9 @@ def material_list(spark, sf):
 
 
 def term_stats(spark, sf):
-    rows = chunks(spark, sf)
+    rows = indexed(spark, sf)
     total = retrieval.corpus_stats(rows).select("n_chunks").scalar()
-    idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return retrieval.term_stats(rows).withColumn("idf", F.round(idf, 6))
+    return retrieval.term_stats(rows).withColumn("idf", F.round(retrieval.idf(F.col("df"), total), 6))
 
 
 def bigram_overlap(spark, sf):
@@ -90,12 +105,12 @@ def bigram_overlap(spark, sf):
 
 
 def bm25_scores(spark, sf):
-    return retrieval.bm25_scores(questions(spark, sf), chunks(spark, sf)).select(
-        "question_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "zero_chunks")
+    return retrieval.bm25_scores(questions(spark, sf), indexed(spark, sf)).select(
+        "question_id", "chunk_no", F.round("bm25", 6).alias("bm25"), "zero_chunks")
 
 
 def _found(spark, sf, k=C.TOP_K, category=None):
-    return retrieval.retrieve(questions(spark, sf).select("question_id", "question"), chunks(spark, sf), k, category)
+    return retrieval.retrieve(questions(spark, sf).select("question_id", "question"), indexed(spark, sf), k, category)
 
 
 def hybrid_topk(spark, sf):
@@ -115,7 +130,7 @@ def retrieval_confidence(spark, sf):
 
 def faq_fallback(spark, sf):
     asked = questions(spark, sf).select("question_id", "question")
-    return retrieval.faq_fallback(asked, chunks(spark, sf)).select(
+    return retrieval.faq_fallback(asked, indexed(spark, sf)).select(
         "question_id", "hit", "reply", F.round("score", 6).alias("score"))
 
 
@@ -141,7 +156,7 @@ QUERIES = {fn.__name__: fn for fn in (
     frequent_questions)}
 
 CHUNK_ROWS = """
-select *, doc_id || '-c' || cast(row_number() over (order by n) as string) as chunk_id,
+select *, row_number() over (order by n) as chunk_no, doc_id || '-c' || cast(row_number() over (order by n) as string) as chunk_id,
   case when section = '' then content else section || ' ' || content end as searchable from v_chunks
 """
 _TOK = TOKENS_SQL.format
@@ -155,27 +170,27 @@ def grams_sql(col):
 
 
 def scoring_ctes(name: str, candidates: str, asked: str = "select question_id, question from v_questions") -> dict[str, str]:
-    """CTEs ``<name>_scores`` (question_id, chunk_id, bm25, score) over the rows of ``candidates``."""
+    """CTEs ``<name>_scores`` (question_id, chunk_no, bm25, score) over the rows of ``candidates``."""
     p = name
     return {
         f"{p}_asked": asked,
-        f"{p}_chunks": f"select chunk_id, len({_TOK('content')}) as content_len, {_TOK('searchable')} as toks, {grams_sql('searchable')} as grams from ({candidates}) c",
+        f"{p}_chunks": f"select chunk_no, len({_TOK('content')}) as content_len, {_TOK('searchable')} as toks, {grams_sql('searchable')} as grams from ({candidates}) c",
         f"{p}_totals": f"select count(*) as n, avg(content_len) as avg_len from {p}_chunks",
-        f"{p}_tf": f"select chunk_id, term, dl, count(*) as tf from (select chunk_id, unnest(toks) as term, len(toks) as dl from {p}_chunks) t group by all",
+        f"{p}_tf": f"select chunk_no, term, dl, count(*) as tf from (select chunk_no, unnest(toks) as term, len(toks) as dl from {p}_chunks) t group by all",
         f"{p}_df": f"select term, count(*) as df from {p}_tf group by term",
         f"{p}_qt": f"select question_id, unnest({_TOK('question')}) as term from {p}_asked",
-        f"{p}_bm25": f"""select question_id, chunk_id, sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5
+        f"{p}_bm25": f"""select question_id, chunk_no, sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5
             / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))) as bm25
           from {p}_qt join {p}_tf using (term) join {p}_df using (term) cross join {p}_totals group by all""",
         f"{p}_qg": f"select question_id, g, unnest(g) as gram from (select question_id, {grams_sql('question')} as g from {p}_asked) t",
-        f"{p}_cg": f"select chunk_id, len(grams) as n_chunk, unnest(grams) as gram from {p}_chunks",
-        f"{p}_overlap": f"""select question_id, chunk_id, count(*) / least(max(len(g)), max(n_chunk)) as overlap
-          from {p}_qg join {p}_cg using (gram) group by question_id, chunk_id""",
+        f"{p}_cg": f"select chunk_no, len(grams) as n_chunk, unnest(grams) as gram from {p}_chunks",
+        f"{p}_overlap": f"""select question_id, chunk_no, count(*) / least(max(len(g)), max(n_chunk)) as overlap
+          from {p}_qg join {p}_cg using (gram) group by question_id, chunk_no""",
         f"{p}_best": f"select question_id, max(bm25) as best from {p}_bm25 group by 1",
-        f"{p}_scores": f"""select question_id, chunk_id, coalesce(bm25, 0) as bm25,
+        f"{p}_scores": f"""select question_id, chunk_no, coalesce(bm25, 0) as bm25,
             0.7::double * coalesce(overlap, 0) + 0.3::double * coalesce(case when best > 0 then bm25 / best end, 0) as score
-          from {p}_overlap full join {p}_bm25 using (question_id, chunk_id) left join {p}_best using (question_id)""",
-        f"{p}_ranked": f"""select *, row_number() over (partition by question_id order by round(score, 9) desc, chunk_id) as rank
+          from {p}_overlap full join {p}_bm25 using (question_id, chunk_no) left join {p}_best using (question_id)""",
+        f"{p}_ranked": f"""select *, row_number() over (partition by question_id order by round(score, 9) desc, chunk_no) as rank
           from {p}_scores where score > 0""",
     }
 
@@ -213,14 +228,14 @@ ORACLES = {
         round(case when least(len(a.g), len(b.g)) > 0 then len(list_intersect(a.g, b.g)) / least(len(a.g), len(b.g)) else 0 end, 6) as overlap
       from g a join g b on b.conv_id = a.conv_id and b.turn = a.turn + 1""",
     "bm25_scores": V.oracle("""
-      select question_id, chunk_id, round(bm25, 6) as bm25, n - count(*) over (partition by question_id) as zero_chunks
+      select question_id, chunk_no, round(bm25, 6) as bm25, n - count(*) over (partition by question_id) as zero_chunks
       from s_bm25 cross join s_totals""", **BASE, **{k: v for k, v in _ALL.items() if k in
                      ("s_asked", "s_chunks", "s_totals", "s_tf", "s_df", "s_qt", "s_bm25")}),
     "hybrid_topk": V.oracle("""
       select question_id, cast(rank as int) as rank, chunk_id, category, section, round(score, 6) as score
-      from s_ranked join chunk_rows using (chunk_id) where rank <= 5""", **BASE, **_ALL),
+      from s_ranked join chunk_rows using (chunk_no) where rank <= 5""", **BASE, **_ALL),
     "hybrid_topk_poi": V.oracle("""
-      select question_id, cast(rank as int) as rank, chunk_id, round(score, 6) as score from p_ranked where rank <= 3""", **BASE, **_POI),
+      select question_id, cast(rank as int) as rank, chunk_id, round(score, 6) as score from p_ranked join chunk_rows using (chunk_no) where rank <= 3""", **BASE, **_POI),
     "retrieval_confidence": V.oracle("""
       select question_id, round(max(score), 6) as top_score, coalesce(max(score), 0) < 0.6 as low_confidence
       from v_questions left join s_scores using (question_id) group by 1""", **BASE, **_ALL),
@@ -228,7 +243,7 @@ ORACLES = {
       select question_id, coalesce(score >= 0.5, false) as hit,
         case when score >= 0.5 then {_SNIPPET} else '{C.FAQ_FALLBACK_REPLY}' end as reply,
         case when score >= 0.5 then round(score, 6) else 0 end as score
-      from v_questions left join (select * from f_ranked where rank = 1) r using (question_id) left join chunk_rows using (chunk_id)""",
+      from v_questions left join (select * from f_ranked where rank = 1) r using (question_id) left join chunk_rows using (chunk_no)""",
         **BASE, **_FAQ),
     "conversation_context": """
       select conv_id as session_id, cast(count(*) as int) as messages, string_agg(role || ': ' || text, chr(10) order by turn) as history

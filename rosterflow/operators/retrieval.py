@@ -1,11 +1,13 @@
 """Hybrid text retrieval: BM25, bigram overlap, fused score, top-K.
 
-The reference scores every question against every chunk.  Here the chunk text is
-hash-partitioned by chunk once; all features of a chunk are then in one task, so
-feature counting, the match against the question features and the sums per
-(chunk, question) run without another shuffle.  A term that occurs in every
-chunk is never grouped into one task, and each task hands over at most K rows
-per question.
+The reference scores every question against every chunk.  Here the chunks carry
+an index (term counts and bigrams, see ``sources.knowledge``) bucketed by chunk,
+so all features of a chunk are in one task: they are looked up in the posting
+lists of the questions and summed per (chunk, question) without a shuffle.  A
+term that occurs in every chunk is never grouped into one task, and each task
+hands over at most K rows per question.
+
+``chunks`` below always means the indexed table.
 """
 
 from __future__ import annotations
@@ -20,88 +22,88 @@ from rosterflow.functions import text
 _TERM, _GRAM = 0, 1
 # Scores that differ only by the order of summation must tie.
 RANK_DIGITS = 9
-
-
-def _searchable() -> Column:
-    return text.searchable_text(F.col("section"), F.col("content"))
-
-
-def _tagged(values: Column, kind: int) -> Column:
-    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("feature")))
+# Questions per posting list (on average).
+POSTING_LENGTH = 1000
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: number of chunks and mean number of content tokens (1 when there are none)."""
-    mean = F.avg(F.size(text.tokenize(F.col("content"))))
+    mean = F.avg("content_len")
     return chunks.agg(
         F.count(F.lit(1)).alias("n_chunks"),
         F.when(mean > 0, mean).otherwise(F.lit(1.0)).alias("avg_len"))
 
 
 def term_stats(chunks: DataFrame) -> DataFrame:
-    """Chunks containing each term, and its occurrences, in one pass with map-side counts."""
-    tokens = text.tokenize(_searchable())
-    both = F.concat(_tagged(tokens, 0), _tagged(F.array_distinct(tokens), 1))
-    return chunks.select(F.explode(both).alias("t")).groupBy(F.col("t.feature").alias("term")).agg(
-        F.count_if(F.col("t.kind") == 1).alias("df"), F.count_if(F.col("t.kind") == 0).alias("occurrences"))
+    """Chunks containing each term, and its occurrences, with map-side counts."""
+    return chunks.select(F.explode("terms").alias("t")).groupBy(F.col("t.feature").alias("term")).agg(
+        F.count(F.lit(1)).alias("df"), F.sum("t.tf").alias("occurrences"))
 
 
-def _question_terms(questions: DataFrame) -> DataFrame:
-    terms = F.explode(text.tokenize(F.col("question")))
-    return questions.select("question_id", terms.alias("feature")).groupBy("question_id", "feature").agg(
-        F.count(F.lit(1)).alias("times"))
+def idf(df: Column, total: Column) -> Column:
+    return F.log(1 + (total - df + 0.5) / (df + 0.5))
 
 
 def _term_weights(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(question, term, weight): idf times the occurrences in the question."""
-    terms = _question_terms(questions)
-    vocabulary = terms.select("feature").distinct()
-    tokens = F.explode(F.array_distinct(text.tokenize(_searchable())))
+    terms = (
+        questions.select("question_id", F.explode(text.tokenize(F.col("question"))).alias("feature"))
+        .groupBy("question_id", "feature").agg(F.count(F.lit(1)).alias("times"))
+    )
     df = (
-        chunks.select(tokens.alias("feature")).join(vocabulary, "feature", "left_semi")
+        chunks.select(F.explode("terms.feature").alias("feature"))
+        .join(terms.select("feature").distinct(), "feature", "left_semi")
         .groupBy("feature").agg(F.count(F.lit(1)).alias("df"))
     )
     total = corpus_stats(chunks).select("n_chunks").scalar()
-    idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return terms.join(df, "feature").select(
-        "question_id", F.lit(_TERM).alias("kind"), "feature", (idf * F.col("times")).alias("weight"),
-        F.lit(None).cast("int").alias("n_question"))
+        "question_id", F.lit(_TERM).alias("kind"), "feature",
+        (idf(F.col("df"), total) * F.col("times")).alias("weight"), F.lit(0).alias("n_question"))
 
 
 def _question_grams(questions: DataFrame) -> DataFrame:
     grams = questions.select("question_id", text.bigrams(F.col("question")).alias("g"))
     return grams.select(
         "question_id", F.lit(_GRAM).alias("kind"), F.explode("g").alias("feature"),
-        F.lit(None).cast("double").alias("weight"), F.size("g").alias("n_question"))
+        F.lit(0.0).alias("weight"), F.size("g").alias("n_question"))
 
 
 def _pairs(chunks: DataFrame, wanted: DataFrame, grams: bool) -> DataFrame:
-    """(question, chunk, bm25, overlap) for pairs that share at least one feature."""
-    local = chunks.select("chunk_id", "section", "content").repartition("chunk_id")
-    tokens = text.tokenize(_searchable())
-    shape = local.select("chunk_id", tokens.alias("t"), (
-        text.bigrams(_searchable()) if grams else F.array().cast("array<string>")).alias("g"))
-    features = F.concat(_tagged(F.col("t"), _TERM), _tagged(F.col("g"), _GRAM)) if grams else _tagged(
-        F.col("t"), _TERM)
-    rows = shape.select(
-        "chunk_id", F.size("t").alias("dl"), F.size("g").alias("n_chunk"), F.explode(features).alias("f")
-    ).select("chunk_id", "dl", "n_chunk", "f.*")
-    counted = (
-        rows.join(wanted.select("kind", "feature").distinct(), ["kind", "feature"], "left_semi")
-        .groupBy("chunk_id", "dl", "n_chunk", "kind", "feature").agg(F.count(F.lit(1)).alias("tf"))
-    )
+    """(question, chunk, bm25, overlap) for pairs that share at least one feature.
+
+    ``wanted`` becomes one posting list per feature, so a chunk looks every
+    feature up once per slice.  A list holds the questions of one slice only, so
+    that a feature shared by all questions is no unbounded group.
+    """
+    slices = wanted.agg(F.ceil(F.count_distinct("question_id") / POSTING_LENGTH).alias("n")).select("n").scalar()
+    postings = wanted.withColumn(
+        "slice", F.pmod(F.xxhash64("question_id"), F.greatest(slices, F.lit(1)))
+    ).groupBy("kind", "feature", "slice").agg(
+        F.collect_list(F.struct("question_id", "weight", "n_question")).alias("postings"))
+
+    def tagged(kind: int, values: Column, feature, tf) -> Column:
+        return F.transform(values, lambda v: F.struct(
+            F.lit(kind).alias("kind"), feature(v).alias("feature"), tf(v).alias("tf")))
+
+    features = tagged(_TERM, F.col("terms"), lambda v: v["feature"], lambda v: v["tf"])
+    if grams:
+        features = F.concat(features, tagged(_GRAM, F.col("grams"), lambda v: v, lambda v: F.lit(0)))
+    size = F.size("grams") if grams else F.lit(0)
+    rows = chunks.select(
+        "chunk_no", "dl", size.alias("n_chunk"), F.explode(features).alias("f")
+    ).select("chunk_no", "dl", "n_chunk", "f.*")
     avg_len = corpus_stats(chunks).select("avg_len").scalar()
     tf = F.col("tf")
     saturated = tf * (C.BM25_K1 + 1) / (
         tf + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / avg_len))
-    is_term = F.col("kind") == _TERM
-    return (
-        counted.join(wanted, ["kind", "feature"])
-        .groupBy("chunk_id", "question_id").agg(
-            F.coalesce(F.sum(F.when(is_term, F.col("weight") * saturated)), F.lit(0.0)).alias("bm25"),
-            F.coalesce(F.count_if(~is_term) / F.max(F.when(
-                ~is_term, F.least("n_question", "n_chunk"))), F.lit(0.0)).alias("overlap"))
-    )
+    hits = rows.join(postings, ["kind", "feature"]).select(
+        "chunk_no", "n_chunk", "kind",
+        F.when(F.col("kind") == _TERM, saturated).otherwise(F.lit(0.0)).alias("saturated"),
+        F.explode("postings").alias("p")).select("*", "p.*")
+    smaller = F.max(F.least("n_question", "n_chunk"))
+    return hits.groupBy("chunk_no", "question_id").agg(
+        F.sum(F.col("weight") * F.col("saturated")).alias("bm25"),
+        F.when(smaller > 0, F.count_if(F.col("kind") == _GRAM) / smaller).otherwise(F.lit(0.0)).alias("overlap"))
 
 
 def bm25_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -109,7 +111,7 @@ def bm25_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     pairs = _pairs(chunks, _term_weights(questions, chunks), grams=False).drop("overlap")
     total = corpus_stats(chunks).select("n_chunks").scalar()
     matched = pairs.groupBy("question_id").agg((total - F.count(F.lit(1))).alias("zero_chunks"))
-    return pairs.join(matched, "question_id").orderBy("question_id", F.col("bm25").desc(), "chunk_id")
+    return pairs.join(matched, "question_id").orderBy("question_id", F.col("bm25").desc(), "chunk_no")
 
 
 def hybrid_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -121,7 +123,7 @@ def hybrid_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     relative = F.when(F.col("best") > 0, F.col("bm25") / F.col("best")).otherwise(F.lit(0.0))
     score = C.VECTOR_WEIGHT * F.col("overlap") + C.BM25_WEIGHT * relative
     return pairs.join(best, "question_id", "left").withColumn("score", score).select(
-        "question_id", "chunk_id", "bm25", "overlap", "score").filter(F.col("score") > 0)
+        "question_id", "chunk_no", "bm25", "overlap", "score").filter(F.col("score") > 0)
 
 
 def retrieve(
@@ -133,15 +135,14 @@ def retrieve(
     those of the candidates.
     """
     candidates = chunks if category is None else chunks.filter(F.col("category") == category)
-    scored = hybrid_scores(questions, candidates).select("question_id", "chunk_id", "score")
+    scored = hybrid_scores(questions, candidates).select("question_id", "chunk_no", "score")
     ranking = W.partitionBy("question_id").orderBy(
-        F.round("score", RANK_DIGITS).desc(), F.col("chunk_id"))
+        F.round("score", RANK_DIGITS).desc(), F.col("chunk_no"))
     ranked = scored.withColumn("rank", F.row_number().over(ranking))
     if k > 0:
         ranked = ranked.filter(F.col("rank") <= k)
-    shown = candidates.select(
-        "chunk_id", "doc_id", "category", "title", "section", "content")
-    return ranked.join(shown, "chunk_id").withColumn("snippet", text.snippet(F.col("content"))).drop("content")
+    shown = candidates.select("chunk_no", "chunk_id", "doc_id", "category", "title", "section", "content")
+    return ranked.join(shown, "chunk_no").withColumn("snippet", text.snippet(F.col("content"))).drop("content")
 
 
 def confidence(questions: DataFrame, sources: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rosterflow.functions import text
 from rosterflow.operators import blocks
 from rosterflow.operators.joins import keep_first
 
@@ -12,12 +13,13 @@ from rosterflow.operators.joins import keep_first
 def ingest(sections: DataFrame, seq: str, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """Chunks with ids ``<doc_id>-c<number>``, numbered over the whole load by ``seq``.
 
-    Numbers come from per-block counts; no task sees more than one block.
+    Only the sequence column is numbered, from per-block counts; the texts are
+    joined back by ``seq`` and so spread over all tasks.
     """
-    numbered = blocks.running_count(
-        sections, [], [F.col(seq)], blocks.by_sequence(seq, block_rows), "chunk_no")
+    numbers = blocks.running_count(
+        sections.select(seq), [], [F.col(seq)], blocks.by_sequence(seq, block_rows), "chunk_no")
     chunk_id = F.concat(F.col("doc_id"), F.lit("-c"), F.col("chunk_no").cast("string"))
-    return numbered.withColumn("chunk_id", chunk_id)
+    return sections.join(numbers, seq).withColumn("chunk_id", chunk_id)
 
 
 def document_metadata(sections: DataFrame, seq: str) -> DataFrame:
@@ -26,6 +28,39 @@ def document_metadata(sections: DataFrame, seq: str) -> DataFrame:
     return first.drop(seq)
 
 
+def index_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks with everything retrieval reads: term counts, bigrams and lengths.
+
+    The text is shuffled once by chunk and tokenised once; term counts and the
+    join back stay within that partitioning.
+    """
+    local = chunks.repartition("chunk_no")
+    searchable = text.searchable_text(F.col("section"), F.col("content"))
+    counts = (
+        local.select("chunk_no", F.explode(text.tokenize(searchable)).alias("feature"))
+        .groupBy("chunk_no", "feature").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        .groupBy("chunk_no").agg(
+            F.collect_list(F.struct("feature", "tf")).alias("terms"), F.sum("tf").cast("int").alias("dl"))
+    )
+    shaped = local.withColumns({
+        "grams": text.bigrams(searchable),
+        "content_len": F.size(text.tokenize(F.col("content"))),
+    })
+    return shaped.join(counts, "chunk_no", "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
+
+
+def store_index(index: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """Index as a table partitioned by category and bucketed by chunk.
+
+    A category filter then prunes files, and aggregating by chunk needs no shuffle.
+    """
+    (
+        index.repartition(buckets, "chunk_no").write.mode("overwrite").option("path", path)
+        .partitionBy("category").bucketBy(buckets, "chunk_no").saveAsTable(name)
+    )
+    return index.sparkSession.table(name)
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Chunk table partitioned by category, so that a category filter prunes files."""
     chunks.write.mode("overwrite").partitionBy("category").parquet(path)
