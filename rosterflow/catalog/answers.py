@@ -1,2 +1,159 @@
-QUERIES = {}
-ORACLES = {}
+"""Intent, reply, prompt and answer queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rosterflow import constants as C
+from rosterflow.catalog import retrieval as R
+from rosterflow.catalog import views as V
+from rosterflow.catalog.privacy import SNIPPET_SQL, _REFUSAL, _placeholder_sql, safety_sql
+from rosterflow.functions import dialogue
+from rosterflow.operators import dialogue as turns_ops
+from rosterflow.plans import answering
+
+
+def intent_detect(spark, sf):
+    typed = V.view(spark, sf, V.MESSAGES).select(
+        F.concat(F.lit("m"), "message_id").alias("id"), "message", F.lit("").alias("title"), F.lit("").alias("section"))
+    sections = R.sections(spark, sf).select(
+        F.concat(F.lit("c"), "n").alias("id"), F.col("content").alias("message"), "title", "section")
+    marker = dialogue.detect_intent(F.col("message"), F.col("title"), F.col("section"))
+    return typed.unionByName(sections).select("id", marker.alias("marker"))
+
+
+def _marked_replies(spark, sf):
+    tail = F.when(F.col("message").contains("学费"), "去这里 [[STEP: payment ]]\n").when(
+        F.col("message").contains("图书馆"), "[[POI:中心图书馆]] 和 [[POI:第一食堂]]").otherwise("[[OTHER:x]] ")
+    return V.view(spark, sf, V.MESSAGES).select("message_id", F.concat(F.lit("  "), F.col("message"), tail).alias("reply"))
+
+
+def intent_extract(spark, sf):
+    found = _marked_replies(spark, sf).select(
+        "message_id", dialogue.strip_intents(F.col("reply")).alias("shown"),
+        F.posexplode_outer(dialogue.extract_intents(F.col("reply"))).alias("i", "intent"))
+    return found.select("message_id", "shown", "i", "intent.type", "intent.target")
+
+
+def intent_tools(spark, sf):
+    tools = dialogue.intent_tools(dialogue.extract_intents(F.col("reply")))
+    return _marked_replies(spark, sf).select("message_id", F.posexplode(tools).alias("i", "t")).select(
+        "message_id", "i", "t.tool", "t.target", "t.display_text")
+
+
+def _history(spark, sf):
+    return turns_ops.recent_history(R.turns(spark, sf), rounds=2).withColumnRenamed("session_id", "question_id")
+
+
+def extractive_reply(spark, sf):
+    asked = answering.with_sources(R.questions(spark, sf), R.indexed(spark, sf))
+    return answering.extractive(asked).select("question_id", "raw_reply")
+
+
+def prompt_build(spark, sf):
+    asked = answering.with_sources(R.questions(spark, sf), R.indexed(spark, sf))
+    return answering.with_prompt(asked, _history(spark, sf)).select("question_id", "prompt")
+
+
+def qa_outcomes(spark, sf):
+    done = answering.answer(R.questions(spark, sf), R.indexed(spark, sf), _history(spark, sf))
+    listed = F.transform("intents", lambda i: F.concat(i["type"], F.lit(":"), i["target"]))
+    return done.select(
+        "question_id", "mode", "violation", "reply", F.array_join(listed, ",").alias("intents"),
+        "prompt_tokens", "completion_tokens", "transfer_to_human", "low_confidence",
+        F.col("label.label_type").alias("label_type"), F.col("label.degraded").alias("degraded"))
+
+
+QUERIES = {fn.__name__: fn for fn in (
+    intent_detect, intent_extract, intent_tools, extractive_reply, prompt_build, qa_outcomes)}
+
+
+def _contains_sql(col, words):
+    return " or ".join(f"contains({col}, '{w}')" for w in words) or "false"
+
+
+def _intent_sql(question, title, section):
+    whens = []
+    for words, section_words, title_words, marker in C.INTENT_RULES:
+        fits = " or ".join(f"({x})" for x in (
+            _contains_sql(f"lower({question})", words), _contains_sql(section, section_words), _contains_sql(title, title_words)))
+        value = f"'{marker}'" if marker else f"'[[POI:' || {section} || ']]'"
+        whens.append(f"when {fits} then {value}")
+    return "case " + " ".join(whens) + " end"
+
+
+_MARKED = """
+select message_id, '  ' || message || case when contains(message, '学费') then '去这里 [[STEP: payment ]]' || chr(10)
+  when contains(message, '图书馆') then '[[POI:中心图书馆]] 和 [[POI:第一食堂]]' else '[[OTHER:x]] ' end as reply from v_messages
+"""
+_SHOWN = r"regexp_replace(regexp_replace(reply, '\[\[(STEP|POI):([^\]]+)\]\]', '', 'g'), '^\s+|\s+$', '', 'g')"
+_LISTED = r"""
+select message_id, reply, generate_subscripts(k, 1) as pos, unnest(k) as type, trim(unnest(t)) as target from (
+  select message_id, reply, regexp_extract_all(reply, '\[\[(STEP|POI):([^\]]+)\]\]', 1) as k,
+    regexp_extract_all(reply, '\[\[(STEP|POI):([^\]]+)\]\]', 2) as t from marked) x
+"""
+_MASKED = f"select *, {_placeholder_sql('question')} as masked_question from v_questions"
+_FOUND = f"""
+select question_id, rank, score, title, section, {SNIPPET_SQL.format('content')} as snippet
+from s_ranked join chunk_rows using (chunk_no) where rank <= 5
+"""
+_REPLIES = f"""
+select q.question_id, case when t.question_id is null then '{C.NO_SOURCE_REPLY}' else t.snippet
+    || coalesce('{C.MORE_SOURCES_HEADING}' || (select string_agg(chr(10) || m.section || ':' || m.snippet, '' order by m.rank)
+         from found m where m.question_id = q.question_id and m.rank in (2, 3)), '')
+    || coalesce(chr(10) || {_intent_sql('q.masked_question', 't.title', 't.section')}, '') end as raw_reply
+from masked q left join found t on t.question_id = q.question_id and t.rank = 1
+"""
+_PROMPTS = f"""
+select q.question_id, '{C.SYSTEM_PROMPT}{C.PROMPT_CONTEXT_HEADING}' || coalesce((
+    select string_agg('[' || cast(m.rank as string) || '] 来源:' || m.title || ' / 章节:' || m.section || chr(10) || '内容:' || m.snippet
+      || chr(10) || chr(10), '' order by m.rank) from found m where m.question_id = q.question_id), '{C.PROMPT_NO_SOURCES}')
+  || coalesce('{C.PROMPT_HISTORY_HEADING}' || (select string_agg(h.role || ': ' || h.text || chr(10), '' order by h.turn)
+       from recent h where h.conv_id = q.question_id), '')
+  || '{C.PROMPT_QUESTION_HEADING}' || q.masked_question as prompt
+from masked q
+"""
+_RECENT = """
+select * from (select *, row_number() over (partition by conv_id order by turn desc) as rn from conversations
+  where role in ('user', 'assistant')) t where rn <= 4
+"""
+_BASE = {**R.BASE, **R._ALL, "masked": _MASKED, "found": _FOUND}
+_FAQ_CTES = R.scoring_ctes(
+    "f", "select * from chunk_rows where category = 'FAQ'", "select question_id, masked_question as question from masked")
+_SIZE = "case when length({0}) = 0 then 0 else greatest(1, length({0}) // 4) end"
+
+ORACLES = {
+    "intent_detect": V.oracle(f"""
+      select 'm' || cast(message_id as string) as id, {_intent_sql('message', "''", "''")} as marker from v_messages
+      union all select 'c' || cast(n as string), {_intent_sql('content', 'title', 'section')} from v_chunks""",
+        v_messages=V.MESSAGES, v_chunks=V.CHUNKS),
+    "intent_extract": V.oracle(f"""
+      select m.message_id, {_SHOWN.replace('reply', 'm.reply', 1)} as shown, cast(l.pos - 1 as int) as i, l.type, l.target
+      from marked m left join listed l on l.message_id = m.message_id""", v_messages=V.MESSAGES, marked=_MARKED, listed=_LISTED),
+    "intent_tools": V.oracle(f"""
+      select message_id, cast(pos - 1 as int) as i, case when type = 'STEP' then '{C.TOOL_STEP}' else '{C.TOOL_NAVIGATION}' end as tool,
+        target, '{C.TOOL_DISPLAY_PREFIX}' || target as display_text from listed""", v_messages=V.MESSAGES, marked=_MARKED, listed=_LISTED),
+    "extractive_reply": V.oracle("select question_id, raw_reply from replies", **_BASE, replies=_REPLIES),
+    "prompt_build": V.oracle("select question_id, prompt from prompts", **_BASE, recent=_RECENT, prompts=_PROMPTS),
+    "qa_outcomes": V.oracle(f"""
+      , judged as (select m.*, {safety_sql('question')} as category, coalesce(f.score, 0) as top_score
+          from masked m left join found f on f.question_id = m.question_id and f.rank = 1),
+        moded as (select *, case when category is not null then 'refused' when top_score < 0.6 then 'low_confidence'
+          when available then 'generated' else 'faq' end as mode from judged),
+        faq as (select question_id, score >= 0.5 as hit, {SNIPPET_SQL.format('content')} as snippet
+          from f_ranked join chunk_rows using (chunk_no) where rank = 1),
+        stripped as (select question_id, raw_reply, {_SHOWN.replace('reply', 'raw_reply', 1)} as shown,
+          regexp_extract_all(raw_reply, '\\[\\[((STEP|POI):[^\\]]+)\\]\\]', 1) as marks from replies)
+      select question_id, mode, category as violation, case mode when 'refused' then {_REFUSAL}
+          when 'low_confidence' then '{C.LOW_CONFIDENCE_REPLY}'
+          when 'generated' then case when length(shown) > 500 then substr(shown, 1, 500) || '...' else shown end
+          else case when hit then snippet else '{C.FAQ_FALLBACK_REPLY}' end end as reply,
+        case when mode = 'generated' then array_to_string(marks, ',') else '' end as intents,
+        cast(case when mode = 'generated' then {_SIZE.format('prompt')} else 0 end as int) as prompt_tokens,
+        cast(case when mode = 'generated' then {_SIZE.format('raw_reply')} else 0 end as int) as completion_tokens,
+        coalesce(category = 'self_harm', false) as transfer_to_human,
+        case when mode = 'faq' then not coalesce(hit, false) else mode = 'low_confidence' end as low_confidence,
+        case when mode = 'faq' then 'faq_mode' else 'ai_content' end as label_type, mode = 'faq' as degraded
+      from moded join stripped using (question_id) join prompts using (question_id) left join faq using (question_id)""",
+        **_BASE, replies=_REPLIES, recent=_RECENT, prompts=_PROMPTS, **_FAQ_CTES),
+}

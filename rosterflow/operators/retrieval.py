@@ -24,6 +24,10 @@ _TERM, _GRAM = 0, 1
 RANK_DIGITS = 9
 # Questions per posting list (on average).
 POSTING_LENGTH = 1000
+# Posting lists are broadcast while the question texts have at most this many
+# characters: every character makes at most one bigram and one term entry of
+# about 24 bytes, so the lists stay below 100 MB.
+BROADCAST_QUESTION_CHARS = 2_000_000
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -68,9 +72,18 @@ def _question_grams(questions: DataFrame) -> DataFrame:
         F.lit(0.0).alias("weight"), F.size("g").alias("n_question"))
 
 
-def _pairs(chunks: DataFrame, wanted: DataFrame, grams: bool) -> DataFrame:
+def _small(questions: DataFrame) -> bool:
+    """Whether the measured size of the questions allows broadcasting their features."""
+    chars = questions.agg(F.sum(F.length("question"))).first()[0]
+    return (chars or 0) <= BROADCAST_QUESTION_CHARS
+
+
+def _pairs(chunks: DataFrame, wanted: DataFrame, grams: bool, small: bool) -> DataFrame:
     """(question, chunk, bm25, overlap) for pairs that share at least one feature.
 
+    With ``small`` questions the lists are broadcast and chunk features never
+    move; otherwise both sides are shuffled by feature and AQE splits the hot ones.
+
     ``wanted`` becomes one posting list per feature, so a chunk looks every
     feature up once per slice.  A list holds the questions of one slice only, so
     that a feature shared by all questions is no unbounded group.
@@ -89,6 +102,8 @@ def _pairs(chunks: DataFrame, wanted: DataFrame, grams: bool) -> DataFrame:
     if grams:
         features = F.concat(features, tagged(_GRAM, F.col("grams"), lambda v: v, lambda v: F.lit(0)))
     size = F.size("grams") if grams else F.lit(0)
+    if small:
+        postings = F.broadcast(postings)
     rows = chunks.select(
         "chunk_no", "dl", size.alias("n_chunk"), F.explode(features).alias("f")
     ).select("chunk_no", "dl", "n_chunk", "f.*")
@@ -108,7 +123,7 @@ def _pairs(chunks: DataFrame, wanted: DataFrame, grams: bool) -> DataFrame:
 
 def bm25_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """BM25 of every matching pair; ``zero_chunks`` tells how many further chunks scored 0."""
-    pairs = _pairs(chunks, _term_weights(questions, chunks), grams=False).drop("overlap")
+    pairs = _pairs(chunks, _term_weights(questions, chunks), False, _small(questions)).drop("overlap")
     total = corpus_stats(chunks).select("n_chunks").scalar()
     matched = pairs.groupBy("question_id").agg((total - F.count(F.lit(1))).alias("zero_chunks"))
     return pairs.join(matched, "question_id").orderBy("question_id", F.col("bm25").desc(), "chunk_no")
@@ -117,9 +132,10 @@ def bm25_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 def hybrid_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Fused score of every pair: overlap and BM25 relative to the question's best."""
     weights = _term_weights(questions, chunks)
-    best = _pairs(chunks, weights, grams=False).groupBy("question_id").agg(F.max("bm25").alias("best"))
+    small = _small(questions)
+    best = _pairs(chunks, weights, False, small).groupBy("question_id").agg(F.max("bm25").alias("best"))
     wanted = weights.unionByName(_question_grams(questions))
-    pairs = _pairs(chunks, wanted, grams=True)
+    pairs = _pairs(chunks, wanted, True, small)
     relative = F.when(F.col("best") > 0, F.col("bm25") / F.col("best")).otherwise(F.lit(0.0))
     score = C.VECTOR_WEIGHT * F.col("overlap") + C.BM25_WEIGHT * relative
     return pairs.join(best, "question_id", "left").withColumn("score", score).select(
