@@ -14,9 +14,9 @@ from rosterflow.sources import changes as src
 def change_log(spark: SparkSession, sf: str) -> DataFrame:
     """The change view with row images and offsets as maps and structs."""
     flat = V.view(spark, sf, V.CDC)
-    image = F.map_filter(
-        F.create_map(F.lit("student_id"), F.col("student_id"), F.lit("amount"), F.col("amount")),
-        lambda _, v: v.isNotNull())
+    amount = [F.lit("amount"), F.col("amount")]
+    image = F.when(F.col("student_id").isNull(), F.create_map(*amount)).otherwise(
+        F.create_map(F.lit("student_id"), F.col("student_id"), *amount))
     offset = F.struct("binlog_file", "binlog_position")
     return flat.select(
         "seq", "source_server", "source_table", "operation",

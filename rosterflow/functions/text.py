@@ -16,7 +16,7 @@ def _no_strings() -> Column:
 
 
 def is_blank(col: Column) -> Column:
-    return F.coalesce(F.regexp_replace(col, r"\s+", "") == "", F.lit(True))
+    return ~F.coalesce(col.rlike(r"\S"), F.lit(False))
 
 
 def tokenize(col: Column) -> Column:

@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from rosterflow.operators import blocks
 
@@ -27,18 +28,46 @@ def epoch_millis(ts: str) -> Column:
     return F.unix_millis(F.col(ts).cast("timestamp"))
 
 
-def pieces(rows: DataFrame, key: str, order: list[str], starts: Column, block_ms: int) -> DataFrame:
-    """Adds ``piece``: order of the latest row at which ``starts`` holds."""
-    return blocks.running_max(
-        rows, [key], order, F.when(starts, F.struct(*order)), blocks.by_millis("ms", block_ms), "piece",
-        include_current=True)
-
-
 def cut_at_gaps(counted: DataFrame, key: str, gap_ms: int, block_ms: int) -> DataFrame:
-    """Pieces of a key between idle gaps of at least ``gap_ms``."""
-    spaced = blocks.previous(counted, [key], ["ms"], {"prev_ms": "ms"}, blocks.by_millis("ms", block_ms))
-    starts = F.col("prev_ms").isNull() | (F.col("ms") - F.col("prev_ms") >= gap_ms)
-    return pieces(spaced, key, ["ms"], starts, block_ms).drop("prev_ms")
+    """Adds ``piece``: first millisecond of the stretch without an idle gap of ``gap_ms``.
+
+    ``counted`` has one row (key, ms, n) per millisecond, so a block holds at
+    most ``block_ms`` rows; stretches over several blocks are tied together from
+    one summary row per block.
+    """
+    inside = W.partitionBy(key, "blk").orderBy("ms")
+    along = W.partitionBy(key).orderBy("blk")
+    ms = F.col("ms")
+    marked = (
+        counted.withColumn("blk", blocks.by_millis("ms", block_ms))
+        .withColumn("cut", F.when(ms - F.lag("ms").over(inside) >= gap_ms, ms))
+        .withColumn("last_cut", F.max("cut").over(inside))
+    )
+    summary = marked.groupBy(key, "blk").agg(
+        F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.max("cut").alias("cut"))
+    idle = F.col("first_ms") - F.lag("last_ms").over(along)
+    tied = summary.withColumn(
+        "first_cut", F.when(F.coalesce(idle >= gap_ms, F.lit(True)), F.col("first_ms"))
+    ).select(
+        key, "blk", "first_cut",
+        F.max(F.greatest("cut", "first_cut")).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    return marked.join(tied, [key, "blk"]).withColumn(
+        "piece", F.greatest("last_cut", "first_cut", "carried")).drop("blk", "cut", "last_cut", "first_cut", "carried")
+
+
+def cut_after(rows: DataFrame, key: str, order: list[str], known: Column, block_ms: int) -> DataFrame:
+    """Adds ``piece``: order of the latest row that follows a row with ``known`` state.
+
+    ``known`` may use ``prev_ms``, the time of the row before within the block.
+    Cuts are optional, so rows at the start of a block simply make none.
+    """
+    inside = W.partitionBy(key, "__b").orderBy(*order)
+    blocked = rows.withColumn("__b", blocks.by_millis("ms", block_ms))
+    marked = blocked.withColumn("prev_ms", F.lag("ms").over(inside)).withColumn(
+        "starts", F.coalesce(F.lag(known).over(inside), F.lit(False)))
+    return blocks.running_max(
+        marked, [key], order, F.when(F.col("starts"), F.struct(*order)), blocks.by_millis("ms", block_ms),
+        "piece", include_current=True).drop("__b", "prev_ms", "starts")
 
 
 def fold(
@@ -52,7 +81,6 @@ def fold(
     names = [part.split()[0] for part in outputs.split(",")]
     kept = rows.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", " + outputs
-    flat = [F.col(g) if not str(rows.schema[g].dataType).startswith("Struct") else F.to_json(g) for g in group]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
@@ -69,5 +97,5 @@ def fold(
             yield out
 
     grouped = rows.withColumn("__group", F.to_json(F.struct(*group), {"ignoreNullFields": "false"}))
-    arranged = grouped.repartition(*flat).sortWithinPartitions("__group", *order)
+    arranged = grouped.repartition("__group").sortWithinPartitions("__group", *order)
     return arranged.mapInPandas(run, schema)

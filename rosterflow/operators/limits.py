@@ -140,13 +140,8 @@ def lockout(
     lock_ms = lock_seconds * 1000
     timed = attempts.withColumn("ms", folds.epoch_millis(ts))
     order = ["ms", seq]
-    block = blocks.by_millis("ms", block_ms)
-    spaced = blocks.previous(timed, [key], order, {"prev_ms": "ms"}, block)
-    clears = (F.col("result") == "ok") & (
-        F.col("prev_ms").isNull() | (F.col("ms") - F.col("prev_ms") > lock_ms))
-    marked = blocks.previous(
-        spaced.withColumn("clears", clears), [key], order, {"after_clear": "clears"}, block)
-    cut = folds.pieces(marked, key, order, F.coalesce("after_clear", F.lit(True)), block_ms)
+    clears = (F.col("result") == "ok") & (F.col("ms") - F.col("prev_ms") > lock_ms)
+    cut = folds.cut_after(timed, key, order, clears, block_ms)
     folded = folds.fold(
         cut.select(*attempts.columns, "ms", "piece"), [key, "piece"], order, ["ms", "result"],
         "outcome string, errors bigint, lock_minutes bigint", lockout_step(max_errors, lock_ms))
