@@ -10,15 +10,12 @@ from rosterflow.functions.privacy import mask_name
 from rosterflow.operators.joins import fixed_table
 
 
-def latest_steps(events: DataFrame) -> DataFrame:
+def latest_steps(events: DataFrame, with_seq: bool = False) -> DataFrame:
     """Last completion time per (student, step) by arrival."""
     steps = fixed_table(
         events.sparkSession, C.PROGRESS_STEPS, "step_code string, step_name string, event_type string")
-    return (
-        events.join(steps, "event_type")
-        .groupBy("student_id", "step_code")
-        .agg(F.max_by("ts", "seq").alias("completed_at"))
-    )
+    latest = [F.max_by("ts", "seq").alias("completed_at")] + ([F.max("seq").alias("seq")] if with_seq else [])
+    return events.join(steps, "event_type").groupBy("student_id", "step_code").agg(*latest)
 
 
 def student_steps(registered: DataFrame, events: DataFrame) -> DataFrame:
