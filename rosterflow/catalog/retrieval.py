@@ -32,8 +32,7 @@ def indexed(spark, sf):
     if key not in _INDEX_TABLES:
         name = f"chunk_index_{uuid.uuid4().hex}"
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        knowledge.store_index(
-            knowledge.index_chunks(chunks(spark, sf)), name, shared_dir(spark, "chunk-index"), buckets)
+        knowledge.store_index(chunks(spark, sf), name, shared_dir(spark, "chunk-index"), buckets)
         _INDEX_TABLES[key] = name
     return spark.table(_INDEX_TABLES[key])
 

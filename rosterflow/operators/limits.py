@@ -153,17 +153,18 @@ def burst_count(
 ) -> DataFrame:
     """Earlier requests of the key within the window, and whether they reach the limit.
 
-    Each row is also copied into the next window-sized block, so a block plus its
-    copies holds every row its own rows can see; no window spans a whole key.
+    Requests are counted per millisecond first.  Each count is also copied into
+    the next window-sized block, so a block plus its copies holds everything its
+    own rows can see: at most two entries per millisecond of the window.
     """
     window_ms = window_seconds * 1000
-    timed = requests.withColumn("ms", folds.epoch_millis(ts))
     block = F.floor(F.col("ms") / window_ms)
     copies = F.array(F.struct(block.alias("blk"), F.lit(True).alias("own")),
                      F.struct((block + 1).alias("blk"), F.lit(False).alias("own")))
-    spread = timed.withColumn("__c", F.explode(copies)).select("*", "__c.blk", "__c.own").drop("__c")
+    spread = _per_millisecond(requests, key, ts).withColumn("c", F.explode(copies)).select(
+        key, "ms", "n", "c.blk", "c.own")
     before = W.partitionBy(key, "blk").orderBy("ms").rangeBetween(1 - window_ms, -1)
-    same = W.partitionBy(key, "blk", "ms").orderBy(seq)
-    counted = spread.withColumn(
-        "recent", F.count(F.lit(1)).over(before) + F.row_number().over(same) - 1)
-    return counted.filter("own").withColumn("limited", F.col("recent") >= max_requests).drop("ms", "blk", "own")
+    seen = spread.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("own")
+    joined = _back_to_requests(requests, seen.select(key, "ms", "before"), key, ts, seq)
+    return joined.withColumn("recent", F.col("before") + F.col("j") - 1).withColumn(
+        "limited", F.col("recent") >= max_requests).drop("ms", "j", "before")

@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 
 from rosterflow import constants as C
 from rosterflow.functions import text
+from rosterflow.session import written
 
 _TERM, _GRAM = 0, 1
 # Scores that differ only by the order of summation must tie.
@@ -48,8 +49,18 @@ def idf(df: Column, total: Column) -> Column:
     return F.log(1 + (total - df + 0.5) / (df + 0.5))
 
 
-def _term_weights(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(question, term, weight): idf times the occurrences in the question."""
+def _totals(chunks: DataFrame) -> tuple[int, float]:
+    """The two corpus numbers, computed once per call."""
+    row = corpus_stats(chunks).first()
+    return row.n_chunks, row.avg_len
+
+
+def _term_weights(questions: DataFrame, chunks: DataFrame, total: int) -> DataFrame:
+    """(question, term, weight): idf times the occurrences in the question.
+
+    The table is as large as the questions; it is written once, so that the
+    document frequencies are not counted again by every pass that reads it.
+    """
     terms = (
         questions.select("question_id", F.explode(text.tokenize(F.col("question"))).alias("feature"))
         .groupBy("question_id", "feature").agg(F.count(F.lit(1)).alias("times"))
@@ -59,10 +70,10 @@ def _term_weights(questions: DataFrame, chunks: DataFrame) -> DataFrame:
         .join(terms.select("feature").distinct(), "feature", "left_semi")
         .groupBy("feature").agg(F.count(F.lit(1)).alias("df"))
     )
-    total = corpus_stats(chunks).select("n_chunks").scalar()
-    return terms.join(df, "feature").select(
+    weights = terms.join(df, "feature").select(
         "question_id", F.lit(_TERM).alias("kind"), "feature",
-        (idf(F.col("df"), total) * F.col("times")).alias("weight"), F.lit(0).alias("n_question"))
+        (idf(F.col("df"), F.lit(total)) * F.col("times")).alias("weight"), F.lit(0).alias("n_question"))
+    return written(weights, "term-weights")
 
 
 def _question_grams(questions: DataFrame) -> DataFrame:
@@ -78,7 +89,7 @@ def _small(questions: DataFrame) -> bool:
     return (chars or 0) <= BROADCAST_QUESTION_CHARS
 
 
-def _pairs(chunks: DataFrame, wanted: DataFrame, grams: bool, small: bool) -> DataFrame:
+def _pairs(chunks: DataFrame, wanted: DataFrame, grams: bool, small: bool, avg_len: float) -> DataFrame:
     """(question, chunk, bm25, overlap) for pairs that share at least one feature.
 
     With ``small`` questions the lists are broadcast and chunk features never
@@ -107,7 +118,6 @@ def _pairs(chunks: DataFrame, wanted: DataFrame, grams: bool, small: bool) -> Da
     rows = chunks.select(
         "chunk_no", "dl", size.alias("n_chunk"), F.explode(features).alias("f")
     ).select("chunk_no", "dl", "n_chunk", "f.*")
-    avg_len = corpus_stats(chunks).select("avg_len").scalar()
     tf = F.col("tf")
     saturated = tf * (C.BM25_K1 + 1) / (
         tf + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / avg_len))
@@ -123,19 +133,21 @@ def _pairs(chunks: DataFrame, wanted: DataFrame, grams: bool, small: bool) -> Da
 
 def bm25_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """BM25 of every matching pair; ``zero_chunks`` tells how many further chunks scored 0."""
-    pairs = _pairs(chunks, _term_weights(questions, chunks), False, _small(questions)).drop("overlap")
-    total = corpus_stats(chunks).select("n_chunks").scalar()
-    matched = pairs.groupBy("question_id").agg((total - F.count(F.lit(1))).alias("zero_chunks"))
+    total, avg_len = _totals(chunks)
+    weights = _term_weights(questions, chunks, total)
+    pairs = _pairs(chunks, weights, False, _small(questions), avg_len).drop("overlap")
+    matched = pairs.groupBy("question_id").agg((F.lit(total) - F.count(F.lit(1))).alias("zero_chunks"))
     return pairs.join(matched, "question_id").orderBy("question_id", F.col("bm25").desc(), "chunk_no")
 
 
 def hybrid_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Fused score of every pair: overlap and BM25 relative to the question's best."""
-    weights = _term_weights(questions, chunks)
+    total, avg_len = _totals(chunks)
+    weights = _term_weights(questions, chunks, total)
     small = _small(questions)
-    best = _pairs(chunks, weights, False, small).groupBy("question_id").agg(F.max("bm25").alias("best"))
+    best = _pairs(chunks, weights, False, small, avg_len).groupBy("question_id").agg(F.max("bm25").alias("best"))
     wanted = weights.unionByName(_question_grams(questions))
-    pairs = _pairs(chunks, wanted, True, small)
+    pairs = _pairs(chunks, wanted, True, small, avg_len)
     relative = F.when(F.col("best") > 0, F.col("bm25") / F.col("best")).otherwise(F.lit(0.0))
     score = C.VECTOR_WEIGHT * F.col("overlap") + C.BM25_WEIGHT * relative
     return pairs.join(best, "question_id", "left").withColumn("score", score).select(

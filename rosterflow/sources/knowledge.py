@@ -28,13 +28,14 @@ def document_metadata(sections: DataFrame, seq: str) -> DataFrame:
     return first.drop(seq)
 
 
-def index_chunks(chunks: DataFrame) -> DataFrame:
+def index_chunks(chunks: DataFrame, buckets: int | None = None) -> DataFrame:
     """Chunks with everything retrieval reads: term counts, bigrams and lengths.
 
-    The text is shuffled once by chunk and tokenised once; term counts and the
-    join back stay within that partitioning.
+    The text is shuffled once by chunk; term counts and the join back stay within
+    that partitioning.  The tokens of a chunk are those of its section followed by
+    those of its content, so the content length needs no second pass.
     """
-    local = chunks.repartition("chunk_no")
+    local = chunks.repartition(buckets, "chunk_no") if buckets else chunks.repartition("chunk_no")
     searchable = text.searchable_text(F.col("section"), F.col("content"))
     counts = (
         local.select("chunk_no", F.explode(text.tokenize(searchable)).alias("feature"))
@@ -42,23 +43,22 @@ def index_chunks(chunks: DataFrame) -> DataFrame:
         .groupBy("chunk_no").agg(
             F.collect_list(F.struct("feature", "tf")).alias("terms"), F.sum("tf").cast("int").alias("dl"))
     )
-    shaped = local.withColumns({
-        "grams": text.bigrams(searchable),
-        "content_len": F.size(text.tokenize(F.col("content"))),
-    })
-    return shaped.join(counts, "chunk_no", "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
+    joined = local.withColumn("grams", text.bigrams(searchable)).join(counts, "chunk_no", "left")
+    return joined.withColumn("dl", F.coalesce("dl", F.lit(0))).withColumn(
+        "content_len", F.col("dl") - F.size(text.tokenize(F.col("section"))))
 
 
-def store_index(index: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+def store_index(chunks: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
     """Index as a table partitioned by category and bucketed by chunk.
 
-    A category filter then prunes files, and aggregating by chunk needs no shuffle.
+    A category filter then prunes files, and aggregating by chunk needs no
+    shuffle.  The index is already partitioned like the buckets.
     """
     (
-        index.repartition(buckets, "chunk_no").write.mode("overwrite").option("path", path)
+        index_chunks(chunks, buckets).write.mode("overwrite").option("path", path)
         .partitionBy("category").bucketBy(buckets, "chunk_no").saveAsTable(name)
     )
-    return index.sparkSession.table(name)
+    return chunks.sparkSession.table(name)
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,8 +41,11 @@ def read_batches(spark: SparkSession, root: str, table: str, schema: str, before
     The schema is given, so that a table without any batch is simply empty.
     """
     folder = os.path.join(root, table)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schema + ", batch_id int")
-    rows = spark.read.schema(schema + ", batch_id int").option("basePath", folder).parquet(folder)
+    columns = schema + ", batch_id int"
+    try:
+        rows = spark.read.schema(columns).option("basePath", folder).parquet(folder)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], columns)
     return rows if before is None else rows.filter(F.col("batch_id") < before)

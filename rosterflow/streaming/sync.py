@@ -22,9 +22,10 @@ SEEN_SCHEMA = "source_server string, event_id string"
 def sync_handler(mapping: DataFrame, root: str, sink: Sink):
     """Handler for :func:`run_batches`: outcomes, target rows, dead letters, offsets and counters.
 
-    ``sink`` adds ``sink_result`` to the rows of one target (the write itself may
-    happen there).  Offsets and handled ids of earlier batches are read back from
-    the output, so a restarted job goes on where the last whole batch ended.
+    ``sink`` adds ``sink_result`` to the changes (the write itself may happen
+    there).  Offsets and handled ids of earlier batches are read back from the
+    output, so a restarted job goes on where the last whole batch ended.  Only
+    ids that the committed offset does not cover have to be remembered.
     """
     def handle(batch: DataFrame, batch_id: int) -> dict[str, DataFrame]:
         spark = batch.sparkSession
@@ -42,14 +43,21 @@ def sync_handler(mapping: DataFrame, root: str, sink: Sink):
             "seq", "source_server", "event_id", F.lit(C.SKIPPED_DUPLICATE).alias("outcome"))
         outcome = handled.select("seq", "source_server", "event_id", "outcome").unionByName(skipped)
         success = F.col("outcome") == C.SUCCESS
+        moved = handled.filter(success & F.col("source_offset").isNotNull()).groupBy("source_server").agg(
+            F.max("source_offset").alias("committed"))
+        open_ids = (
+            handled.select("source_server", "event_id", "source_offset", "seq")
+            .join(committed, "source_server", "left").join(moved, "source_server", "left")
+            .filter(F.col("source_offset").isNull() | F.coalesce(
+                F.col("source_offset") > F.greatest("start_offset", "committed"), F.lit(True)))
+            .select("source_server", "event_id", "seq")
+        )
         return {
             "outcomes": outcome,
             "targets": handled.filter(success).select("target", "event_id", F.to_json("record").alias("record")),
             "dead_letters": ops.dead_letters(handled),
-            "committed": handled.filter(success & F.col("source_offset").isNotNull()).groupBy(
-                "source_server").agg(F.max("source_offset").alias("committed")),
-            "seen": keep_first(outcome.select("source_server", "event_id", "seq"),
-                               ["source_server", "event_id"], "seq").drop("seq"),
+            "committed": moved,
+            "seen": keep_first(open_ids, ["source_server", "event_id"], "seq").drop("seq"),
             "stats": ops.sync_stats(outcome),
         }
 
