@@ -29,7 +29,7 @@ def chunks(spark, sf):
 def indexed(spark, sf):
     """The chunk index, built and stored once per session and data folder."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _INDEX_TABLES:
+    if key not in _INDEX_TABLES or not spark.table(_INDEX_TABLES[key]).inputFiles():
         name = f"chunk_index_{uuid.uuid4().hex}"
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         knowledge.store_index(chunks(spark, sf), name, shared_dir(spark, "chunk-index"), buckets)

@@ -1,6 +1,6 @@
 """Hybrid text retrieval: BM25, bigram overlap, fused score, top-K.
 
-The reference scores every question against every chunk.  Here the chunks carry
+Every question is scored against every chunk.  The chunks carry
 an index (term counts and bigrams, see ``sources.knowledge``) bucketed by chunk,
 so all features of a chunk are in one task: they are looked up in the posting
 lists of the questions and summed per (chunk, question) without a shuffle.  A

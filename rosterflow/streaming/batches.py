@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-Handler = Callable[[DataFrame, int], "dict[str, DataFrame]"]
+Handler = Callable[[DataFrame, int], "Iterator[tuple[str, DataFrame]]"]
 
 
 def batch_path(root: str, table: str, batch_id: int) -> str:
@@ -18,7 +18,7 @@ def batch_path(root: str, table: str, batch_id: int) -> str:
 
 
 def run_batches(stream: DataFrame, handler: Handler, root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Writes what ``handler`` returns per batch to ``<root>/<table>/batch_id=<n>``.
+    """Writes the (table, rows) pairs of ``handler`` per batch to ``<root>/<table>/batch_id=<n>``.
 
     A batch that is replayed after a failure overwrites its own folder, so the
     output holds every batch exactly once.
@@ -26,7 +26,7 @@ def run_batches(stream: DataFrame, handler: Handler, root: str, checkpoint: str,
     def write(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
         try:
-            for table, rows in handler(held, batch_id).items():
+            for table, rows in handler(held, batch_id):
                 rows.write.mode("overwrite").parquet(batch_path(root, table, batch_id))
         finally:
             held.unpersist()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ def consume_handler(handler: HandlerResult, root: str):
     ``handler`` adds ``handler_result`` to deliveries.  A retry waits in the
     ``waiting`` table until the newest event time of a batch reaches its due time.
     """
-    def handle(batch: DataFrame, batch_id: int) -> dict[str, DataFrame]:
+    def handle(batch: DataFrame, batch_id: int) -> Iterator[tuple[str, DataFrame]]:
         spark = batch.sparkSession
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batch.schema.fields)
         waiting = read_batches(spark, root, "waiting", fields + ", due_at timestamp_ntz").filter(
@@ -40,19 +40,30 @@ def consume_handler(handler: HandlerResult, root: str):
         consumed = ops.consume(handler(batch.unionByName(due))).persist()
         again = consumed.filter("action = 'RETRY'").withColumn("retry_count", F.col("next_retry")).select(
             *batch.columns, "due_at")
-        return {
-            "consumed": consumed.select("seq", "queue", "event_id", "retry_count", "action"),
-            "dead_letters": consumed.filter("action = 'DEAD_LETTER'").select("seq", "queue", "event_id", "reason"),
-            "waiting": again.unionByName(waiting.filter(~is_due)),
-        }
+        try:
+            yield "consumed", consumed.select("seq", "queue", "event_id", "retry_count", "action")
+            yield "dead_letters", consumed.filter("action = 'DEAD_LETTER'").select("seq", "queue", "event_id", "reason")
+            yield "waiting", again.unionByName(waiting.filter(~is_due))
+        finally:
+            consumed.unpersist()
 
     return handle
 
 
-def progress_handler(batch: DataFrame, batch_id: int) -> dict[str, DataFrame]:
+def expiry_handler(ttl_hours: int = C.MESSAGE_TTL_HOURS, max_length: int = C.QUEUE_MAX_LENGTH):
+    """Handler for :func:`run_batches`: live messages of a batch, and those too old or beyond the queue's length."""
+    def handle(batch: DataFrame, batch_id: int) -> Iterator[tuple[str, DataFrame]]:
+        now = batch.agg(F.max("ts").alias("now")).select("now").scalar()
+        judged = ops.queue_state(batch, now, ttl_hours, max_length)
+        yield "live", judged.filter("state = 'live'")
+        yield "dropped", judged.filter("state <> 'live'")
+
+    return handle
+
+
+def progress_handler(batch: DataFrame, batch_id: int) -> Iterator[tuple[str, DataFrame]]:
     """Handler for :func:`run_batches`: the latest completion per (student, step) of one batch."""
-    steps = progress.latest_steps(batch, with_seq=True)
-    return {"steps": steps}
+    yield "steps", progress.latest_steps(batch, with_seq=True)
 
 
 def current_steps(deltas: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ def sync_handler(mapping: DataFrame, root: str, sink: Sink):
     output, so a restarted job goes on where the last whole batch ended.  Only
     ids that the committed offset does not cover have to be remembered.
     """
-    def handle(batch: DataFrame, batch_id: int) -> dict[str, DataFrame]:
+    def handle(batch: DataFrame, batch_id: int) -> Iterator[tuple[str, DataFrame]]:
         spark = batch.sparkSession
         committed = read_batches(spark, root, "committed", COMMITTED_SCHEMA, batch_id).groupBy(
             "source_server").agg(F.max("committed").alias("start_offset"))
@@ -52,14 +52,15 @@ def sync_handler(mapping: DataFrame, root: str, sink: Sink):
                 F.col("source_offset") > F.greatest("start_offset", "committed"), F.lit(True)))
             .select("source_server", "event_id", "seq")
         )
-        return {
-            "outcomes": outcome,
-            "targets": handled.filter(success).select("target", "event_id", F.to_json("record").alias("record")),
-            "dead_letters": ops.dead_letters(handled),
-            "committed": moved,
-            "seen": keep_first(open_ids, ["source_server", "event_id"], "seq").drop("seq"),
-            "stats": ops.sync_stats(outcome),
-        }
+        try:
+            yield "outcomes", outcome
+            yield "targets", handled.filter(success).select("target", "event_id", F.to_json("record").alias("record"))
+            yield "dead_letters", ops.dead_letters(handled)
+            yield "committed", moved
+            yield "seen", keep_first(open_ids, ["source_server", "event_id"], "seq").drop("seq")
+            yield "stats", ops.sync_stats(outcome)
+        finally:
+            handled.unpersist()
 
     return handle
 

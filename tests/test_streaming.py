@@ -13,7 +13,7 @@ from rosterflow.sources import changes as src
 from rosterflow.streaming import stateful
 from rosterflow.streaming.batches import read_batches, run_batches
 from rosterflow.streaming.events import (
-    STEP_SCHEMA, consume_handler, current_steps, dedupe_stream, progress_handler)
+    STEP_SCHEMA, consume_handler, current_steps, dedupe_stream, expiry_handler, progress_handler)
 from rosterflow.streaming.sync import running_stats, sync_handler
 
 
@@ -115,6 +115,17 @@ def test_progress_stream_matches_batch(spark, sf, tmp_path):
         progress.latest_steps(view), "student_id", "step_code", "completed_at")
 
 
+def test_expiry_stream_keeps_every_message(spark, sf, tmp_path):
+    view = events.fan_out(events_q.events_view(spark, sf)).select("seq", "queue", "event_id", "ts")
+    stream = as_stream(spark, view, str(tmp_path / "in"), parts=1)
+    out = run(stream, str(tmp_path / "job"), expiry_handler(ttl_hours=240, max_length=60))
+    schema = "seq bigint, queue string, state string"
+    states = read_batches(spark, out, "live", schema).unionByName(read_batches(spark, out, "dropped", schema))
+    want = events.queue_state(view, view.agg(F.max("ts").alias("m")).select("m").scalar(), 240, 60)
+    assert rows(states, "seq", "queue", "state") == rows(want, "seq", "queue", "state")
+    assert states.select("state").distinct().count() == 3
+
+
 def test_limit_streams_match_batch(spark, sf, tmp_path):
     requests = access_q._requests(spark, sf)
     stream = as_stream(spark, requests, str(tmp_path / "in"))
