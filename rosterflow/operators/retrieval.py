@@ -29,6 +29,8 @@ POSTING_LENGTH = 1000
 # characters: every character makes at most one bigram and one term entry of
 # about 24 bytes, so the lists stay below 100 MB.
 BROADCAST_QUESTION_CHARS = 2_000_000
+# Found chunks (K per question, three numbers each) are broadcast up to this many rows.
+BROADCAST_FOUND_ROWS = 1_000_000
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -135,8 +137,11 @@ def bm25_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """BM25 of every matching pair; ``zero_chunks`` tells how many further chunks scored 0."""
     total, avg_len = _totals(chunks)
     weights = _term_weights(questions, chunks, total)
-    pairs = _pairs(chunks, weights, False, _small(questions), avg_len).drop("overlap")
+    small = _small(questions)
+    pairs = _pairs(chunks, weights, False, small, avg_len).drop("overlap")
     matched = pairs.groupBy("question_id").agg((F.lit(total) - F.count(F.lit(1))).alias("zero_chunks"))
+    if small:
+        matched = F.broadcast(matched)
     return pairs.join(matched, "question_id").orderBy("question_id", F.col("bm25").desc(), "chunk_no")
 
 
@@ -146,6 +151,8 @@ def hybrid_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     weights = _term_weights(questions, chunks, total)
     small = _small(questions)
     best = _pairs(chunks, weights, False, small, avg_len).groupBy("question_id").agg(F.max("bm25").alias("best"))
+    if small:  # one row per question: the pairs stay where they are
+        best = F.broadcast(best)
     wanted = weights.unionByName(_question_grams(questions))
     pairs = _pairs(chunks, wanted, True, small, avg_len)
     relative = F.when(F.col("best") > 0, F.col("bm25") / F.col("best")).otherwise(F.lit(0.0))
@@ -169,6 +176,8 @@ def retrieve(
     ranked = scored.withColumn("rank", F.row_number().over(ranking))
     if k > 0:
         ranked = ranked.filter(F.col("rank") <= k)
+        if questions.count() * k <= BROADCAST_FOUND_ROWS:
+            ranked = F.broadcast(ranked)
     shown = candidates.select("chunk_no", "chunk_id", "doc_id", "category", "title", "section", "content")
     return ranked.join(shown, "chunk_no").withColumn("snippet", text.snippet(F.col("content"))).drop("content")
 
