@@ -86,6 +86,9 @@ SYSTEM_PROMPT = (
 )
 PROMPT_CONTEXT_HEADING = "\n【检索上下文】\n"
 PROMPT_NO_SOURCES = "(无相关检索结果)\n"
+PROMPT_CURRENT_HEADING = "【当前上下文】"
+PROMPT_STEP = "环节="
+PROMPT_IDENTITY = ", 身份="
 PROMPT_HISTORY_HEADING = "\n【历史对话】\n"
 PROMPT_QUESTION_HEADING = "\n【当前问题】\n"
 

@@ -98,10 +98,21 @@ def cut_reply(reply: Column) -> Column:
     ).otherwise(reply)
 
 
-def build_prompt(sources: Column, history: Column, question: Column) -> Column:
-    """Instruction block, numbered sources, history and question as one text.
+def prompt_context(step: Column, identity: Column) -> Column:
+    """Line with the current step and identity, where they are known."""
+    return F.concat(
+        F.lit(C.PROMPT_CURRENT_HEADING),
+        F.coalesce(F.concat(F.lit(C.PROMPT_STEP), step), F.lit("")),
+        F.coalesce(F.concat(F.lit(C.PROMPT_IDENTITY), identity), F.lit("")), F.lit("\n"))
+
+
+def build_prompt(
+    sources: Column, history: Column, question: Column, context: Column | None = None,
+) -> Column:
+    """Instruction block, numbered sources, context, history and question as one text.
 
-    ``sources`` holds structs (title, section, snippet); ``history`` structs (role, content).
+    ``sources`` holds structs (title, section, snippet); ``history`` structs
+    (role, content); ``context`` is a :func:`prompt_context` line or null.
     """
     numbered = F.transform(sources, lambda s, i: F.concat(
         F.lit("["), (i + 1).cast("string"), F.lit("] 来源:"), s["title"], F.lit(" / 章节:"), s["section"],
@@ -113,6 +124,7 @@ def build_prompt(sources: Column, history: Column, question: Column) -> Column:
     return F.concat(
         F.lit(C.SYSTEM_PROMPT + C.PROMPT_CONTEXT_HEADING),
         F.when(no_sources, F.lit(C.PROMPT_NO_SOURCES)).otherwise(F.array_join(numbered, "")),
+        F.lit("") if context is None else F.coalesce(context, F.lit("")),
         F.when(no_history, F.lit("")).otherwise(
             F.concat(F.lit(C.PROMPT_HISTORY_HEADING), F.array_join(turns, ""))),
         F.lit(C.PROMPT_QUESTION_HEADING), question,

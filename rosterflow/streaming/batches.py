@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-Handler = Callable[[DataFrame, int], "Iterator[tuple[str, DataFrame]]"]
+Handler = Callable[[DataFrame, int], "Iterator[tuple]"]
 
 
 def batch_path(root: str, table: str, batch_id: int) -> str:
@@ -18,16 +18,17 @@ def batch_path(root: str, table: str, batch_id: int) -> str:
 
 
 def run_batches(stream: DataFrame, handler: Handler, root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Writes the (table, rows) pairs of ``handler`` per batch to ``<root>/<table>/batch_id=<n>``.
+    """Writes what ``handler`` yields per batch to ``<root>/<table>/batch_id=<n>``.
 
+    It yields (table, rows), optionally followed by partition columns.
     A batch that is replayed after a failure overwrites its own folder, so the
     output holds every batch exactly once.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
         try:
-            for table, rows in handler(held, batch_id):
-                rows.write.mode("overwrite").parquet(batch_path(root, table, batch_id))
+            for table, rows, *by in handler(held, batch_id):
+                rows.write.mode("overwrite").partitionBy(*by).parquet(batch_path(root, table, batch_id))
         finally:
             held.unpersist()
 

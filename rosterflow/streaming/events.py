@@ -29,7 +29,7 @@ def consume_handler(handler: HandlerResult, root: str):
     ``handler`` adds ``handler_result`` to deliveries.  A retry waits in the
     ``waiting`` table until the newest event time of a batch reaches its due time.
     """
-    def handle(batch: DataFrame, batch_id: int) -> Iterator[tuple[str, DataFrame]]:
+    def handle(batch: DataFrame, batch_id: int) -> Iterator[tuple]:
         spark = batch.sparkSession
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batch.schema.fields)
         waiting = read_batches(spark, root, "waiting", fields + ", due_at timestamp_ntz").filter(
@@ -52,7 +52,7 @@ def consume_handler(handler: HandlerResult, root: str):
 
 def expiry_handler(ttl_hours: int = C.MESSAGE_TTL_HOURS, max_length: int = C.QUEUE_MAX_LENGTH):
     """Handler for :func:`run_batches`: live messages of a batch, and those too old or beyond the queue's length."""
-    def handle(batch: DataFrame, batch_id: int) -> Iterator[tuple[str, DataFrame]]:
+    def handle(batch: DataFrame, batch_id: int) -> Iterator[tuple]:
         now = batch.agg(F.max("ts").alias("now")).select("now").scalar()
         judged = ops.queue_state(batch, now, ttl_hours, max_length)
         yield "live", judged.filter("state = 'live'")
@@ -61,7 +61,7 @@ def expiry_handler(ttl_hours: int = C.MESSAGE_TTL_HOURS, max_length: int = C.QUE
     return handle
 
 
-def progress_handler(batch: DataFrame, batch_id: int) -> Iterator[tuple[str, DataFrame]]:
+def progress_handler(batch: DataFrame, batch_id: int) -> Iterator[tuple]:
     """Handler for :func:`run_batches`: the latest completion per (student, step) of one batch."""
     yield "steps", progress.latest_steps(batch, with_seq=True)
 

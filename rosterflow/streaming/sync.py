@@ -27,7 +27,7 @@ def sync_handler(mapping: DataFrame, root: str, sink: Sink):
     output, so a restarted job goes on where the last whole batch ended.  Only
     ids that the committed offset does not cover have to be remembered.
     """
-    def handle(batch: DataFrame, batch_id: int) -> Iterator[tuple[str, DataFrame]]:
+    def handle(batch: DataFrame, batch_id: int) -> Iterator[tuple]:
         spark = batch.sparkSession
         committed = read_batches(spark, root, "committed", COMMITTED_SCHEMA, batch_id).groupBy(
             "source_server").agg(F.max("committed").alias("start_offset"))
@@ -54,7 +54,8 @@ def sync_handler(mapping: DataFrame, root: str, sink: Sink):
         )
         try:
             yield "outcomes", outcome
-            yield "targets", handled.filter(success).select("target", "event_id", F.to_json("record").alias("record"))
+            rows = handled.filter(success).select("target", "event_id", F.to_json("record").alias("record"))
+            yield "targets", rows, "target"
             yield "dead_letters", ops.dead_letters(handled)
             yield "committed", moved
             yield "seen", keep_first(open_ids, ["source_server", "event_id"], "seq").drop("seq")

@@ -114,3 +114,26 @@ def test_chain_order(spark):
         assert events.chain_ordered(chain(spark, *types)).first().ordered is ordered
     checks = events.completion_check(chain(spark, a, d, p, v, d)).orderBy("seq").collect()
     assert [r.prerequisites_met for r in checks] == [False, True]
+
+
+def test_tool_call_log(spark, sf, tmp_path):
+    from rosterflow.catalog import access
+    from rosterflow.sources import audit
+    outcomes = access._outcomes(spark, sf)
+    path = str(tmp_path / "log")
+    audit.append_calls(outcomes.filter("seq < 500"), path)
+    audit.append_calls(outcomes.filter("seq >= 500"), path)
+    mine = audit.calls_of(spark, path, "3")
+    assert mine.count() == outcomes.filter("student_id = '3'").count() > 0
+    shown = {r.s for r in mine.select(F.col("params")["student_id"].alias("s")).collect()}
+    assert shown <= {None, "****", "****0003"}
+
+
+def test_targets_are_partitioned(spark, tmp_path):
+    from rosterflow.streaming.sync import sync_handler
+    rows = [change(0, 1), change(1, 2, table="dorm_allocation"), change(2, 3, student="s9")]
+    mapping = spark.createDataFrame([("s1", "id1", "card1")], "student_id string, id_card string, card_id string")
+    handler = sync_handler(mapping, str(tmp_path), lambda df: df)
+    tables = {name: ([tuple(r) for r in df.collect()], by) for name, df, *by in handler(spark.createDataFrame(rows, SCHEMA), 0)}
+    assert {r[0] for r in tables["targets"][0]} == {"edu-system", "dorm-system"} and tables["targets"][1] == ["target"]
+    assert len(tables["dead_letters"][0]) == 1 and len(tables["outcomes"][0]) == 3

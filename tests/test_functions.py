@@ -143,3 +143,16 @@ def test_intents(spark):
 
 def test_reply_is_cut(spark):
     assert one(spark, dialogue.cut_reply(F.col("v")), "字" * 501) == "字" * 500 + "..."
+
+
+def test_prompt(spark):
+    df = spark.createDataFrame(
+        [([("t", "s", "c")], [("user", "你好")], "问", "payment", None)],
+        "src array<struct<title:string,section:string,snippet:string>>, hist array<struct<role:string,content:string>>, "
+        "q string, step string, who string")
+    line = dialogue.prompt_context(F.col("step"), F.col("who"))
+    full = df.select(dialogue.build_prompt(F.col("src"), F.col("hist"), F.col("q"), line)).first()[0]
+    assert full == (C.SYSTEM_PROMPT + "\n【检索上下文】\n[1] 来源:t / 章节:s\n内容:c\n\n【当前上下文】环节=payment\n"
+                    "\n【历史对话】\nuser: 你好\n\n【当前问题】\n问")
+    bare = df.select(dialogue.build_prompt(F.slice("src", 1, 0), F.slice("hist", 1, 0), F.col("q"))).first()[0]
+    assert bare == C.SYSTEM_PROMPT + "\n【检索上下文】\n(无相关检索结果)\n\n【当前问题】\n问"
