@@ -31,7 +31,8 @@ def indexed(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _INDEX_TABLES or not spark.table(_INDEX_TABLES[key]).inputFiles():
         name = f"chunk_index_{uuid.uuid4().hex}"
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        total_chars = sections(spark, sf).agg(F.sum("n_chars")).first()[0]
+        buckets = knowledge.bucket_count(total_chars, spark.sparkContext.defaultParallelism)
         knowledge.store_index(chunks(spark, sf), name, shared_dir(spark, "chunk-index"), buckets)
         _INDEX_TABLES[key] = name
     return spark.table(_INDEX_TABLES[key])

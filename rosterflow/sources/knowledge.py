@@ -9,6 +9,9 @@ from rosterflow.functions import text
 from rosterflow.operators import blocks
 from rosterflow.operators.joins import keep_first
 
+# 100 TB of text make 50,000 buckets, which is within Spark's limit of 100,000.
+BUCKET_CHARS = 2_000_000_000
+
 
 def ingest(sections: DataFrame, seq: str, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """Chunks with ids ``<doc_id>-c<number>``, numbered over the whole load by ``seq``.
@@ -48,6 +51,11 @@ def index_chunks(chunks: DataFrame, buckets: int | None = None) -> DataFrame:
         "content_len", F.col("dl") - F.size(text.tokenize(F.col("section"))))
 
 
+def bucket_count(total_chars: int, cores: int) -> int:
+    """Buckets of an index: enough for all cores, and for large tables one per ``BUCKET_CHARS`` of text."""
+    return max(cores, -(-total_chars // BUCKET_CHARS))
+
+
 def store_index(chunks: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
     """Index as a table partitioned by category and bucketed by chunk.
 
