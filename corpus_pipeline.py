@@ -6,13 +6,19 @@ stage's ``docs``.  All but the last return the columns of documents, whatever el
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterflow.llm import line_dedup, ngram_join
+from rosterflow.llm import decontamination, line_dedup, ngram_join, packing, quality
 from rosterflow.llm.common import shared_path, table
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labelled ones among them, rejects go."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that several documents hold stay in the first of them alone; a text that loses all lines is empty."""
     out = line_dedup.dedup_lines(docs)
@@ -28,7 +34,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(gone, docs["doc_id"] == F.col("_rf_gone"), "left_anti")
 
 
-STAGES = [("line dedup", lines), ("near duplicates", near_duplicates)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of any benchmark item go; so do all rows of their doc_id."""
+    found = decontamination.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    gone = found.where("n_hit > 0").select(F.col("doc_id").alias("_rf_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_rf_gone")), "left_anti")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in the training sequences."""
+    return packing.pack_documents(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality classifier", good), ("line dedup", lines), ("near duplicates", near_duplicates),
+          ("benchmark decontamination", decontaminated), ("packing", packed)]
 
 # The classifier's scores are not expressible in SQL; tests compare each stage with a plain version.
 ORACLE_SQL = None

@@ -2,24 +2,64 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rosterflow.llm import line_dedup, ngram_join
+from rosterflow.llm import decontamination, line_dedup, ngram_join, packing, quality
 from rosterflow.llm.common import table
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.sort_array(F.transform("items", lambda x: x.cast("string")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_join, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_decontamination, op4_ngram_join, op6_quality, op9_line_dedup)}
 
 ORACLES = {
+    "op3_decontamination": r"""
+with texts as (
+  select doc_id as id, text, true as doc from documents union all select item_id, text, false from benchmark),
+split as (
+  select id, doc, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w from texts),
+items as (
+  select distinct id as item_id, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1),
+    i -> array_to_string(w[i:i + 9], ' '))) as g from split where not doc and len(w) > 0),
+sized as (select *, len(string_split(g, ' ')) as m from items),
+grams as (
+  select id as doc_id, k.m, unnest(range(1, len(w) - k.m + 2)) as pos, unnest(list_transform(range(1, len(w) - k.m + 2),
+    i -> array_to_string(w[i:i + k.m - 1], ' '))) as g
+  from split, (select distinct m from sized) k where doc and len(w) >= k.m),
+hits as (select doc_id, pos, m, item_id from grams join sized using (g, m)),
+covered as (select distinct doc_id, unnest(range(pos, pos + m)) as word from hits),
+counted as (select doc_id, count(*) as n_hit from covered group by doc_id),
+named as (
+  select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids
+  from (select distinct doc_id, item_id from hits) group by doc_id)
+select id as doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from split left join counted on counted.doc_id = id left join named on named.doc_id = id where doc""",
     "op4_ngram_join": r"""
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
