@@ -47,7 +47,7 @@ def shingle_sets(data: np.ndarray, borders: np.ndarray, words: int = WORDS) -> t
     for k in range(words):
         # Words beyond a short text's end count as zero, so a whole short text is one shingle.
         part = np.zeros(len(hashes), np.uint64)
-        part[:len(hashes) - k] = hashes[k:]
+        part[:max(len(hashes) - k, 0)] = hashes[k:]
         part[place + k >= np.repeat(n_words, n_words)] = 0
         rolled = mixed(rolled * np.uint64(3) + part + np.uint64(k + 1))
     whole = np.repeat(np.where(n_words >= words, n_words - words + 1, np.minimum(n_words, 1)), n_words)

@@ -6,10 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterflow.llm import decontamination, line_dedup, ngram_join, packing, quality
+from rosterflow.llm import chat, decontamination, line_dedup, ngram_join, packing, pii, quality, search, token_counts, warc
 from rosterflow.llm.common import table
 
 
+# Terms that a document asks with when documents are the queries.
+TELLING_TERMS = 16
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = warc.archive_folder(pages)
+    records = warc.read_archives(warc.write_archives(pages, folder), folder, with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -25,16 +36,51 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def edits_of(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, edits): an insertion, a replacement and a deletion that follow from each text."""
+    at = F.pmod(F.xxhash64("text"), F.greatest(F.length("text"), F.lit(1))).cast("int")
+    kind = "array<struct<start:int,end:int,text:string>>"
+    edits = F.array(
+        F.struct(at.alias("start"), at.alias("end"), F.lit(" and another 12 words").alias("text")),
+        F.struct((at / 2).cast("int").alias("start"), ((at / 2).cast("int") + 9).alias("end"), F.expr("left(text, 24)").alias("text")),
+        F.struct((at / 3).cast("int").alias("start"), ((at / 3).cast("int") + 40).alias("end"), F.lit("").alias("text")))
+    return docs.select("doc_id", "text", edits.cast(kind).alias("edits"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = edits_of(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.apply_edits(token_counts.count_tokens(docs, tokenizer), tokenizer).drop("text")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
+                                  "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat.read_back(chat.render(chat.messages(chat.events_of(rows))))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_decontamination, op4_ngram_join, op6_quality, op9_line_dedup)}
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_like(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0, most_terms=TELLING_TERMS)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_warc, op2_packing, op3_decontamination, op4_ngram_join, op5_token_counts, op6_quality, op7_pii, op8_chat,
+    op9_line_dedup, op10_search)}
 
 ORACLES = {
     "op3_decontamination": r"""
