@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from rosterflow import constants as C
 from rosterflow.catalog import views as V
-from rosterflow.functions import privacy
 from rosterflow.operators import access, limits
+from rosterflow.session import shared_dir
+from rosterflow.sources import audit
 
 # The given events have few requests per user and hour, so the limits run with long windows.
 BUCKET, REFILL_PER_MINUTE = 2, 1 / 720
@@ -88,7 +89,10 @@ def tool_error_counts(spark, sf):
 
 
 def audit_by_student(spark, sf):
-    logged = _outcomes(spark, sf).withColumn("params", privacy.mask_params(F.col("params")))
+    """Calls and failures by student, from a log that the outcomes were appended to."""
+    path = shared_dir(spark, "tool-calls")
+    audit.append_calls(_outcomes(spark, sf), path)
+    logged = spark.read.parquet(path)
     return logged.groupBy("student_id", F.col("params")["student_id"].alias("masked_student_id")).agg(
         F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("success")).alias("failures"), F.max("ts").alias("last_call"))
 
@@ -190,7 +194,7 @@ select dest_ip, dest_port, connections, class, case when class = 'violation' the
 """
 _BIND_KNOWN = """
 select b.*, epoch_us(ts) // 1000 as ms, row_number() over (partition by b.phone, kind order by ts, seq) as i
-from v_bind b where b.phone in (select phone from registrations)
+from v_bind b where b.phone in (select phone from registrations where registered)
 """
 
 ORACLES = {
@@ -199,9 +203,9 @@ ORACLES = {
           when path = '/api/v1/parent/bind' or path like '/api/v1/parent/bind/%' then '/api/v1/parent/bind' end as rule from v_log)
       select seq, rule, rule || case when student_id is not null then ':student:' || student_id else ':ip:' || ip end as rate_key,
         cast(case rule when '/api/v1/ai' then 6 when '/api/v1/parent/bind' then 12 end as int) as retry_after from ruled""", v_log=V.ACCESS),
-    "revoked_access": V.oracle("select seq, jti, jti in (select jti from revocations) as revoked from v_log",
+    "revoked_access": V.oracle("select seq, jti, jti in (select jti from revocations where revoked) as revoked from v_log",
         v_log=V.ACCESS, revocations=V.REVOCATIONS),
-    "revoke_by_phone": V.oracle("select phone, count(distinct jti) as tokens from revocations group by 1", revocations=V.REVOCATIONS),
+    "revoke_by_phone": V.oracle("select phone, count(distinct jti) as tokens from revocations where revoked group by 1", revocations=V.REVOCATIONS),
     "rate_token_bucket": V.oracle(_R + "select seq, allowed, round(tokens, 6) as tokens_left from bucket", **_N, bucket=_BUCKET),
     "rate_anchored_window": V.oracle(_R + f"""
       select seq, used <= {WINDOW_MAX} as allowed, cast(greatest(0, {WINDOW_MAX} - used) as bigint) as remaining, (start_ms + {_W}) // 1000 as reset_epoch,
@@ -226,7 +230,7 @@ ORACLES = {
       select student_id, case when length(p_student_id) > 4 then '****' || right(p_student_id, 4) when p_student_id is not null then '****' end as masked_student_id,
         count(*) as calls, count(error_code) as failures, max(ts) as last_call from called group by 1, 2""", **_CALL_CTES),
     "bind_request_outcome": V.oracle(_R + f"""
-      select b.seq, b.phone, cast(case when b.phone not in (select phone from registrations) then {C.CODE_NOT_REGISTERED}
+      select b.seq, b.phone, cast(case when b.phone not in (select phone from registrations where registered) then {C.CODE_NOT_REGISTERED}
         when b.kind = 'verify-code' then case when l.allowed then {C.CODE_OK} else {C.CODE_RATE_LIMITED} end
         when k.outcome = 'ok' then {C.CODE_OK} when k.outcome = 'locked' then {C.CODE_LOCKED} else {C.CODE_WRONG} end as int) as code
       from v_bind b left join logged l on l.seq = b.seq left join locks k on k.seq = b.seq""",

@@ -10,7 +10,7 @@ from rosterflow.catalog import views as V
 from rosterflow.catalog.privacy import SNIPPET_SQL, _REFUSAL, _placeholder_sql, safety_sql
 from rosterflow.functions import dialogue
 from rosterflow.operators import dialogue as turns_ops
-from rosterflow.plans import answering
+from rosterflow.plans import answering, chat
 
 
 def intent_detect(spark, sf):
@@ -64,8 +64,35 @@ def qa_outcomes(spark, sf):
         F.col("label.label_type").alias("label_type"), F.col("label.degraded").alias("degraded"))
 
 
+def chat_turns(spark, sf):
+    """The questions as a chat of three students; rounds are counted as they are added to the sessions."""
+    requests = R.questions(spark, sf).withColumns({
+        "seq": F.col("question_id"), "ts": F.timestamp_millis(F.col("question_id") * 2000).cast("timestamp_ntz"),
+        "student_id": (F.col("question_id") % 3).cast("string"), "session_id": F.col("question_id") % 5})
+    done = chat.chat_turns(requests, R.indexed(spark, sf), _history(spark, sf), max_requests=5)
+    rounds = chat.appended_rounds(done).groupBy("session_id").agg(F.count(F.lit(1)).alias("added"))
+    return done.join(rounds, "session_id", "left").select(
+        "question_id", "student_id", "allowed", "retry_after", "mode", "reply", "prompt_tokens", "completion_tokens",
+        F.coalesce(F.size("tools"), F.lit(0)).cast("int").alias("tool_calls"), "added")
+
+
+def _calls(spark, sf):
+    reply = dialogue.refusal_text(dialogue.safety_category(F.col("message")))
+    return turns_ops.call_usage(V.view(spark, sf, V.MESSAGES).select(
+        "message_id", "student_id", "ts", F.col("message").alias("prompt"), reply.alias("completion")))
+
+
+def call_usage(spark, sf):
+    return _calls(spark, sf).select("message_id", "prompt_tokens", "completion_tokens", "total_tokens")
+
+
+def daily_usage(spark, sf):
+    return turns_ops.daily_usage(_calls(spark, sf))
+
+
 QUERIES = {fn.__name__: fn for fn in (
-    intent_detect, intent_extract, intent_tools, extractive_reply, prompt_build, qa_outcomes)}
+    intent_detect, intent_extract, intent_tools, extractive_reply, prompt_build, qa_outcomes, chat_turns, call_usage,
+    daily_usage)}
 
 
 def _contains_sql(col, words):
@@ -157,3 +184,39 @@ ORACLES = {
       from moded join stripped using (question_id) join prompts using (question_id) left join faq using (question_id)""",
         **_BASE, replies=_REPLIES, recent=_RECENT, prompts=_PROMPTS, **_FAQ_CTES),
 }
+
+_CHAT = f"""
+with recursive qa as ({ORACLES['qa_outcomes']}),
+asked as (
+  select item_id as id, item_id % 3 as student, item_id * 2000 as ms, row_number() over (partition by item_id % 3 order by item_id) as i
+  from benchmark),
+opened as (
+  select id, student, i, ms, ms as start_ms, 1 as used from asked where i = 1
+  union all
+  select n.id, n.student, n.i, n.ms, case when n.ms - o.start_ms > 60000 then n.ms else o.start_ms end,
+    case when n.ms - o.start_ms > 60000 then 1 else o.used + 1 end
+  from opened o join asked n on n.student = o.student and n.i = o.i + 1),
+judged as (
+  select o.*, used <= 5 as allowed, case when used <= 5 then qa.mode else 'rate_limited' end as chat_mode, qa.*
+  from opened o join qa on qa.question_id = o.id),
+added as (select question_id % 5 as session, 2 * count(*) as n from judged where allowed group by 1)
+select question_id, cast(student as string) as student_id, allowed,
+  case when allowed then 0 else (start_ms + 60000 - ms) // 1000 + 1 end as retry_after, chat_mode as mode,
+  case when allowed then reply end as reply, cast(case when allowed then prompt_tokens else 0 end as int) as prompt_tokens,
+  cast(case when allowed then completion_tokens else 0 end as int) as completion_tokens,
+  cast(case when allowed and intents <> '' then len(string_split(intents, ',')) else 0 end as int) as tool_calls, added.n as added
+from judged left join added on added.session = question_id % 5"""
+ORACLES["chat_turns"] = _CHAT
+_USAGE = f"""
+, judged as (select *, {safety_sql('message')} as category from v_messages),
+ used as (select message_id, student_id, ts, cast({_SIZE.format('message')} as bigint) as prompt_tokens,
+   cast(case when category is null then 0 else {_SIZE.format(f'({_REFUSAL})')} end as bigint) as completion_tokens from judged)
+"""
+ORACLES["call_usage"] = V.oracle(
+    _USAGE + "select message_id, prompt_tokens, completion_tokens, prompt_tokens + completion_tokens as total_tokens from used",
+    v_messages=V.MESSAGES)
+ORACLES["daily_usage"] = V.oracle(_USAGE + """
+  select student_id, cast(ts as date) as day, count(*) as calls, cast(sum(prompt_tokens) as bigint) as prompt_tokens,
+    cast(sum(completion_tokens) as bigint) as completion_tokens,
+    cast(sum(prompt_tokens + completion_tokens) as bigint) as total_tokens
+  from used group by 1, 2""", v_messages=V.MESSAGES)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterflow.catalog import views as V
+from rosterflow.functions.times import instant_text
 from rosterflow.operators import changes as ops
 from rosterflow.operators import monitor
 from rosterflow.sources import changes as src
@@ -35,14 +36,22 @@ def handled(spark, sf):
 
 
 def _json_log(spark, sf):
-    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    """The log as JSON; times in turn with Z, with a zone, without one, and as an epoch in milliseconds."""
+    plain = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    ahead = F.date_format(F.col("ts") + F.make_dt_interval(hours=F.lit(8)), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    at = F.element_at(F.array(
+        F.concat(plain, F.lit("Z")), F.concat(ahead, F.lit("+08:00")), plain,
+        F.unix_millis(F.col("ts").cast("timestamp")).cast("string")), (F.col("seq") % 4 + 1).cast("int"))
     body = F.to_json(F.struct(
         F.col("source_table").alias("sourceTable"), "operation", "before", "after",
         at.alias("timestamp"),
         F.when(F.col("source_offset").isNotNull(), F.struct(
             F.col("source_offset.binlog_file").alias("binlogFile"),
-            F.col("source_offset.binlog_position").alias("binlogPosition"))).alias("sourceOffset"),
+            F.col("source_offset.binlog_position").alias("binlogPosition"),
+            F.concat(F.lit("gtid-"), F.col("seq").cast("string")).alias("gtid"),
+            at.alias("timestamp"))).alias("sourceOffset"),
         F.col("transaction_id").alias("transactionId")))
+    body = F.regexp_replace(body, '"timestamp":"([0-9]+)"', '"timestamp":$1')
     value = F.when(F.col("source_table") == "", F.lit("{not json")).otherwise(body)
     return change_log(spark, sf).select("seq", value.alias("value"))
 
@@ -52,7 +61,7 @@ def cdc_parse(spark, sf):
     return parsed.select(
         "seq", "source_table", "operation", F.col("before")["amount"].alias("before_amount"),
         F.col("after")["amount"].alias("after_amount"),
-        F.date_format("ts", "yyyy-MM-dd").alias("day"),
+        instant_text(F.col("ts")).alias("at"), instant_text(F.col("offset_ts")).alias("offset_at"), "gtid",
         F.col("source_offset.binlog_file").alias("binlog_file"),
         F.col("source_offset.binlog_position").alias("binlog_position"),
         "transaction_id", "parse_error")
@@ -112,12 +121,22 @@ def cdc_sink_route(spark, sf):
 def cdc_high_water(spark, sf):
     log = change_log(spark, sf)
     committed = F.when(F.col("sink_result") == "SUCCESS", F.col("source_offset"))
-    marked = ops.high_water(log, committed, block_rows=20000)
+    marked = ops.high_water(log, committed)
     return marked.select(
         "seq", F.col("committed_offset.binlog_file").alias("committed_file"),
         F.col("committed_offset.binlog_position").alias("committed_position"), "stale")
 
 
+def cdc_retry_plan(spark, sf):
+    """Writes of every change; the target of every third fails a number of times first, or for good."""
+    fails = F.array_repeat(F.lit("RETRY"), (F.col("seq") % 6).cast("int"))
+    results = F.when(F.col("seq") % 3 == 0, F.concat(fails, F.array("sink_result"))).otherwise(F.array("sink_result"))
+    tries = ops.write_attempts(change_log(spark, sf).withColumn("results", results))
+    return tries.select(
+        "seq", "attempt", "result", instant_text(F.col("due_at")).alias("due_at"),
+        F.when(F.col("last"), ops.attempted_outcome()).alias("outcome"))
+
+
 def cdc_outcomes(spark, sf):
     return handled(spark, sf).select("seq", "event_id", "outcome")
 
@@ -186,13 +205,18 @@ def batch_incremental_sync(spark, sf):
 
 QUERIES = {fn.__name__: fn for fn in (
     cdc_parse, cdc_unwrap, cdc_effective_image, cdc_event_id, cdc_offset_filter, cdc_enrich, id_mapping_latest,
-    id_translate, cdc_sink_route, cdc_high_water, cdc_outcomes, cdc_stats, cdc_dead_letter, sync_counts,
+    id_translate, cdc_sink_route, cdc_high_water, cdc_retry_plan, cdc_outcomes, cdc_stats, cdc_dead_letter, sync_counts,
     sink_latency_avg, latency_percentiles, batch_full_sync, batch_incremental_sync)}
 
-_EVENT_ID = """case when binlog_file is not null
+_AT = V.instant("ts")
+_IMAGE = """'{' || case when student_id is null then '' else '"student_id":"' || student_id || '",' end
+    || '"amount":"' || amount || '"}'"""
+_ROW = f"""'row-' || md5('{{' || concat_ws(',', case when has_before then '"before":' || {_IMAGE} end,
+    case when has_after then '"after":' || {_IMAGE} end) || '}}')"""
+_EVENT_ID = f"""case when binlog_file is not null
     then binlog_file || ':' || cast(binlog_position as string) || ':' || source_table || ':' || operation
   when transaction_id is not null then transaction_id || ':' || source_table || ':' || operation
-  else source_table || ':' || operation || ':' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') end"""
+  else source_table || ':' || operation || ':' || coalesce({_AT}, {_ROW}) end"""
 _TARGET = """case when source_table = '' then null when source_table like 'dorm\\_%' escape '\\' then 'dorm-system'
   when source_table like 'card\\_%' escape '\\' then 'card-system' else 'edu-system' end"""
 _IDENTIFIED = f"""
@@ -234,12 +258,14 @@ from ranked_latency group by source_server
 """
 
 ORACLES = {
-    "cdc_parse": V.oracle("""
+    "cdc_parse": V.oracle(f"""
       select seq, case when source_table <> '' then source_table end as source_table,
         case when source_table <> '' then operation end as operation,
         case when has_before and source_table <> '' then amount end as before_amount,
         case when has_after and source_table <> '' then amount end as after_amount,
-        case when source_table <> '' then strftime(ts, '%Y-%m-%d') end as day,
+        case when source_table <> '' then {_AT} end as at,
+        case when source_table <> '' and binlog_file is not null then {_AT} end as offset_at,
+        case when source_table <> '' and binlog_file is not null then 'gtid-' || cast(seq as string) end as gtid,
         case when source_table <> '' then binlog_file end as binlog_file,
         case when source_table <> '' then binlog_position end as binlog_position,
         case when source_table <> '' then transaction_id end as transaction_id,
@@ -275,6 +301,18 @@ ORACLES = {
       from (select *, max(case when sink_result = 'SUCCESS' then offset_key end) over (partition by source_server
         order by seq rows between unbounded preceding and 1 preceding) as hw from identified) t""",
         v_cdc=V.CDC, identified=_IDENTIFIED),
+    "cdc_retry_plan": V.oracle(f"""
+      , answers as (
+          select *, case when seq % 3 = 0 then seq % 6 else 0 end as fails from v_cdc),
+        tries as (
+          select *, unnest(range(0, 4)) as attempt from answers),
+        answered as (
+          select * exclude (ts), case when attempt < fails then 'RETRY' else sink_result end as result,
+            ts + case attempt when 0 then 0 when 1 then 10 when 2 then 40 else 100 end * interval 1 second as ts
+          from tries where attempt <= fails or sink_result = 'RETRY')
+      select seq, cast(attempt as int) as attempt, result, {_AT} as due_at,
+        case when result <> 'RETRY' then result when attempt = 3 then 'RETRY_EXHAUSTED' end as outcome
+      from answered""", v_cdc=V.CDC),
     "cdc_outcomes": V.oracle("select seq, event_id, outcome from handled", **_CTES),
     "cdc_stats": V.oracle("""
       select h.source_server, count(*) as total_events, count(*) filter (outcome = 'SUCCESS') as success_count,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rosterflow import constants as C
 from rosterflow.catalog import views as V
+from rosterflow.functions.times import instant_text
 from rosterflow.operators import events as ops
 from rosterflow.operators import progress
 from rosterflow.sources import envelopes as src
@@ -21,7 +22,7 @@ def _json_events(spark, sf):
         F.col("value").cast("decimal(12,2)").alias("payAmount"))
     body = F.to_json(F.struct(
         F.col("event_id").alias("eventId"), F.col("event_type").alias("eventType"),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("eventTime"),
+        instant_text(F.col("ts")).alias("eventTime"),
         F.lit("checkin-service").alias("source"), F.concat(F.lit("t-"), F.col("seq").cast("string")).alias("traceId"),
         F.when(F.col("retry_count") == 4, F.lit("2.0")).alias("version"), payload.alias("payload"),
         F.when(F.col("retry_count") > 0, F.col("retry_count")).alias("retryCount")))
@@ -33,17 +34,28 @@ def event_parse(spark, sf):
     paid = src.payload_of(C.PAYMENT_COMPLETED)["payAmount"]
     amount = F.when(F.col("event_type") == C.PAYMENT_COMPLETED, (paid * 100).cast("bigint"))
     return parsed.select(
-        "seq", "event_id", "event_type", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("event_time"),
+        "seq", "event_id", "event_type", instant_text(F.col("event_time")).alias("event_time"),
         "source", "trace_id", "version", "retry_count", "student_id", "known_type", amount.alias("pay_cents"))
 
 
-def event_publish_json(spark, sf):
-    rows = src.publish_rows(events_view(spark, sf).select(
+def _enveloped(events, *more):
+    return events.select(
         "event_id", "event_type", F.col("ts").alias("event_time"), F.lit("checkin-service").alias("source"),
         F.lit("t").alias("trace_id"), F.lit("1.0").alias("version"),
-        F.to_json(F.struct(F.col("student_id").alias("studentId"))).alias("payload"), "retry_count"))
+        F.to_json(F.struct(F.col("student_id").alias("studentId"))).alias("payload"), "retry_count", *more)
+
+
+def _shown(rows, *columns):
     headers = F.transform("headers", lambda h: F.concat(h["key"], F.lit("="), F.decode(h["value"], "utf-8")))
-    return rows.select("key", "value", F.array_join(headers, ";").alias("headers"))
+    return rows.select(*columns, "key", "value", F.array_join(headers, ";").alias("headers"))
+
+
+def event_publish_json(spark, sf):
+    return _shown(src.publish_rows(_enveloped(events_view(spark, sf))))
+
+
+def event_retry_publish(spark, sf):
+    return _shown(src.retry_rows(_enveloped(_consumed(spark, sf), "queue", "action", "reason")), "exchange")
 
 
 def event_dedupe(spark, sf):
@@ -68,14 +80,13 @@ def event_dead_letter(spark, sf):
 
 
 def queue_expiry(spark, sf):
-    now = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
-    return ops.queue_state(
-        ops.fan_out(events_view(spark, sf)), now, ttl_hours=48, max_length=60, block_rows=1500,
-    ).select("seq", "queue", "state")
+    view = events_view(spark, sf)
+    now = view.agg(F.max("ts").alias("now")).select("now").scalar()
+    return ops.queue_state(ops.fan_out(view), now, ttl_hours=48, max_length=60).select("seq", "queue", "state")
 
 
 def event_chain(spark, sf):
-    return ops.event_chain(ops.chain_records(events_view(spark, sf)), block_rows=1500).select(
+    return ops.event_chain(ops.chain_records(events_view(spark, sf))).select(
         "student_id", "position", "event_type")
 
 
@@ -94,11 +105,11 @@ def parent_notify(spark, sf):
 
 
 def _steps(spark, sf):
-    registered = V.table(spark, sf, "customer").filter("c_acctbal >= 0").select(
-        F.col("c_custkey").cast("string").alias("student_id"), F.col("c_name").alias("student_name"),
+    students = V.table(spark, sf, "customer").select(
+        (F.col("c_acctbal") >= 0).alias("registered"), F.col("c_custkey").cast("string").alias("student_id"), F.col("c_name").alias("student_name"),
         F.col("c_mktsegment").alias("college"),
         F.array(F.lit("photo"), F.lower("c_mktsegment")).alias("materials"))
-    return progress.student_steps(registered, events_view(spark, sf))
+    return progress.student_steps(students, events_view(spark, sf))
 
 
 def student_steps(spark, sf):
@@ -127,7 +138,7 @@ def hourly_arrivals(spark, sf):
 
 
 QUERIES = {fn.__name__: fn for fn in (
-    event_parse, event_publish_json, event_dedupe, event_fanout, retry_plan, event_dead_letter, queue_expiry,
+    event_parse, event_publish_json, event_retry_publish, event_dedupe, event_fanout, retry_plan, event_dead_letter, queue_expiry,
     event_chain, chain_ordered, completion_prereq, parent_notify, student_steps, student_progress, rate_by_group,
     step_funnel, hourly_arrivals)}
 
@@ -150,6 +161,14 @@ from customer c, (values """ + ", ".join(
     f"({i}, '{c}', '{n}', '{t}')" for i, (c, n, t) in enumerate(C.PROGRESS_STEPS)) + """) s(step_no, step_code, step_name, event_type)
 where c.c_acctbal >= 0
 """
+
+
+def _body_sql(count):
+    return f"""'{{"eventId":"' || event_id || '","eventType":"' || event_type || '","eventTime":"' || {V.instant('ts')}
+      || '","source":"checkin-service","traceId":"t","version":"1.0","payload":{{"studentId":"' || student_id
+      || '"}},"retryCount":' || cast({count} as string) || '}}'"""
+
+
 _D = dict(v_events=V.EVENTS, bindings=_BINDINGS, delivered=_DELIVERED)
 _CD = dict(**_D, consumed=_CONSUMED)
 _R = dict(v_events=V.EVENTS, records=_RECORDS)
@@ -157,18 +176,27 @@ _S = dict(v_events=V.EVENTS, steps=_STEPS)
 
 ORACLES = {
     "event_parse": V.oracle(f"""
-      select seq, event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') as event_time, 'checkin-service' as source,
+      select seq, event_id, event_type, {V.instant('ts')} as event_time, 'checkin-service' as source,
         't-' || cast(seq as string) as trace_id, case when retry_count = 4 then '2.0' else '1.0' end as version,
         cast(retry_count as int) as retry_count, case when value >= 5 then student_id else 'unknown' end as student_id,
         event_type in ({_KNOWN}) as known_type,
         case when event_type = 'student.payment.completed' then cast(round(value * 100) as bigint) end as pay_cents
       from v_events""", v_events=V.EVENTS),
-    "event_publish_json": V.oracle("""
-      select event_type as key, '{"eventId":"' || event_id || '","eventType":"' || event_type || '","eventTime":"'
-        || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","source":"checkin-service","traceId":"t","version":"1.0","payload":{"studentId":"'
-        || student_id || '"},"retryCount":' || cast(retry_count as string) || '}' as value,
+    "event_publish_json": V.oracle(f"""
+      select event_type as key, {_body_sql('retry_count')} as value,
         'message-id=' || event_id || ';x-retry-count=' || cast(retry_count as string) as headers
       from v_events""", v_events=V.EVENTS),
+    "event_retry_publish": V.oracle(f"""
+      , failed as (select *, case when action = 'RETRY' then retry_count + 1 else retry_count end as next,
+          case when handler_result = 'NON_RETRYABLE' then 'NonRetryableException: NON_RETRYABLE'
+            else 'MaxRetryExceeded: retryCount=' || cast(retry_count as string) || ', lastError=RETRYABLE' end as reason
+        from consumed where action in ('RETRY', 'DEAD_LETTER'))
+      select case action when 'RETRY' then '{C.RETRY_EXCHANGE}' else '{C.DEAD_LETTER_EXCHANGE}' end as exchange,
+        case action when 'RETRY' then 'retry.' || cast(next as string) else event_type end as key, {_body_sql('next')} as value,
+        case action when 'RETRY' then 'x-retry-count=' || cast(next as string) || ';x-original-queue=' || queue
+            || ';x-original-routing-key=' || event_type
+          else 'x-dead-letter-reason=' || reason || ';x-retry-count=' || cast(next as string) end as headers
+      from failed""", **_CD),
     "event_dedupe": V.oracle("""
       select event_id, seq, event_type, student_id from (
         select *, row_number() over (partition by event_id order by seq) as rn from v_events) t where rn = 1""",
@@ -185,20 +213,20 @@ ORACLES = {
         else 'MaxRetryExceeded: retryCount=' || cast(retry_count as string) || ', lastError=RETRYABLE' end as reason
       from consumed where action = 'DEAD_LETTER'""", **_CD),
     "queue_expiry": V.oracle("""
-      select seq, queue, case when ts < timestamp '2024-01-31 00:00:00' - interval 48 hour then 'expired'
+      select seq, queue, case when ts < (select max(ts) from v_events) - interval 48 hour then 'expired'
         when row_number() over (partition by queue order by seq desc) > 60 then 'overflow' else 'live' end as state
       from delivered""", **_D),
     "event_chain": V.oracle("""
       select student_id, row_number() over (partition by student_id order by seq) - 1 as position, event_type from records""", **_R),
     "chain_ordered": V.oracle("""
-      , indexed as (select *, row_number() over (partition by student_id order by seq) - 1 as idx from records),
-        firsts as (select student_id,
-          coalesce(min(idx) filter (event_type = 'student.checkin.success'), -1) as c,
-          coalesce(min(idx) filter (event_type = 'student.payment.completed'), -1) as p,
-          coalesce(min(idx) filter (event_type = 'student.verified.success'), -1) as v,
-          coalesce(min(idx) filter (event_type = 'student.checkin.completed'), -1) as d from indexed group by student_id)
-      select student_id, c = 0 and not (d <> -1 and d <= c) and not (p <> -1 and p <= c) and not (v <> -1 and v <= c)
-        and not (d <> -1 and p <> -1 and d <= p) and not (d <> -1 and v <> -1 and d <= v) as ordered from firsts""", **_R),
+      , firsts as (
+          select student_id, arg_min(event_type, seq) as opening,
+            min(seq) filter (event_type = 'student.payment.completed') as paid,
+            min(seq) filter (event_type = 'student.verified.success') as verified,
+            min(seq) filter (event_type = 'student.checkin.completed') as done
+          from records group by student_id)
+      select student_id, opening = 'student.checkin.success'
+        and coalesce(done > greatest(paid, verified), true) as ordered from firsts""", **_R),
     "completion_prereq": V.oracle("""
       select seq, student_id, c and p and v as prerequisites_met from (select *,
         coalesce(bool_or(event_type = 'student.checkin.success') over w, false) as c,
@@ -207,7 +235,7 @@ ORACLES = {
         window w as (partition by student_id order by seq rows between unbounded preceding and 1 preceding)) t
       where event_type = 'student.checkin.completed'""", **_R),
     "parent_notify": V.oracle(f"""
-      , phones as (select student_id, min(phone) as phone from registrations group by 1)
+      , phones as (select student_id, min(phone) as phone from registrations where registered group by 1)
       select seq, e.student_id, p.phone, p.phone is not null as pushed,
         case when p.phone is not null then '{C.NOTIFICATION_TEXT}' end as content
       from v_events e left join phones p on p.student_id = e.student_id

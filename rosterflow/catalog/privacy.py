@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rosterflow import constants as C
 from rosterflow.catalog import views as V
@@ -72,13 +73,24 @@ def pii_dictionary(spark, sf):
     return found.groupBy("c_custkey", "m.original").agg(F.min_by("m.placeholder", "m.rule").alias("placeholder"))
 
 
-def mask_json(spark, sf):
+def _json_documents(spark, sf):
     nested = F.to_json(F.struct(
         F.col("c_custkey").alias("id"), F.struct("phone", "id_card").alias("contact"),
         F.array(F.struct(F.col("bank_card").alias("bankCard"), F.col("email"))).alias("cards"),
         F.col("address"), F.col("name").alias("studentName")))
     body = F.when(F.col("c_mktsegment") == "FURNITURE", F.concat(F.lit("not json "), F.col("phone"))).otherwise(nested)
-    return pii(spark, sf).select("c_custkey", privacy.mask_json(body).alias("body"))
+    return pii(spark, sf).select("c_custkey", body.alias("body"))
+
+
+def mask_json(spark, sf):
+    shape = StructType.fromDDL(
+        "id bigint, contact struct<phone:string,id_card:string>, cards array<struct<bankCard:string,email:string>>, "
+        "address string, studentName string")
+    return _json_documents(spark, sf).select("c_custkey", privacy.mask_json_as(F.col("body"), shape).alias("body"))
+
+
+def mask_json_any(spark, sf):
+    return _json_documents(spark, sf).select("c_custkey", privacy.mask_json(F.col("body")).alias("body"))
 
 
 def audit_params(spark, sf):
@@ -131,7 +143,7 @@ def rekey_roundtrip(spark, sf):
 
 
 QUERIES = {fn.__name__: fn for fn in (
-    tokenize, snippet, mask_columns, sanitize_text, pii_scan, pii_placeholder, pii_dictionary, mask_json, audit_params,
+    tokenize, snippet, mask_columns, sanitize_text, pii_scan, pii_placeholder, pii_dictionary, mask_json, mask_json_any, audit_params,
     sensitive_key_audit, chat_request_valid, safety_verdict, encrypt_roundtrip, rekey_roundtrip)}
 
 
@@ -254,3 +266,4 @@ ORACLES = {
       select c_custkey, case when c_mktsegment <> 'HOUSEHOLD' then phone end as phone, c_mktsegment = 'HOUSEHOLD' as quarantined
       from v_pii""", v_pii=V.PII),
 }
+ORACLES["mask_json_any"] = ORACLES["mask_json"]

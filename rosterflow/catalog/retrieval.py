@@ -15,7 +15,7 @@ from rosterflow.session import shared_dir
 from rosterflow.sources import knowledge
 
 
-_INDEX_TABLES: dict[tuple[str, str], str] = {}
+_INDEX_TABLES: dict[tuple[str, str], tuple[int, str]] = {}
 
 
 def sections(spark, sf):
@@ -27,15 +27,21 @@ def chunks(spark, sf):
 
 
 def indexed(spark, sf):
-    """The chunk index, built and stored once per session and data folder."""
+    """The chunk index, built and stored once per session and data folder, and anew when the documents have changed."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _INDEX_TABLES or not spark.table(_INDEX_TABLES[key]).inputFiles():
+    source = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
+    status = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(source)
+    stamp = status.getModificationTime()
+    known, name = _INDEX_TABLES.get(key, (None, None))
+    if known != stamp:
+        if name:
+            spark.sql(f"drop table if exists {name}")
         name = f"chunk_index_{uuid.uuid4().hex}"
         total_chars = sections(spark, sf).agg(F.sum("n_chars")).first()[0]
         buckets = knowledge.bucket_count(total_chars, spark.sparkContext.defaultParallelism)
         knowledge.store_index(chunks(spark, sf), name, shared_dir(spark, "chunk-index"), buckets)
-        _INDEX_TABLES[key] = name
-    return spark.table(_INDEX_TABLES[key])
+        _INDEX_TABLES[key] = stamp, name
+    return spark.table(name)
 
 
 def questions(spark, sf):
@@ -48,7 +54,7 @@ def turns(spark, sf):
 
 
 def kb_ingest(spark, sf):
-    return knowledge.ingest(sections(spark, sf), "n", block_rows=300).select(
+    return knowledge.ingest(sections(spark, sf), "n").select(
         "chunk_id", "doc_id", "category", "title", "section", F.length("content").alias("n_chars"))
 
 
@@ -77,12 +83,8 @@ def kb_counts(spark, sf):
 
 
 def kb_union(spark, sf):
-    rows = chunks(spark, sf).select("chunk_id", "category")
-    out = None
-    for category in C.CATEGORIES:
-        part = rows.filter(F.col("category") == category)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The chunks of all categories, those without a known one included: one scan, as the category is a column."""
+    return chunks(spark, sf).select("chunk_id", "category")
 
 
 def material_list(spark, sf):

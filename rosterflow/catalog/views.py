@@ -27,7 +27,8 @@ select 4 * o_orderkey + case when copy = 1 then 1201
          'mysql-bin.' || lpad(cast(cast(floor(o_orderkey / 5000) as bigint) as string), 6, '0') end as binlog_file,
        case when o_totalprice >= 15000 then (o_orderkey % 5000) * 100 end as binlog_position,
        case when o_totalprice >= 8000 then 'tx-' || cast(o_orderkey as string) end as transaction_id,
-       o_orderdate as ts,
+       case when cast(floor(o_totalprice) as bigint) % 13 <> 0 then
+         o_orderdate + (o_orderkey % 1000) * interval 1 millisecond end as ts,
        case when o_totalprice < 15000 or o_totalprice >= 30000 then cast(o_custkey as string) end as student_id,
        cast(cast(floor(o_totalprice) as bigint) as string) as amount,
        (o_orderstatus <> 'P' and o_totalprice < 490000) as has_after,
@@ -40,23 +41,23 @@ from (select *, 0 as copy from {orders}
       select *, 1 as copy from {orders} where o_orderpriority = '1-URGENT' and o_orderstatus = 'P') o
 """
 
-# Identifier mapping versions: customers in credit are mapped, one segment a second time.
+# Identifier mapping versions: one segment has a second one; mappings of customers in debt are no longer active.
 ID_MAPPING = """
 select c_custkey + 10000000000 * version as seq,
        cast(c_custkey as string) as student_id,
        '110101' || lpad(cast(c_custkey + 1000000 * version as string), 12, '0') as id_card,
        case when c_nationkey <> 3 then
-         'CARD' || cast(version as string) || '-' || cast(c_custkey as string) end as card_id
+         'CARD' || cast(version as string) || '-' || cast(c_custkey as string) end as card_id,
+       c_acctbal >= 0 as active
 from (select *, 0 as version from {customer}
       union all
       select *, 1 as version from {customer} where c_mktsegment = 'BUILDING') c
-where c_acctbal >= 0
 """
 
 ID_LATEST = """
 select student_id, id_card, card_id from (
   select *, row_number() over (partition by student_id order by seq desc) as rn from v_id_mapping) m
-where rn = 1
+where rn = 1 and active
 """
 
 # Domain events: kinds become event types; some views repeat the id of the event before them.
@@ -76,14 +77,13 @@ select event_id as seq,
 from {events}
 """
 
-# Registered students with a parent's phone; one segment has a second phone.
+# Students with a parent's phone, registered or not; one segment has a second phone.
 REGISTRATIONS = """
 select '138' || lpad(cast(c_custkey + 50000000 * second as string), 8, '0') as phone,
-       cast(c_custkey as string) as student_id, c_name as student_name
+       cast(c_custkey as string) as student_id, c_name as student_name, c_acctbal >= 0 as registered
 from (select *, 0 as second from {customer}
       union all
       select *, 1 as second from {customer} where c_mktsegment = 'MACHINERY') c
-where c_acctbal >= 0
 """
 
 # Personal data columns.
@@ -134,7 +134,7 @@ from {benchmark}
 
 # Messages typed by students, one per event.
 MESSAGES = """
-select event_id as message_id, cast(20260000 + user_id as string) as student_id,
+select event_id as message_id, ts, cast(20260000 + user_id as string) as student_id,
        case event_type
          when 'signup' then '报到需要带什么材料,学号' || cast(20260000 + user_id as string)
          when 'purchase' then case when value < 20 then '帮我修改一下缴费状态' else '学费怎么交 电话13800138000' end
@@ -162,8 +162,9 @@ from {events}
 """
 
 REVOCATIONS = """
-select cast(user_id as string) as jti, '138' || lpad(cast(user_id % 40 as string), 8, '0') as phone
-from {events} where event_type = 'error' and value > 60
+select cast(user_id as string) as jti, '138' || lpad(cast(user_id % 40 as string), 8, '0') as phone,
+       event_type = 'error' and value > 60 as revoked
+from {events}
 """
 
 TOOL_CALLS = """
@@ -210,21 +211,9 @@ select distinct '52.1.' || cast(s_suppkey % 3 as string) || '.9' as ip from {sup
 _TABLE = re.compile(r"\{(\w+)\}")
 
 
-# Text tables, whose rows cost far more to process than to move, and the key to spread them by.
-_SPREAD_KEYS = {"documents": "doc_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table.
-
-    A text file with no more splits than cores would leave some of them idle, so
-    its rows are spread by key.  A table of many splits is read as it is.
-    """
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in _SPREAD_KEYS and rows.rdd.getNumPartitions() <= cores:
-        return rows.repartition(cores, _SPREAD_KEYS[name])
-    return rows
+    """One given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, text: str, **views: DataFrame) -> DataFrame:
@@ -236,6 +225,14 @@ def view(spark: SparkSession, sf_dir: str, text: str, **views: DataFrame) -> Dat
     return spark.sql(text, **frames, **views)
 
 
+def instant(column: str) -> str:
+    """SQL of the checking engine for a time as text, with the digits of the second that it has."""
+    micros = f"epoch_us({column}) % 1000000"
+    return f"""strftime({column}, '%Y-%m-%dT%H:%M:%S') || case when {micros} = 0 then ''
+      when {micros} % 1000 = 0 then '.' || lpad(cast({micros} // 1000 as string), 3, '0')
+      else '.' || lpad(cast({micros} as string), 6, '0') end || 'Z'"""
+
+
 def oracle(body: str, **ctes: str) -> str:
     """SQL for the checking engine: the named views as CTEs, then ``body``."""
     parts = [f"{name} as ({_TABLE.sub(lambda m: m.group(1), text)})" for name, text in ctes.items()]

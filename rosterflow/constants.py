@@ -22,6 +22,7 @@ LATENCY_WINDOW = 1000
 P95_TARGET_MS = 5000
 
 # --- domain events -------------------------------------------------------
+# Event types.
 CHECKIN_SUCCESS = "student.checkin.success"
 PAYMENT_COMPLETED = "student.payment.completed"
 VERIFIED_SUCCESS = "student.verified.success"
@@ -41,11 +42,17 @@ BINDINGS = [
     (CHECKIN_COMPLETED, "q.edu.register"),
 ]
 
+# Limits of queues and retries.
 MAX_RETRY_COUNT = 3
 RETRY_DELAYS_SECONDS = [10, 30, 60]
 MESSAGE_TTL_HOURS = 24
 QUEUE_MAX_LENGTH = 10_000
 IDEMPOTENT_HOURS = 24
+# Exchanges and headers of messages that are sent again or given up.
+RETRY_EXCHANGE, DEAD_LETTER_EXCHANGE = "student.events.retry", "student.events.dlx"
+HEADER_RETRY_COUNT, HEADER_QUEUE = "x-retry-count", "x-original-queue"
+HEADER_ROUTING_KEY, HEADER_REASON = "x-original-routing-key", "x-dead-letter-reason"
+# Fixed value: text of a notice.
 NOTIFICATION_TEXT = "您的孩子已到校，请放心。"
 
 # Check-in steps (code, display name, event type that completes it).

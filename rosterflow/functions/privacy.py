@@ -8,7 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 from rosterflow import constants as C
 from rosterflow.functions.text import is_blank
@@ -181,32 +181,65 @@ def _mask_value(text: str, kind: str) -> str:
     return text[:6] + "***" if size > 6 else "*" * size
 
 
-def _mask_tree(node):
+class _Number(str):
+    """A number as the document spells it."""
+
+
+def _no_number(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def _masked_text(node) -> str:
     if isinstance(node, dict):
-        return {
-            key: _mask_value(value, C.PII_FIELDS[key])
-            if key in C.PII_FIELDS and isinstance(value, str) else _mask_tree(value)
-            for key, value in node.items()
-        }
-    return [_mask_tree(item) for item in node] if isinstance(node, list) else node
+        return "{" + ",".join(
+            json.dumps(key, ensure_ascii=False) + ":" + (
+                json.dumps(_mask_value(value, C.PII_FIELDS[key]), ensure_ascii=False)
+                if key in C.PII_FIELDS and type(value) is str else _masked_text(value))
+            for key, value in node.items()) + "}"
+    if isinstance(node, list):
+        return "[" + ",".join(_masked_text(item) for item in node) + "]"
+    return str(node) if isinstance(node, _Number) else json.dumps(node, ensure_ascii=False)
 
 
 def _mask_document(text: str | None) -> str | None:
     try:
-        return json.dumps(_mask_tree(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
-    except (TypeError, ValueError):
+        return _masked_text(json.loads(text, parse_float=_Number, parse_int=_Number, parse_constant=_no_number))
+    except (TypeError, ValueError, RecursionError):
         return text
 
 
 @F.pandas_udf(StringType())
 def mask_json(documents: pd.Series) -> pd.Series:
-    """Mask known fields anywhere in a JSON text; text that is not JSON stays as it is.
+    """Mask known fields anywhere in a JSON text of any shape; numbers keep their spelling.
 
-    The shape is unknown, so there is no native expression for the rewrite.
+    Text that is not JSON, or is nested too deeply to be read, stays as it is.  Where the shape is known,
+    :func:`mask_json_as` does the same without Python.
     """
     return documents.map(_mask_document)
 
 
+def mask_json_as(col: Column, schema: StructType) -> Column:
+    """Mask known fields of a JSON text of the given shape, in Spark expressions only.
+
+    Fields beyond the schema and null fields are left out; text that does not parse stays as it is.
+    """
+    bad = "__unreadable"
+    parsed = F.from_json(col, StructType([*schema.fields, StructField(bad, StringType())]), {
+        "columnNameOfCorruptRecord": bad})
+
+    def rebuilt(value: Column, kind: DataType, name: str | None = None) -> Column:
+        if isinstance(kind, StructType):
+            fields = [rebuilt(value[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields]
+            return F.when(value.isNotNull(), F.struct(*fields))
+        if isinstance(kind, ArrayType):
+            return F.transform(value, lambda item: rebuilt(item, kind.elementType))
+        if name in C.PII_FIELDS and isinstance(kind, StringType):
+            return F.when(is_blank(value), value).otherwise(MASKS[C.PII_FIELDS[name]](value))
+        return value
+
+    return F.when(parsed.isNull() | parsed[bad].isNotNull(), col).otherwise(F.to_json(rebuilt(parsed, schema)))
+
+
 def mask_params(params: Column) -> Column:
     """Audit copy of call parameters: only the end of a student id stays readable."""
     def hide(value: Column) -> Column:

@@ -38,15 +38,15 @@ def route(log: DataFrame, rules=C.RATE_RULES) -> DataFrame:
 
 
 def mark_revoked(log: DataFrame, revocations: DataFrame) -> DataFrame:
-    """Whether the token of each access was revoked."""
-    revoked = revocations.groupBy("jti").agg(F.lit(True).alias("__revoked"))
+    """Whether the token of each access was revoked; entries that are not ``revoked`` do not count."""
+    revoked = revocations.filter("revoked").groupBy("jti").agg(F.lit(True).alias("__revoked"))
     return lookup(log, revoked, "jti", ["seq"]).withColumn(
         "revoked", F.coalesce("__revoked", F.lit(False))).drop("__revoked")
 
 
 def revoke_by_phone(revocations: DataFrame) -> DataFrame:
     """Distinct tokens revoked per phone; copies are dropped before the shuffle."""
-    return revocations.select("phone", "jti").distinct().groupBy("phone").agg(
+    return revocations.filter("revoked").select("phone", "jti").distinct().groupBy("phone").agg(
         F.count(F.lit(1)).alias("tokens"))
 
 
@@ -100,7 +100,7 @@ def bind_outcomes(
     max_requests: int = C.CODE_REQUEST_MAX, max_errors: int = C.MAX_ERROR_COUNT, lock_seconds: int = C.LOCK_SECONDS,
 ) -> DataFrame:
     """Result code of code requests and binding attempts; only registered phones reach the limiters."""
-    phones = registrations.groupBy("phone").agg(F.lit(True).alias("registered"))
+    phones = registrations.filter("registered").groupBy("phone").agg(F.lit(True).alias("registered"))
     checked = lookup(requests, phones, "phone", ["seq"])
     known = checked.filter("registered")
     asked = limits.sliding_log(
@@ -118,7 +118,7 @@ def bind_outcomes(
 def egress_audit(connections: DataFrame, allow_list: DataFrame) -> DataFrame:
     """Connections per target, most frequent first, with their class and verdict."""
     counted = connections.groupBy("dest_ip", "dest_port").agg(F.count(F.lit(1)).alias("connections"))
-    allowed = allow_list.select(F.col("ip").alias("dest_ip"), F.lit(True).alias("__allowed"))
+    allowed = allow_list.select(F.col("ip").alias("dest_ip"), F.lit(True).alias("__allowed")).distinct()
     judged = lookup(counted, allowed, "dest_ip", ["dest_port"])
     kind = F.when(F.col("dest_ip").rlike(INTERNAL_IP), F.lit("internal")).when(
         F.col("__allowed"), F.lit("allow_listed")).otherwise(F.lit("violation"))

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from rosterflow.operators.joins import join_back
+
 BLOCK_ROWS = 1_000_000
 BLOCK_MILLIS = 3_600_000
 
@@ -50,7 +52,7 @@ def running_max(
     summary = blocked.groupBy(*keys, _BLK).agg(F.max(_SUM).alias(_SUM))
     before = _blocks_before(summary, keys, F.max(_SUM))
     return (
-        inside.join(before, [*keys, _BLK], "left")
+        join_back(inside, before, [*keys, _BLK])
         .withColumn(name, F.greatest(F.col(_IN), F.col(_PRE)))
         .drop(_BLK, _IN, _SUM, _PRE)
     )
@@ -70,7 +72,7 @@ def running_count(
     summary = blocked.groupBy(*keys, _BLK).agg(F.count(F.lit(1)).alias(_SUM))
     before = _blocks_before(summary, keys, F.sum(_SUM))
     return (
-        inside.join(before, [*keys, _BLK], "left")
+        join_back(inside, before, [*keys, _BLK])
         .withColumn(name, F.col(_IN).cast("bigint") + F.coalesce(F.col(_PRE), F.lit(0)))
         .drop(_BLK, _IN, _PRE)
     )
@@ -87,6 +89,6 @@ def previous(
         *keys, _BLK, F.lag(_SUM).over(W.partitionBy(*keys).orderBy(_BLK)).alias(_PRE))
     found = F.coalesce(F.col(_IN), F.col(_PRE))
     return (
-        inside.join(last, [*keys, _BLK], "left")
+        join_back(inside, last, [*keys, _BLK])
         .select(*df.columns, *[found[src].alias(new) for new, src in values.items()])
     )

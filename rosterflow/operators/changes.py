@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterflow import constants as C
+from rosterflow.functions.times import instant_text
 from rosterflow.operators import blocks
 from rosterflow.operators.joins import first_positions, keep_last, lookup
+from rosterflow.session import written
 
 
 def effective_image() -> Column:
@@ -28,9 +32,13 @@ def with_image_checks(changes: DataFrame) -> DataFrame:
 
 
 def event_id() -> Column:
-    """Id from the log position, else from the transaction, else from the time."""
+    """Id from the log position, else from the transaction, else from the time, else from the row's images.
+
+    Changes without any of the first three that carry different rows stay different changes.
+    """
     table, op = F.col("source_table"), F.col("operation")
-    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    images = F.md5(F.to_json(F.struct("before", "after")))
+    at = F.coalesce(instant_text(F.col("ts")), F.concat(F.lit("row-"), images))
     offset = F.col("source_offset")
     return (
         F.when(
@@ -49,8 +57,8 @@ def after_offset(changes: DataFrame, binlog_file: str, position: int) -> DataFra
 
 
 def latest_mapping(versions: DataFrame) -> DataFrame:
-    """Latest (student_id, id_card, card_id) per student by arrival."""
-    return keep_last(versions, ["student_id"], "seq").drop("seq")
+    """Latest (student_id, id_card, card_id) per student by arrival; none where the latest version is not ``active``."""
+    return keep_last(versions, ["student_id"], "seq").filter("active").drop("seq", "active")
 
 
 def translate_ids(requests: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -118,6 +126,33 @@ def write_outcome() -> Column:
     )
 
 
+def write_attempts(changes: DataFrame, results: str = "results") -> DataFrame:
+    """One row for each write of a change: ``attempt`` from 0, its ``result``, ``due_at``, and whether it is the ``last``.
+
+    ``results`` holds what the target answers in turn; the last answer repeats.  Anything but SUCCESS and DEAD_LETTER is
+    tried again, three times at most, after the delays of the ladder.  Without any answer the result is RETRY.
+    """
+    most = 1 + C.MAX_RETRY_COUNT
+    given = F.filter(F.coalesce(results, F.array()), lambda r: r.isNotNull())
+    given = F.when(F.size(given) > 0, given).otherwise(F.array(F.lit(C.RETRY)))
+    padded = F.slice(F.concat(given, F.array_repeat(F.element_at(given, -1), most)), 1, most)
+    ends = F.array_position(F.transform(padded, lambda r: r.isin(C.SUCCESS, C.DEAD_LETTER)), True)
+    used = F.when(ends > 0, ends).otherwise(F.lit(most)).cast("int")
+    tries = changes.withColumn("__used", used).select("*", F.posexplode(F.slice(padded, F.lit(1), used)).alias("attempt", "result"))
+    waits = [sum(C.RETRY_DELAYS_SECONDS[:n]) for n in range(most)]
+    waited = F.element_at(F.array(*[F.lit(w) for w in waits]), F.col("attempt") + 1)
+    return tries.withColumns({
+        "due_at": F.col("ts") + F.make_dt_interval(secs=waited),
+        "last": F.col("attempt") + 1 == F.col("__used"),
+    }).drop("__used", results)
+
+
+def attempted_outcome() -> Column:
+    """Outcome of the last write of a change."""
+    result = F.col("result")
+    return F.when(result.isin(C.SUCCESS, C.DEAD_LETTER), result).otherwise(F.lit(C.RETRY_EXHAUSTED))
+
+
 def high_water(
     changes: DataFrame, committed: Column, source: str = "source_server", seq: str = "seq",
     block_rows: int = blocks.BLOCK_ROWS,
@@ -131,18 +166,19 @@ def high_water(
 
 def outcomes(
     changes: DataFrame, mapping: DataFrame, source: str = "source_server",
-    block_rows: int = blocks.BLOCK_ROWS,
+    block_rows: int = blocks.BLOCK_ROWS, store: Callable[[DataFrame, str], DataFrame] = written,
 ) -> DataFrame:
     """One outcome per delivered change.
 
     ``changes`` carries ``seq`` (arrival), ``source_server`` and ``sink_result``
     (result of the target after its retries).  A copy of an earlier change and a
     change at or below the committed offset are skipped; only successes move the
-    committed offset.
+    committed offset.  The enriched changes are read three times, so ``store`` keeps
+    them: a table in the shared folder, unless a caller has them in hand already.
     """
     identified = changes.withColumns({"event_id": event_id(), "target": target_system()})
-    routed = enrich(identified, mapping).withColumn("own_outcome", write_outcome())
-    copies = first_positions(identified, [source, "event_id"], "seq", "first_seq")
+    routed = store(enrich(identified, mapping).withColumn("own_outcome", write_outcome()), "routed")
+    copies = first_positions(routed, [source, "event_id"], "seq", "first_seq")
     flagged = (
         routed.join(copies, [source, "event_id"], "left")
         .withColumn("is_copy", F.coalesce(F.col("seq") > F.col("first_seq"), F.lit(False)))

@@ -33,6 +33,18 @@ def token_usage(turns: DataFrame) -> DataFrame:
         F.sum(size).alias("total_tokens"))
 
 
+def call_usage(calls: DataFrame) -> DataFrame:
+    """Prompt, completion and total tokens of every call with ``prompt`` and ``completion`` texts (null: none)."""
+    sizes = {f"{part}_tokens": text.estimate_tokens(F.col(part)).cast("bigint") for part in ("prompt", "completion")}
+    return calls.withColumns(sizes).withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+
+
+def daily_usage(calls: DataFrame) -> DataFrame:
+    """Calls and tokens by student and day, from the rows of :func:`call_usage`."""
+    sums = [F.sum(f"{part}_tokens").alias(f"{part}_tokens") for part in ("prompt", "completion", "total")]
+    return calls.groupBy("student_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("calls"), *sums)
+
+
 def frequent_questions(messages: DataFrame, k: int) -> DataFrame:
     """The ``k`` most frequent normalised questions; equal texts are counted before the shuffle."""
     asked = messages.select(text.normalise_question(F.col("message")).alias("question"))

@@ -39,31 +39,42 @@ def apply_handlers(deliveries: DataFrame, handlers: dict[str, Handler]) -> DataF
     return deliveries.withColumn("handler_result", result)
 
 
+# A retried message keeps its id, so the retry count is part of the key.
+DELIVERY = ["queue", "event_id", "retry_count"]
+
+
+def mark_copies(deliveries: DataFrame, seq: str = "seq") -> DataFrame:
+    """``copy``: whether an earlier delivery has the same queue, id and retry count."""
+    copies = first_positions(deliveries, DELIVERY, seq, "first_seq")
+    again = F.coalesce(F.col(seq) > F.col("first_seq"), F.lit(False))
+    return deliveries.join(copies, DELIVERY, "left").withColumn("copy", again).drop("first_seq")
+
+
 def consume(deliveries: DataFrame, seq: str = "seq") -> DataFrame:
     """Outcome of every delivery: DUPLICATE, OK, RETRY with its due time, or DEAD_LETTER with a reason.
 
     ``deliveries`` carries queue, event_id, retry_count, ts and handler_result.
-    A retried message keeps its id, so the retry count is part of the key.
     """
-    keys = ["queue", "event_id", "retry_count"]
-    copies = first_positions(deliveries, keys, seq, "first_seq")
-    flagged = deliveries.join(copies, keys, "left")
-    again = F.coalesce(F.col(seq) > F.col("first_seq"), F.lit(False))
-    result, tries = F.col("handler_result"), F.col("retry_count")
+    return planned(mark_copies(deliveries, seq))
+
+
+def planned(marked: DataFrame) -> DataFrame:
+    """Outcomes of deliveries whose copies are marked; the handler's result of a copy does not count."""
+    again, result, tries = F.col("copy"), F.col("handler_result"), F.col("retry_count")
     exhausted = tries >= C.MAX_RETRY_COUNT
     action = (
         F.when(again, F.lit("DUPLICATE")).when(result == "OK", F.lit("OK"))
         .when(result == "NON_RETRYABLE", F.lit("DEAD_LETTER"))
         .when(exhausted, F.lit("DEAD_LETTER")).otherwise(F.lit("RETRY"))
     )
-    planned = flagged.withColumn("action", action)
+    decided = marked.withColumn("action", action).drop("copy")
     is_retry = F.col("action") == "RETRY"
     next_try = F.when(is_retry, (tries + 1).cast("int"))
     delay = F.when(is_retry, retry_delay(next_try))
     reason = F.when(F.col("action") == "DEAD_LETTER", F.when(
         result == "NON_RETRYABLE", F.concat(F.lit("NonRetryableException: "), result)).otherwise(
         F.concat(F.lit("MaxRetryExceeded: retryCount="), tries.cast("string"), F.lit(", lastError="), result)))
-    return planned.drop("first_seq").withColumns({
+    return decided.withColumns({
         "next_retry": next_try,
         "retry_key": F.when(is_retry, F.concat(F.lit("retry."), next_try.cast("string"))),
         "delay_seconds": delay,
@@ -143,7 +154,7 @@ def completion_check(records: DataFrame) -> DataFrame:
 
 def notify_parents(events: DataFrame, registrations: DataFrame) -> DataFrame:
     """A message per check-in whose student has a registered phone; the others stay unpushed."""
-    phones = registrations.groupBy("student_id").agg(F.min("phone").alias("phone"))
+    phones = registrations.filter("registered").groupBy("student_id").agg(F.min("phone").alias("phone"))
     checkins = events.filter(F.col("event_type") == C.CHECKIN_SUCCESS)
     joined = lookup(checkins, phones, "student_id", ["event_id"])
     return joined.withColumns({

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from rosterflow.operators import blocks
+from rosterflow.operators.joins import join_back
 
 Step = Callable[[object, tuple], "tuple[object, tuple]"]
 
@@ -51,7 +52,7 @@ def cut_at_gaps(counted: DataFrame, key: str, gap_ms: int, block_ms: int) -> Dat
     ).select(
         key, "blk", "first_cut",
         F.max(F.greatest("cut", "first_cut")).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
-    return marked.join(tied, [key, "blk"]).withColumn(
+    return join_back(marked, tied, [key, "blk"]).withColumn(
         "piece", F.greatest("last_cut", "first_cut", "carried")).drop("blk", "cut", "last_cut", "first_cut", "carried")
 
 

@@ -29,6 +29,16 @@ def lookup(left: DataFrame, keyed: DataFrame, key: str, spread: Sequence[str]) -
     return probe.join(side, _KEY, "left").drop(_KEY)
 
 
+def join_back(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join on columns of both sides in which null equals null; the keys come out once."""
+    renamed = {key: f"__back_{key}" for key in keys}
+    condition = None
+    for key, name in renamed.items():
+        same = F.col(key).eqNullSafe(F.col(name))
+        condition = same if condition is None else condition & same
+    return left.join(right.withColumnsRenamed(renamed), condition, how).drop(*renamed.values())
+
+
 def fixed_table(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A broadcastable table of fixed values from :mod:`rosterflow.constants`."""
     return F.broadcast(spark.createDataFrame(list(rows), schema))

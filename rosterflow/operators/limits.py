@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from rosterflow import constants as C
 from rosterflow.functions.text import is_blank
 from rosterflow.operators import blocks, folds
+from rosterflow.operators.joins import join_back
 
 
 def _per_millisecond(requests: DataFrame, key: str, ts: str) -> DataFrame:
@@ -19,10 +20,10 @@ def _per_millisecond(requests: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def _back_to_requests(requests: DataFrame, folded: DataFrame, key: str, ts: str, seq: str) -> DataFrame:
-    """Requests with the fold result of their millisecond and their place ``j`` in it."""
+    """Requests with the fold result of their millisecond and their place ``j`` in it; a null key is a key like others."""
     same = W.partitionBy(key, "ms").orderBy(seq)
     placed = requests.withColumn("ms", folds.epoch_millis(ts)).withColumn("j", F.row_number().over(same))
-    return placed.join(folded, [key, "ms"], "left")
+    return join_back(placed, folded, [key, "ms"])
 
 
 # The steps take (ms, n) and return per-millisecond facts; each of the n requests

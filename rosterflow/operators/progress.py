@@ -18,8 +18,9 @@ def latest_steps(events: DataFrame, with_seq: bool = False) -> DataFrame:
     return events.join(steps, "event_type").groupBy("student_id", "step_code").agg(*latest)
 
 
-def student_steps(registered: DataFrame, events: DataFrame) -> DataFrame:
-    """Every step of every registered student; steps never seen are open, unregistered students ignored."""
+def student_steps(students: DataFrame, events: DataFrame) -> DataFrame:
+    """Every step of every student with ``registered``; steps never seen are open."""
+    registered = students.filter("registered").drop("registered")
     steps = F.array(*[
         F.struct(F.lit(i).alias("step_no"), F.lit(code).alias("step_code"), F.lit(name).alias("step_name"))
         for i, (code, name, _) in enumerate(C.PROGRESS_STEPS)])

@@ -29,8 +29,6 @@ POSTING_LENGTH = 1000
 # characters: every character makes at most one bigram and one term entry of
 # about 24 bytes, so the lists stay below 100 MB.
 BROADCAST_QUESTION_CHARS = 2_000_000
-# Found chunks (K per question, three numbers each) are broadcast up to this many rows.
-BROADCAST_FOUND_ROWS = 1_000_000
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -176,8 +174,6 @@ def retrieve(
     ranked = scored.withColumn("rank", F.row_number().over(ranking))
     if k > 0:
         ranked = ranked.filter(F.col("rank") <= k)
-        if questions.count() * k <= BROADCAST_FOUND_ROWS:
-            ranked = F.broadcast(ranked)
     shown = candidates.select("chunk_no", "chunk_id", "doc_id", "category", "title", "section", "content")
     return ranked.join(shown, "chunk_no").withColumn("snippet", text.snippet(F.col("content"))).drop("content")
 

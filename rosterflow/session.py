@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,19 +28,21 @@ def build_session(app_name: str = "rosterflow", master: str | None = None, **con
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings on a session somebody else built."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return spark
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+    """A fresh folder that the driver and all executors share; it goes when the application ends.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary folder is used only where that setting is absent (local tests).
+    It lies below the folder that the cluster names in ``spark.checkpoint.dir``, and below the warehouse where that
+    setting is absent.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="rosterflow-")
-    return os.path.join(base, "rosterflow", f"{name}-{uuid.uuid4().hex}")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/rosterflow/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

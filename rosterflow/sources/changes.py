@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterflow import constants as C
+from rosterflow.functions.times import parse_time
 
 CHANGE_SCHEMA = (
     "sourceTable string, operation string, before map<string,string>, after map<string,string>, "
-    "timestamp timestamp_ntz, "
-    "sourceOffset struct<binlogFile:string, binlogPosition:bigint, gtid:string, timestamp:timestamp_ntz>, "
+    "timestamp string, "
+    "sourceOffset struct<binlogFile:string, binlogPosition:bigint, gtid:string, timestamp:string>, "
     "transactionId string"
 )
 
@@ -40,8 +41,10 @@ def parse_changes(raw: DataFrame, value: str = "value") -> DataFrame:
         F.col("__c.operation").alias("operation"),
         F.col("__c.before").alias("before"),
         F.col("__c.after").alias("after"),
-        F.col("__c.timestamp").alias("ts"),
+        parse_time(F.col("__c.timestamp")).alias("ts"),
         offset.alias("source_offset"),
+        F.col("__c.sourceOffset.gtid").alias("gtid"),
+        parse_time(F.col("__c.sourceOffset.timestamp")).alias("offset_ts"),
         F.col("__c.transactionId").alias("transaction_id"),
         (~F.coalesce(F.col("__c.operation").isin(C.CDC_OPERATIONS), F.lit(False))).alias("parse_error"),
     )

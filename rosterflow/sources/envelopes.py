@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterflow import constants as C
+from rosterflow.functions.times import instant_text, parse_time
 
 ENVELOPE_SCHEMA = (
     "eventId string, eventType string, eventTime string, source string, traceId string, "
@@ -41,7 +42,7 @@ def parse_envelopes(raw: DataFrame, value: str = "value") -> DataFrame:
         *kept,
         F.col("__e.eventId").alias("event_id"),
         kind.alias("event_type"),
-        F.to_timestamp(F.col("__e.eventTime")).cast("timestamp_ntz").alias("event_time"),
+        parse_time(F.col("__e.eventTime")).alias("event_time"),
         F.col("__e.source").alias("source"),
         F.col("__e.traceId").alias("trace_id"),
         F.coalesce(F.col("__e.version"), F.lit("1.0")).alias("version"),
@@ -63,16 +64,39 @@ def publish_rows(envelopes: DataFrame) -> DataFrame:
     The routing key is the event type; the JSON payload stays a nested object; the
     retry count travels as a header.
     """
-    at = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    body = F.to_json(F.struct(
-        F.col("event_id").alias("eventId"), F.col("event_type").alias("eventType"), at.alias("eventTime"),
-        F.col("source"), F.col("trace_id").alias("traceId"), F.col("version"),
-        F.try_parse_json("payload").alias("payload"), F.col("retry_count").alias("retryCount")))
-
-    def header(name: str, value: Column) -> Column:
-        return F.struct(F.lit(name).alias("key"), F.encode(value.cast("string"), "utf-8").alias("value"))
-
     return envelopes.select(
-        F.col("event_type").alias("key"), body.alias("value"),
-        F.array(header("message-id", F.col("event_id")), header("x-retry-count", F.col("retry_count")))
+        F.col("event_type").alias("key"), _body().alias("value"),
+        F.array(_header("message-id", F.col("event_id")), _header(C.HEADER_RETRY_COUNT, F.col("retry_count")))
         .alias("headers"))
+
+
+def retry_rows(envelopes: DataFrame) -> DataFrame:
+    """Exchange, key, value and headers of messages that go to a retry queue or the dead letters.
+
+    ``envelopes`` carries the ``queue`` that consumed it, the ``retry_count`` it was consumed with, and the ``action`` and
+    ``reason`` of that; other actions send nothing.  A retry counts one more.
+    """
+    again = F.col("action") == "RETRY"
+    sent = envelopes.filter(F.col("action").isin("RETRY", "DEAD_LETTER")).withColumn(
+        "retry_count", F.when(again, F.col("retry_count") + 1).otherwise(F.col("retry_count")).cast("int"))
+    count = _header(C.HEADER_RETRY_COUNT, F.col("retry_count"))
+    headers = F.when(again, F.array(
+        count, _header(C.HEADER_QUEUE, F.col("queue")), _header(C.HEADER_ROUTING_KEY, F.col("event_type"))
+    )).otherwise(F.array(_header(C.HEADER_REASON, F.col("reason")), count))
+    return sent.select(
+        F.when(again, F.lit(C.RETRY_EXCHANGE)).otherwise(F.lit(C.DEAD_LETTER_EXCHANGE)).alias("exchange"),
+        F.when(again, F.concat(F.lit("retry."), F.col("retry_count").cast("string"))).otherwise(
+            F.col("event_type")).alias("key"),
+        _body().alias("value"), headers.alias("headers"))
+
+
+def _header(name: str, value: Column) -> Column:
+    return F.struct(F.lit(name).alias("key"), F.encode(value.cast("string"), "utf-8").alias("value"))
+
+
+def _body() -> Column:
+    return F.to_json(F.struct(
+        F.col("event_id").alias("eventId"), F.col("event_type").alias("eventType"),
+        instant_text(F.col("event_time")).alias("eventTime"),
+        F.col("source"), F.col("trace_id").alias("traceId"), F.col("version"),
+        F.try_parse_json("payload").alias("payload"), F.col("retry_count").alias("retryCount")))

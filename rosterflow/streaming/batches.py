@@ -36,6 +36,16 @@ def run_batches(stream: DataFrame, handler: Handler, root: str, checkpoint: str,
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def read_state(spark: SparkSession, root: str, table: str, schema: str, batch_id: int) -> DataFrame:
+    """What the batch before ``batch_id`` left in ``table``, which every batch writes anew and whole."""
+    try:
+        return spark.read.schema(schema).parquet(batch_path(root, table, batch_id - 1))
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_batches(spark: SparkSession, root: str, table: str, schema: str, before: int | None = None) -> DataFrame:
     """Everything written so far to ``table``; with ``before``, the earlier batches only.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rosterflow import constants as C
 from rosterflow.operators import events as ops
 from rosterflow.operators import progress
-from rosterflow.streaming.batches import read_batches
+from rosterflow.streaming.batches import read_state
 
 HandlerResult = Callable[[DataFrame], DataFrame]
 
@@ -23,40 +23,62 @@ def dedupe_stream(events: DataFrame, keys: list[str], ts: str = "event_time") ->
     return timed.withWatermark(ts, f"{C.IDEMPOTENT_HOURS} hours").dropDuplicatesWithinWatermark(keys)
 
 
-def consume_handler(handler: HandlerResult, root: str):
+def consume_handler(handler: HandlerResult, root: str, horizon_hours: int = C.IDEMPOTENT_HOURS):
     """Handler for :func:`run_batches`: consumed rows, dead letters and the retries still waiting.
 
-    ``handler`` adds ``handler_result`` to deliveries.  A retry waits in the
-    ``waiting`` table until the newest event time of a batch reaches its due time.
+    ``handler`` adds ``handler_result`` to deliveries; it never sees a copy, be the first delivery in this batch or in an
+    earlier one less than ``horizon_hours`` of event time ago.  Copies are kept as rows with the action DUPLICATE.
+    A retry waits in the ``waiting`` table until the newest event time reaches its due time.
     """
+    seen_schema = "queue string, event_id string, retry_count int, ts timestamp_ntz"
+
     def handle(batch: DataFrame, batch_id: int) -> Iterator[tuple]:
         spark = batch.sparkSession
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batch.schema.fields)
-        waiting = read_batches(spark, root, "waiting", fields + ", due_at timestamp_ntz").filter(
-            F.col("batch_id") == batch_id - 1).drop("batch_id")
-        now = batch.agg(F.max("ts").alias("now")).select("now").scalar()
+        waiting = read_state(spark, root, "waiting", fields + ", due_at timestamp_ntz", batch_id)
+        seen = read_state(spark, root, "seen", seen_schema, batch_id)
+        now = batch.select("ts").union(seen.select("ts")).agg(F.max("ts").alias("now")).select("now").scalar()
         is_due = F.coalesce(F.col("due_at") <= now, F.lit(False))
         due = waiting.filter(is_due).withColumn("ts", F.col("due_at")).drop("due_at")
-        consumed = ops.consume(handler(batch.unionByName(due))).persist()
+        known = seen.groupBy(*ops.DELIVERY).agg(F.lit(True).alias("known"))
+        marked = ops.mark_copies(batch.unionByName(due)).join(known, ops.DELIVERY, "left").withColumn(
+            "copy", F.col("copy") | F.coalesce("known", F.lit(False))).drop("known").persist()
+        results = handler(marked.filter("not copy").drop("copy")).withColumn("copy", F.lit(False))
+        consumed = ops.planned(results.unionByName(marked.filter("copy"), allowMissingColumns=True)).persist()
         again = consumed.filter("action = 'RETRY'").withColumn("retry_count", F.col("next_retry")).select(
             *batch.columns, "due_at")
+        met = marked.filter("not copy").select(*ops.DELIVERY, F.col("ts"))
         try:
             yield "consumed", consumed.select("seq", "queue", "event_id", "retry_count", "action")
             yield "dead_letters", consumed.filter("action = 'DEAD_LETTER'").select("seq", "queue", "event_id", "reason")
             yield "waiting", again.unionByName(waiting.filter(~is_due))
+            yield "seen", seen.unionByName(met).filter(F.col("ts") > now - F.make_dt_interval(hours=F.lit(horizon_hours)))
         finally:
             consumed.unpersist()
+            marked.unpersist()
 
     return handle
 
 
-def expiry_handler(ttl_hours: int = C.MESSAGE_TTL_HOURS, max_length: int = C.QUEUE_MAX_LENGTH):
-    """Handler for :func:`run_batches`: live messages of a batch, and those too old or beyond the queue's length."""
+def expiry_handler(root: str, ttl_hours: int = C.MESSAGE_TTL_HOURS, max_length: int = C.QUEUE_MAX_LENGTH):
+    """Handler for :func:`run_batches`: the queues as they stand after a batch, and the messages it made them drop.
+
+    ``live`` is the state: the live messages of all batches so far, so neither age nor length depends on how the stream
+    was cut.  ``dropped`` adds up over the batches.
+    """
     def handle(batch: DataFrame, batch_id: int) -> Iterator[tuple]:
-        now = batch.agg(F.max("ts").alias("now")).select("now").scalar()
-        judged = ops.queue_state(batch, now, ttl_hours, max_length)
-        yield "live", judged.filter("state = 'live'")
-        yield "dropped", judged.filter("state <> 'live'")
+        spark = batch.sparkSession
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batch.schema.fields)
+        live = read_state(spark, root, "live", fields, batch_id)
+        clock = read_state(spark, root, "clock", "now timestamp_ntz", batch_id)
+        newest = clock.union(batch.select("ts")).agg(F.max("now").alias("now"))
+        judged = ops.queue_state(batch.unionByName(live), newest.select("now").scalar(), ttl_hours, max_length).persist()
+        try:
+            yield "clock", newest
+            yield "live", judged.filter("state = 'live'").select(*batch.columns)
+            yield "dropped", judged.filter("state <> 'live'")
+        finally:
+            judged.unpersist()
 
     return handle
 

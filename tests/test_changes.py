@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from rosterflow import constants as C
+from rosterflow.functions.times import instant_text
 from rosterflow.operators import changes as ops
 from rosterflow.operators import events, monitor
 from rosterflow.sources import changes as src
@@ -133,7 +135,51 @@ def test_targets_are_partitioned(spark, tmp_path):
     from rosterflow.streaming.sync import sync_handler
     rows = [change(0, 1), change(1, 2, table="dorm_allocation"), change(2, 3, student="s9")]
     mapping = spark.createDataFrame([("s1", "id1", "card1")], "student_id string, id_card string, card_id string")
-    handler = sync_handler(mapping, str(tmp_path), lambda df: df)
+    handler = sync_handler(mapping, str(tmp_path), lambda df: df.withColumn("sink_result", F.lit("SUCCESS")))
     tables = {name: ([tuple(r) for r in df.collect()], by) for name, df, *by in handler(spark.createDataFrame(rows, SCHEMA), 0)}
     assert {r[0] for r in tables["targets"][0]} == {"edu-system", "dorm-system"} and tables["targets"][1] == ["target"]
     assert len(tables["dead_letters"][0]) == 1 and len(tables["outcomes"][0]) == 3
+
+
+def _raw(spark, *bodies):
+    return spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "seq bigint, value string")
+
+
+@pytest.mark.parametrize("text, shown", [
+    ('"2026-09-01T08:00:00.123Z"', "2026-09-01T08:00:00.123Z"), ('"2026-09-01T16:00:00.123456+08:00"', "2026-09-01T08:00:00.123456Z"),
+    ('"2026-09-01T08:00:00"', "2026-09-01T08:00:00Z"), ("1788249600123", "2026-09-01T08:00:00.123Z"), ("1788249600", "2026-09-01T08:00:00Z"),
+    ("1788249600.5", "2026-09-01T08:00:00.500Z"), ('"soon"', None), ("null", None)])
+def test_times_keep_zone_and_fraction(spark, text, shown):
+    body = '{"sourceTable":"t","operation":"UPDATE","timestamp":%s,"sourceOffset":{"gtid":"g","timestamp":%s}}' % (text, text)
+    row = src.parse_changes(_raw(spark, body)).select(
+        instant_text(F.col("ts")).alias("at"), instant_text(F.col("offset_ts")).alias("offset_at"), "gtid").first()
+    assert (row.at, row.offset_at, row.gtid) == (shown, shown, "g")
+
+
+def test_changes_a_millisecond_apart_are_two_changes(spark):
+    times = ['"2026-09-01T08:00:00.123Z"', '"2026-09-01T08:00:00.124Z"', "null", "null", "null"]
+    rows = ['{"a":"1"}', '{"a":"1"}', '{"a":"1"}', '{"a":"2"}', '{"a":"2"}']
+    raw = _raw(spark, *['{"sourceTable":"t","operation":"UPDATE","after":%s,"timestamp":%s}' % x for x in zip(rows, times)])
+    log = src.parse_changes(raw).withColumn("source_server", F.lit("s")).withColumn("sink_result", F.lit("SUCCESS"))
+    mapping = spark.createDataFrame([], "student_id string, id_card string, card_id string")
+    got = {r.seq: r.outcome for r in ops.outcomes(log, mapping).collect()}
+    assert got == {0: "SUCCESS", 1: "SUCCESS", 2: "SUCCESS", 3: "SUCCESS", 4: "SKIPPED_DUPLICATE"}
+
+
+def test_a_mapping_that_is_no_longer_active_is_none(spark):
+    versions = spark.createDataFrame([(1, "a", "i1", "c1", True), (2, "a", "i2", "c2", False), (1, "b", "i3", "c3", True)],
+                                     "seq bigint, student_id string, id_card string, card_id string, active boolean")
+    assert [r.student_id for r in ops.latest_mapping(versions).collect()] == ["b"]
+
+
+def test_writes_are_tried_four_times_at_most(spark):
+    given = [(1, ["SUCCESS"]), (2, ["RETRY", "RETRY", "SUCCESS", "RETRY"]), (3, ["RETRY"]), (4, ["RETRY", "DEAD_LETTER"]), (5, None), (6, [None])]
+    changes = spark.createDataFrame(given, "seq bigint, results array<string>").withColumn(
+        "ts", F.lit("2026-09-01 08:00:00").cast("timestamp_ntz"))
+    tries = ops.write_attempts(changes).withColumn("outcome", F.when(F.col("last"), ops.attempted_outcome()))
+    got = {}
+    for r in tries.orderBy("seq", "attempt").collect():
+        got.setdefault(r.seq, []).append((r.result, (r.due_at.minute * 60 + r.due_at.second), r.outcome))
+    spent = [("RETRY", 0, None), ("RETRY", 10, None), ("RETRY", 40, None), ("RETRY", 100, "RETRY_EXHAUSTED")]
+    assert got == {1: [("SUCCESS", 0, "SUCCESS")], 2: [*spent[:2], ("SUCCESS", 40, "SUCCESS")], 3: spent,
+                   4: [spent[0], ("DEAD_LETTER", 10, "DEAD_LETTER")], 5: spent, 6: spent}

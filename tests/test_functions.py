@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rosterflow import constants as C
 from rosterflow.functions import dialogue, privacy, text
@@ -156,3 +157,21 @@ def test_prompt(spark):
                     "\n【历史对话】\nuser: 你好\n\n【当前问题】\n问")
     bare = df.select(dialogue.build_prompt(F.slice("src", 1, 0), F.slice("hist", 1, 0), F.col("q"))).first()[0]
     assert bare == C.SYSTEM_PROMPT + "\n【检索上下文】\n(无相关检索结果)\n\n【当前问题】\n问"
+
+
+@pytest.mark.parametrize("text, masked", [
+    ('{"n": 1.10, "m": 1E400, "phone": "13900001111"}', '{"n":1.10,"m":1E400,"phone":"139****1111"}'),
+    ('{"n": NaN}', '{"n": NaN}'), ("[" * 100_000, "[" * 100_000), ('{"a":' * 5000 + "1" + "}" * 5000, '{"a":' * 5000 + "1" + "}" * 5000),
+    ('{"phone": 13900001111, "x": [null, true, "é"]}', '{"phone":13900001111,"x":[null,true,"é"]}')])
+def test_mask_json_of_odd_documents(spark, text, masked):
+    assert one(spark, privacy.mask_json(F.col("v")), text) == masked
+
+
+def test_mask_json_of_a_known_shape(spark):
+    shape = StructType.fromDDL("a struct<phone:string,b:array<struct<email:string,n:decimal(10,2)>>>, phone string")
+    text = '{"a":{"phone":"13900001111","b":[{"email":"li@mail.example","n":1.10},{"email":" "}]},"phone":"13700002222"}'
+    masked = '{"a":{"phone":"139****1111","b":[{"email":"l***@mail.example","n":1.10},{"email":" "}]},"phone":"137****2222"}'
+    assert one(spark, privacy.mask_json_as(F.col("v"), shape), text) == masked
+    for odd in ("{broken", "[1", ""):
+        assert one(spark, privacy.mask_json_as(F.col("v"), shape), odd) == odd
+    assert one(spark, privacy.mask_json_as(F.col("v"), shape), None) is None

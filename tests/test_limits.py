@@ -16,7 +16,7 @@ def requests(n=900, seed=3):
     rows, clock = [], 0
     for seq in range(n):
         clock += rng.choice([0, 0, 40, 900, 5_000, 20_000, 70_000])
-        key = "hot" if rng.random() < 0.5 else f"k{rng.randrange(4)}"
+        key = "hot" if rng.random() < 0.5 else rng.choice(["k0", "k1", "k2", None])
         rows.append((seq, key, START + dt.timedelta(milliseconds=clock), rng.choice(["ok", "wrong", "wrong", "expired"])))
     return rows
 
@@ -55,6 +55,8 @@ def test_anchored_window(spark):
         state[key] = (start, used)
         allowed = used <= 4
         want[seq] = (allowed, max(0, 4 - used), 0 if allowed else (start + 60_000 - millis(ts)) // 1000 + 1)
+        if key is None:
+            want[seq] = (False, 0, None)
     got = limits.anchored_window(frame(spark, rows), "key", 4, 60, block_ms=120_000)
     assert by_seq(got, "allowed", "remaining", "retry_after") == want
 

@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from rosterflow import catalog
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.all_queries(), catalog.all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +25,7 @@ def plain(value):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_returns_rows(spark):

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from rosterflow.catalog import access as access_q
@@ -11,10 +12,10 @@ from rosterflow.catalog import retrieval as retrieval_q
 from rosterflow.operators import events, limits, progress
 from rosterflow.sources import changes as src
 from rosterflow.streaming import stateful
-from rosterflow.streaming.batches import read_batches, run_batches
+from rosterflow.streaming.batches import read_batches, read_state, run_batches
 from rosterflow.streaming.events import (
     STEP_SCHEMA, consume_handler, current_steps, dedupe_stream, expiry_handler, progress_handler)
-from rosterflow.streaming.sync import running_stats, sync_handler
+from rosterflow.streaming.sync import deliver, running_stats, sync_handler
 
 
 def rows(df, *columns):
@@ -56,7 +57,9 @@ def test_change_sync_matches_batch_and_resumes(spark, sf, tmp_path):
     mapping = changes_q.id_mapping(spark, sf)
     root = str(tmp_path / "job")
     out_dir = os.path.join(root, "out")
-    handler = sync_handler(mapping, out_dir, lambda df: df)
+    answers = log.select("source_server", "seq", "sink_result")
+    handler = sync_handler(
+        mapping, out_dir, lambda df: df.join(answers, ["source_server", "seq"]), horizon_hours=24 * 36_500)
     calls = []
 
     def failing(batch, batch_id):
@@ -82,6 +85,61 @@ def test_change_sync_matches_batch_and_resumes(spark, sf, tmp_path):
         expected, "source_server", "total_events", "success_count", "skipped_count")
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_sink_gets_every_change_once(spark, sf, tmp_path, parts):
+    log = changes_q.change_log(spark, sf).drop("latency_ms")
+    answers = log.select("source_server", "seq", "sink_result")
+    root, got = str(tmp_path / "job"), []
+
+    def sink(changes):
+        got.extend(changes.select("target", "event_id", "seq", F.col("record").isNotNull().alias("mapped")).collect())
+        return changes.join(answers, ["source_server", "seq"])
+
+    out = run(as_stream(spark, log, str(tmp_path / "in"), parts), root, sync_handler(
+        changes_q.id_mapping(spark, sf), os.path.join(root, "out"), sink, horizon_hours=24 * 36_500))
+    keys = [(r.target, r.event_id, r.seq) for r in got]
+    assert len(keys) == len(set(keys)) and all(r.target and r.mapped for r in got)
+    streamed = read_batches(spark, out, "outcomes", "seq bigint, source_server string, event_id string, outcome string")
+    want = changes_q.handled(spark, sf)
+    assert rows(streamed, "seq", "outcome") == rows(want, "seq", "outcome")
+    written = want.filter(F.col("outcome").isin("SUCCESS", "RETRY_EXHAUSTED") | (
+        (F.col("outcome") == "DEAD_LETTER") & F.col("target").isNotNull()))
+    assert sorted(r.seq for r in got) == sorted(r.seq for r in written.select("seq").collect())
+
+
+def test_deliver_waits_for_results_that_decide_later_writes(spark):
+    changes = spark.createDataFrame(
+        [("s", 1, ("f", 5)), ("s", 2, ("f", 3)), ("s", 3, ("f", 9)), ("s", 4, ("f", 8)), ("s", 5, None), ("s", 6, ("f", 7))],
+        "source_server string, seq bigint, source_offset struct<binlog_file:string,binlog_position:bigint>")
+    rounds = []
+
+    def sink(rows):
+        rounds.append(sorted(r.seq for r in rows.collect()))
+        return rows.withColumn("sink_result", F.when(F.col("seq").isin(1, 6), "SUCCESS").otherwise("RETRY"))
+
+    done = {r.seq: r.sink_result for r in deliver(changes, sink).collect()}
+    assert rounds == [[1, 3, 5], [4], [6]]
+    assert done == {1: "SUCCESS", 2: None, 3: "RETRY", 4: "RETRY", 5: "RETRY", 6: "SUCCESS"}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 10])
+def test_copies_in_other_batches_never_reach_the_handler(spark, tmp_path, parts):
+    rows_in = [(i, "q", f"e{i % 7}", 0, f"t{i % 7}") for i in range(30)]
+    view = spark.createDataFrame(rows_in, "seq bigint, queue string, event_id string, retry_count int, event_type string")
+    view = view.withColumn("ts", F.timestamp_millis(F.col("seq") * 1000).cast("timestamp_ntz"))
+    root, met = str(tmp_path / "job"), []
+
+    def handler(deliveries):
+        met.extend(r.event_id for r in deliveries.collect())
+        return deliveries.withColumn("handler_result", F.lit("OK"))
+
+    out = run(as_stream(spark, view, str(tmp_path / "in"), parts), root, consume_handler(handler, os.path.join(root, "out")))
+    assert sorted(met) == [f"e{i}" for i in range(7)]
+    consumed = read_batches(spark, out, "consumed", "seq bigint, action string")
+    want = events.consume(view.withColumn("handler_result", F.lit("OK")))
+    assert rows(consumed, "seq", "action") == rows(want, "seq", "action")
+
+
 def test_dedupe_stream_keeps_first_copies(spark, sf, tmp_path):
     view = events_q.events_view(spark, sf).select("seq", "event_id", "ts")
     stream = as_stream(spark, view, str(tmp_path / "in"))
@@ -115,15 +173,19 @@ def test_progress_stream_matches_batch(spark, sf, tmp_path):
         progress.latest_steps(view), "student_id", "step_code", "completed_at")
 
 
-def test_expiry_stream_keeps_every_message(spark, sf, tmp_path):
+@pytest.mark.parametrize("parts", [1, 3, 10])
+def test_expiry_stream_is_the_same_however_it_is_cut(spark, sf, tmp_path, parts):
     view = events.fan_out(events_q.events_view(spark, sf)).select("seq", "queue", "event_id", "ts")
-    stream = as_stream(spark, view, str(tmp_path / "in"), parts=1)
-    out = run(stream, str(tmp_path / "job"), expiry_handler(ttl_hours=240, max_length=60))
-    schema = "seq bigint, queue string, state string"
-    states = read_batches(spark, out, "live", schema).unionByName(read_batches(spark, out, "dropped", schema))
-    want = events.queue_state(view, view.agg(F.max("ts").alias("m")).select("m").scalar(), 240, 60)
-    assert rows(states, "seq", "queue", "state") == rows(want, "seq", "queue", "state")
-    assert states.select("state").distinct().count() == 3
+    view = view.withColumn("ts", F.timestamp_millis(F.col("seq") * 600_000).cast("timestamp_ntz"))
+    stream = as_stream(spark, view, str(tmp_path / "in"), parts)
+    root = str(tmp_path / "job")
+    out = run(stream, root, expiry_handler(os.path.join(root, "out"), ttl_hours=40, max_length=60))
+    want = events.queue_state(view, view.agg(F.max("ts").alias("m")).select("m").scalar(), 40, 60)
+    live = read_state(spark, out, "live", "seq bigint, queue string", parts)
+    dropped = read_batches(spark, out, "dropped", "seq bigint, queue string, state string")
+    assert rows(live, "seq", "queue") == rows(want.filter("state = 'live'"), "seq", "queue")
+    assert rows(dropped, "seq", "queue") == rows(want.filter("state <> 'live'"), "seq", "queue")
+    assert 0 < live.count() < view.count() and want.select("state").distinct().count() == 3
 
 
 def test_limit_streams_match_batch(spark, sf, tmp_path):
