@@ -46,17 +46,20 @@ def _history(spark, sf):
 
 
 def extractive_reply(spark, sf):
-    asked = answering.with_sources(R.questions(spark, sf), R.indexed(spark, sf))
+    rows, found = R.lookup(spark, sf)
+    asked = answering.with_sources(R.questions(spark, sf), rows, retriever=found["retriever"])
     return answering.extractive(asked).select("question_id", "raw_reply")
 
 
 def prompt_build(spark, sf):
-    asked = answering.with_sources(R.questions(spark, sf), R.indexed(spark, sf))
+    rows, found = R.lookup(spark, sf)
+    asked = answering.with_sources(R.questions(spark, sf), rows, retriever=found["retriever"])
     return answering.with_prompt(asked, _history(spark, sf)).select("question_id", "prompt")
 
 
 def qa_outcomes(spark, sf):
-    done = answering.answer(R.questions(spark, sf), R.indexed(spark, sf), _history(spark, sf))
+    rows, found = R.lookup(spark, sf)
+    done = answering.answer(R.questions(spark, sf), rows, _history(spark, sf), **found)
     listed = F.transform("intents", lambda i: F.concat(i["type"], F.lit(":"), i["target"]))
     return done.select(
         "question_id", "mode", "violation", "reply", F.array_join(listed, ",").alias("intents"),
@@ -69,7 +72,8 @@ def chat_turns(spark, sf):
     requests = R.questions(spark, sf).withColumns({
         "seq": F.col("question_id"), "ts": F.timestamp_millis(F.col("question_id") * 2000).cast("timestamp_ntz"),
         "student_id": (F.col("question_id") % 3).cast("string"), "session_id": F.col("question_id") % 5})
-    done = chat.chat_turns(requests, R.indexed(spark, sf), _history(spark, sf), max_requests=5)
+    rows, found = R.lookup(spark, sf)
+    done = chat.chat_turns(requests, rows, _history(spark, sf), max_requests=5, **found)
     rounds = chat.appended_rounds(done).groupBy("session_id").agg(F.count(F.lit(1)).alias("added"))
     return done.join(rounds, "session_id", "left").select(
         "question_id", "student_id", "allowed", "retry_after", "mode", "reply", "prompt_tokens", "completion_tokens",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -35,15 +36,25 @@ def indexed(spark, sf):
     known, name = _INDEX_TABLES.get(key, (None, None))
     if known != stamp:
         if name:
-            spark.sql(f"drop table if exists {name}")
+            for part in ("", "_terms", "_totals"):
+                spark.sql(f"drop table if exists {name}{part}")
         name = f"chunk_index_{uuid.uuid4().hex}"
         total_chars = sections(spark, sf).agg(F.sum("n_chars")).first()[0]
         buckets = knowledge.bucket_count(total_chars, spark.sparkContext.defaultParallelism)
-        knowledge.store_index(chunks(spark, sf), name, shared_dir(spark, "chunk-index"), buckets)
+        path = shared_dir(spark, "chunk-index")
+        knowledge.store_statistics(knowledge.store_index(chunks(spark, sf), name, path, buckets), name, path)
         _INDEX_TABLES[key] = stamp, name
     return spark.table(name)
 
 
+def lookup(spark, sf):
+    """Retriever and FAQ fallback over the stored index and its statistics."""
+    rows = indexed(spark, sf)
+    _, name = _INDEX_TABLES[spark.sparkContext.applicationId, sf]
+    stats = retrieval.Statistics(spark.table(f"{name}_terms"), spark.table(f"{name}_totals"))
+    return rows, {"retriever": partial(retrieval.retrieve, stats=stats), "fallback": partial(retrieval.faq_fallback, stats=stats)}
+
+
 def questions(spark, sf):
     return V.view(spark, sf, V.QUESTIONS)
 
@@ -92,8 +103,8 @@ def material_list(spark, sf):
 
 
 def term_stats(spark, sf):
-    rows = indexed(spark, sf)
-    total = retrieval.corpus_stats(rows).select("n_chunks").scalar()
+    rows, found = lookup(spark, sf)
+    total = found["retriever"].keywords["stats"].totals.agg(F.sum("n_chunks").alias("n")).select("n").scalar()
     return retrieval.term_stats(rows).withColumn("idf", F.round(retrieval.idf(F.col("df"), total), 6))
 
 
@@ -107,12 +118,14 @@ def bigram_overlap(spark, sf):
 
 
 def bm25_scores(spark, sf):
-    return retrieval.bm25_scores(questions(spark, sf), indexed(spark, sf)).select(
+    rows, found = lookup(spark, sf)
+    return retrieval.bm25_scores(questions(spark, sf), rows, found["retriever"].keywords["stats"]).select(
         "question_id", "chunk_no", F.round("bm25", 6).alias("bm25"), "zero_chunks")
 
 
 def _found(spark, sf, k=C.TOP_K, category=None):
-    return retrieval.retrieve(questions(spark, sf).select("question_id", "question"), indexed(spark, sf), k, category)
+    rows, found = lookup(spark, sf)
+    return found["retriever"](questions(spark, sf).select("question_id", "question"), rows, k, category)
 
 
 def hybrid_topk(spark, sf):
@@ -132,7 +145,8 @@ def retrieval_confidence(spark, sf):
 
 def faq_fallback(spark, sf):
     asked = questions(spark, sf).select("question_id", "question")
-    return retrieval.faq_fallback(asked, indexed(spark, sf)).select(
+    rows, found = lookup(spark, sf)
+    return found["fallback"](asked, rows).select(
         "question_id", "hit", "reply", F.round("score", 6).alias("score"))
 
 

@@ -12,6 +12,8 @@ hands over at most K rows per question.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -31,6 +33,19 @@ POSTING_LENGTH = 1000
 BROADCAST_QUESTION_CHARS = 2_000_000
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Stored counts of an index: (category, feature, df), and (category, n_chunks, content_len)."""
+
+    terms: DataFrame
+    totals: DataFrame
+
+    def of(self, category: str | None) -> Statistics:
+        if category is None:
+            return self
+        return Statistics(*[t.filter(F.col("category") == category) for t in (self.terms, self.totals)])
+
+
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: number of chunks and mean number of content tokens (1 when there are none)."""
     mean = F.avg("content_len")
@@ -49,13 +64,16 @@ def idf(df: Column, total: Column) -> Column:
     return F.log(1 + (total - df + 0.5) / (df + 0.5))
 
 
-def _totals(chunks: DataFrame) -> tuple[int, float]:
-    """The two corpus numbers, computed once per call."""
-    row = corpus_stats(chunks).first()
-    return row.n_chunks, row.avg_len
+def _totals(chunks: DataFrame, stats: Statistics | None) -> tuple[int, float]:
+    """The two corpus numbers, from the stored counts where there are any."""
+    if stats is None:
+        row = corpus_stats(chunks).first()
+        return row.n_chunks, row.avg_len
+    row = stats.totals.agg(F.sum("n_chunks").alias("n"), F.sum("content_len").alias("length")).first()
+    return row.n or 0, (row.length or 0) / row.n if row.length else 1.0
 
 
-def _term_weights(questions: DataFrame, chunks: DataFrame, total: int) -> DataFrame:
+def _term_weights(questions: DataFrame, chunks: DataFrame, total: int, stats: Statistics | None) -> DataFrame:
     """(question, term, weight): idf times the occurrences in the question.
 
     The table is as large as the questions; it is written once, so that the
@@ -65,10 +83,10 @@ def _term_weights(questions: DataFrame, chunks: DataFrame, total: int) -> DataFr
         questions.select("question_id", F.explode(text.tokenize(F.col("question"))).alias("feature"))
         .groupBy("question_id", "feature").agg(F.count(F.lit(1)).alias("times"))
     )
+    counted = chunks.select(F.explode("terms.feature").alias("feature"), F.lit(1).alias("df")) if stats is None else stats.terms
     df = (
-        chunks.select(F.explode("terms.feature").alias("feature"))
-        .join(terms.select("feature").distinct(), "feature", "left_semi")
-        .groupBy("feature").agg(F.count(F.lit(1)).alias("df"))
+        counted.join(terms.select("feature").distinct(), "feature", "left_semi")
+        .groupBy("feature").agg(F.sum("df").alias("df"))
     )
     weights = terms.join(df, "feature").select(
         "question_id", F.lit(_TERM).alias("kind"), "feature",
@@ -131,22 +149,21 @@ def _pairs(chunks: DataFrame, wanted: DataFrame, grams: bool, small: bool, avg_l
         F.when(smaller > 0, F.count_if(F.col("kind") == _GRAM) / smaller).otherwise(F.lit(0.0)).alias("overlap"))
 
 
-def bm25_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """BM25 of every matching pair; ``zero_chunks`` tells how many further chunks scored 0."""
-    total, avg_len = _totals(chunks)
-    weights = _term_weights(questions, chunks, total)
-    small = _small(questions)
-    pairs = _pairs(chunks, weights, False, small, avg_len).drop("overlap")
-    matched = pairs.groupBy("question_id").agg((F.lit(total) - F.count(F.lit(1))).alias("zero_chunks"))
-    if small:
-        matched = F.broadcast(matched)
-    return pairs.join(matched, "question_id").orderBy("question_id", F.col("bm25").desc(), "chunk_no")
+def bm25_scores(questions: DataFrame, chunks: DataFrame, stats: Statistics | None = None) -> DataFrame:
+    """BM25 of every matching pair and its ``rank`` in the question; ``zero_chunks`` further chunks scored 0."""
+    total, avg_len = _totals(chunks, stats)
+    weights = _term_weights(questions, chunks, total, stats)
+    pairs = _pairs(chunks, weights, False, _small(questions), avg_len).drop("overlap")
+    mine = W.partitionBy("question_id")
+    return pairs.withColumns({
+        "rank": F.row_number().over(mine.orderBy(F.round("bm25", RANK_DIGITS).desc(), "chunk_no")),
+        "zero_chunks": F.lit(total) - F.count(F.lit(1)).over(mine)})
 
 
-def hybrid_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+def hybrid_scores(questions: DataFrame, chunks: DataFrame, stats: Statistics | None = None) -> DataFrame:
     """Fused score of every pair: overlap and BM25 relative to the question's best."""
-    total, avg_len = _totals(chunks)
-    weights = _term_weights(questions, chunks, total)
+    total, avg_len = _totals(chunks, stats)
+    weights = _term_weights(questions, chunks, total, stats)
     small = _small(questions)
     best = _pairs(chunks, weights, False, small, avg_len).groupBy("question_id").agg(F.max("bm25").alias("best"))
     if small:  # one row per question: the pairs stay where they are
@@ -161,14 +178,15 @@ def hybrid_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def retrieve(
     questions: DataFrame, chunks: DataFrame, k: int = C.TOP_K, category: str | None = None,
+    stats: Statistics | None = None,
 ) -> DataFrame:
     """Best ``k`` chunks per question (all when ``k`` <= 0) with their display columns.
 
     The category filter comes first: it prunes partitions, and the statistics are
-    those of the candidates.
+    those of the candidates: the stored ones, or counted here where ``stats`` is None.
     """
     candidates = chunks if category is None else chunks.filter(F.col("category") == category)
-    scored = hybrid_scores(questions, candidates).select("question_id", "chunk_no", "score")
+    scored = hybrid_scores(questions, candidates, stats and stats.of(category)).select("question_id", "chunk_no", "score")
     ranking = W.partitionBy("question_id").orderBy(
         F.round("score", RANK_DIGITS).desc(), F.col("chunk_no"))
     ranked = scored.withColumn("rank", F.row_number().over(ranking))
@@ -192,9 +210,9 @@ def material_list(chunks: DataFrame, identity: str | None) -> DataFrame:
         "snippet", text.snippet(F.col("content")))
 
 
-def faq_fallback(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+def faq_fallback(questions: DataFrame, chunks: DataFrame, stats: Statistics | None = None) -> DataFrame:
     """Best FAQ snippet when it scores well enough, else the fixed fallback text."""
-    best = retrieve(questions, chunks, 1, "FAQ").select("question_id", "score", "snippet")
+    best = retrieve(questions, chunks, 1, "FAQ", stats).select("question_id", "score", "snippet")
     joined = questions.join(best, "question_id", "left")
     hit = F.coalesce(F.col("score") >= C.FAQ_MIN_SCORE, F.lit(False))
     return joined.withColumn("hit", hit).withColumn(

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from rosterflow import constants as C
 from rosterflow.functions import dialogue, privacy, text
 from rosterflow.operators import retrieval
+from rosterflow.session import written
 
 Retriever = Callable[[DataFrame, DataFrame, int, "str | None"], DataFrame]
 Generator = Callable[[DataFrame], DataFrame]
 
 
 def sources_per_question(found: DataFrame) -> DataFrame:
-    """Ranked sources as one array per question (at most K entries)."""
+    """Ranked sources as one array per question (at most K entries, so the retriever must have been given a K)."""
     entry = F.struct("rank", "doc_id", "title", "section", "snippet", "score", "category")
     return found.groupBy("question_id").agg(F.array_sort(F.collect_list(entry)).alias("sources"))
 
@@ -32,7 +33,10 @@ def with_sources(
     questions: DataFrame, chunks: DataFrame, k: int = C.TOP_K, retriever: Retriever = retrieval.retrieve,
 ) -> DataFrame:
     """Questions with their sources, masked text and top score."""
-    found = sources_per_question(retriever(questions.select("question_id", "question"), chunks, k, None))
+    return _sourced(questions, sources_per_question(retriever(questions.select("question_id", "question"), chunks, k, None)))
+
+
+def _sourced(questions: DataFrame, found: DataFrame) -> DataFrame:
     return questions.join(found, "question_id", "left").withColumns({
         "masked_question": privacy.mask_placeholders(F.col("question")),
         "top_score": F.coalesce(F.try_element_at("sources", F.lit(1))["score"], F.lit(0.0)),
@@ -48,19 +52,24 @@ def with_prompt(asked: DataFrame, history: DataFrame) -> DataFrame:
 def answer(
     questions: DataFrame, chunks: DataFrame, history: DataFrame,
     generator: Generator = extractive, retriever: Retriever = retrieval.retrieve,
-    safety_rules=C.SAFETY_RULES,
+    safety_rules=C.SAFETY_RULES, fallback: Callable[[DataFrame, DataFrame], DataFrame] = retrieval.faq_fallback,
 ) -> DataFrame:
     """One outcome per question, in the order refusal, low confidence, generated answer, FAQ fallback.
 
+    Refused questions are not looked up, and the FAQ is asked only for those that end there.
+
     ``questions`` carries question_id, question and ``available`` (whether the
     generator can be used).
     """
     judged = questions.withColumn(
         "violation", dialogue.safety_category(F.col("question"), safety_rules))
-    asked = generator(with_prompt(with_sources(judged, chunks, retriever=retriever), history))
-    degraded_questions = judged.filter(~F.col("available") & F.col("violation").isNull()).select(
+    allowed = judged.filter(F.col("violation").isNull())
+    found = written(sources_per_question(retriever(allowed.select("question_id", "question"), chunks, C.TOP_K, None)), "sources")
+    asked = generator(with_prompt(_sourced(judged, found), history))
+    sure = found.filter(F.element_at("sources", 1)["score"] >= C.LOW_CONFIDENCE_THRESHOLD).select("question_id")
+    degraded_questions = allowed.filter(~F.col("available")).join(sure, "question_id", "left_semi").select(
         "question_id", privacy.mask_placeholders(F.col("question")).alias("question"))
-    faq = retrieval.faq_fallback(degraded_questions, chunks).select(
+    faq = fallback(degraded_questions, chunks).select(
         "question_id", F.col("reply").alias("faq_reply"), F.col("hit").alias("faq_hit"))
     joined = asked.join(faq, "question_id", "left")
     blocked = F.col("violation").isNotNull()

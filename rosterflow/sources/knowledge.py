@@ -69,6 +69,16 @@ def store_index(chunks: DataFrame, name: str, path: str, buckets: int) -> DataFr
     return chunks.sparkSession.table(name)
 
 
+def store_statistics(index: DataFrame, name: str, path: str) -> None:
+    """Document frequencies and lengths per category as ``<name>_terms`` and ``<name>_totals``, for a stored index."""
+    terms = index.select("category", F.explode("terms.feature").alias("feature")).groupBy("category", "feature").agg(
+        F.count(F.lit(1)).alias("df"))
+    totals = index.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.sum(F.col("content_len").cast("bigint")).alias("content_len"))
+    for part, rows in (("terms", terms), ("totals", totals)):
+        rows.write.mode("overwrite").option("path", f"{path}-{part}").saveAsTable(f"{name}_{part}")
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Chunk table partitioned by category, so that a category filter prunes files."""
     chunks.write.mode("overwrite").partitionBy("category").parquet(path)
