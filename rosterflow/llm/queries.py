@@ -10,8 +10,8 @@ from rosterflow.llm import chat, decontamination, line_dedup, ngram_join, packin
 from rosterflow.llm.common import table
 
 
-# Terms that a document asks with when documents are the queries.
-TELLING_TERMS = 16
+# A document asks with so many of its terms, the rarest that another document has too.
+RAREST_TERMS = 16
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_like(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0, most_terms=TELLING_TERMS)
+    return search.search_like(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0, most_terms=RAREST_TERMS)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -83,19 +83,44 @@ QUERIES = {f.__name__: f for f in (
     op9_line_dedup, op10_search)}
 
 ORACLES = {
+    "op1_warc": r"""
+with sums as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as hex from pages),
+bits as (
+  select page_id, body, array_to_string(list_transform(string_split(hex, ''),
+    lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') as b from sums),
+firsts as (select *, min(page_id) over (partition by body) as first from bits)
+select page_id, octet_length(encode(body))::bigint as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * b[5 * i + 1]::int + 8 * b[5 * i + 2]::int + 4 * b[5 * i + 3]::int + 2 * b[5 * i + 4]::int + b[5 * i + 5]::int, 1)), '')
+    as payload_digest,
+  case when page_id is distinct from first and first is not null then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from first then first end as refers_to
+from firsts""",
+    "op8_chat": r"""
+with given as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized as (
+  select *, length(replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:'))
+    + length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')) + 14 as n from given)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(n)::bigint as formatted_chars
+from sized group by conv_id""",
     "op3_decontamination": r"""
 with texts as (
   select doc_id as id, text, true as doc from documents union all select item_id, text, false from benchmark),
 split as (
   select id, doc, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w from texts),
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from texts),
 items as (
   select distinct id as item_id, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1),
-    i -> array_to_string(w[i:i + 9], ' '))) as g from split where not doc and len(w) > 0),
+    lambda i: array_to_string(w[i:i + 9], ' '))) as g from split where not doc and len(w) > 0),
 sized as (select *, len(string_split(g, ' ')) as m from items),
 grams as (
   select id as doc_id, k.m, unnest(range(1, len(w) - k.m + 2)) as pos, unnest(list_transform(range(1, len(w) - k.m + 2),
-    i -> array_to_string(w[i:i + k.m - 1], ' '))) as g
+    lambda i: array_to_string(w[i:i + k.m - 1], ' '))) as g
   from split, (select distinct m from sized) k where doc and len(w) >= k.m),
 hits as (select doc_id, pos, m, item_id from grams join sized using (g, m)),
 covered as (select distinct doc_id, unnest(range(pos, pos + m)) as word from hits),
@@ -109,17 +134,17 @@ from split left join counted on counted.doc_id = id left join named on named.doc
     "op4_ngram_join": r"""
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents),
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 sets as (
   select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) end as s from words),
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from words),
 grams as (select doc_id, unnest(s) as g from sets),
 overlap as (
-  select a.doc_id as x, b.doc_id as y, count(*) as both from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id
+  select a.doc_id as x, b.doc_id as y, count(*) as common from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id
   group by all),
 links as (
   select x, y from overlap join sets a on a.doc_id = x join sets b on b.doc_id = y
-  where 100 * both >= 80 * (len(a.s) + len(b.s) - both)),
+  where 100 * common >= 80 * (len(a.s) + len(b.s) - common)),
 ends as (select x, y from links union all select y, x from links),
 reach(doc_id, other) as (
   select doc_id, doc_id from sets union select r.doc_id, e.y from reach r join ends e on e.x = r.other)
