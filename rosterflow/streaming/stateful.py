@@ -16,30 +16,42 @@ from rosterflow.operators.folds import Step, epoch_millis
 
 def run_steps(
     stream: DataFrame, key: str, order: list[str], outputs: str, step: Callable[[], Step] | Step,
+    idle_ms: int | None = None,
 ) -> DataFrame:
     """Applies ``step(state, row) -> (state, output values)`` per key over micro-batches.
 
     The result has the columns of the stream and the ``outputs``.  Rows of a key
     are ordered within a micro-batch, whose size the source limits; the state is
-    kept as JSON in the state store.
+    kept as JSON in the state store, until the key has had no row for ``idle_ms`` of the clock (None: for good).  Spark goes
+    on running batches to find idle keys, so with ``idle_ms`` a stream needs a trigger that does not wait for its end.
     """
     names = [part.split()[0] for part in outputs.split(",")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields) + ", " + outputs
 
     def advance(_, frames: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd.DataFrame]:
+        if store.hasTimedOut:
+            store.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(order)
-        state = json.loads(store.get[0]) if store.exists else None
+        now = store.getCurrentProcessingTimeMs() if idle_ms is not None else 0
+        last, state = json.loads(store.get[0]) if store.exists else (now, None)
+        # Rows that come before Spark has looked for idle keys find an old state.
+        if idle_ms is not None and now - last >= idle_ms:
+            state = None
         results = []
         for row in rows.itertuples(index=False):
             state, result = step(state, row)
             results.append(result)
-        store.update((json.dumps(state),))
+        store.update((json.dumps([now, state]),))
+        if idle_ms is not None:
+            store.setTimeoutDuration(idle_ms)
         for position, name in enumerate(names):
             rows[name] = [r[position] for r in results]
         yield rows
 
     return stream.groupBy(key).applyInPandasWithState(
-        advance, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+        advance, schema, "state string", "append",
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def limit_stream(requests: DataFrame, key: str, outputs: str, step: Step, ts: str = "ts") -> DataFrame:
@@ -49,8 +61,10 @@ def limit_stream(requests: DataFrame, key: str, outputs: str, step: Step, ts: st
 
 
 def context_step(rounds: int = C.HISTORY_ROUNDS) -> Step:
-    """Keeps the last rounds of a session; emits the history after each message."""
+    """Keeps the last rounds of a session; emits the history after each message.  A message of role "clear" forgets it."""
     def step(state, row):
+        if row.role == "clear":
+            return [], ("[]",)
         history = ((state or []) + [[row.role, row.content]])[-2 * rounds:]
         return history, (json.dumps(history, ensure_ascii=False),)
     return step

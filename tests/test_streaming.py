@@ -196,6 +196,16 @@ def test_limit_streams_match_batch(spark, sf, tmp_path):
         limits.token_bucket_step(access_q.BUCKET, access_q.REFILL_PER_MINUTE))
     got = collect_stream(bucket, spark, str(tmp_path / "a")).withColumn("allowed", F.col("spent") == 1)
     assert rows(got, "seq", "allowed") == rows(access_q.rate_token_bucket(spark, sf), "seq", "allowed")
+    windows = stateful.limit_stream(
+        stream, "phone", "window_start bigint, used_before bigint", limits.anchored_window_step(access_q.WINDOW_SECONDS * 1000))
+    got = collect_stream(windows, spark, str(tmp_path / "c")).withColumn("allowed", F.col("used_before") < access_q.WINDOW_MAX)
+    want = limits.anchored_window(requests, "phone", access_q.WINDOW_MAX, access_q.WINDOW_SECONDS)
+    assert rows(got, "seq", "allowed") == rows(want, "seq", "allowed")
+    logs = stateful.limit_stream(
+        stream, "phone", "accepted bigint", limits.sliding_log_step(access_q.LOG_MAX, access_q.LOG_SECONDS * 1000))
+    got = collect_stream(logs, spark, str(tmp_path / "d")).withColumn("allowed", F.col("accepted") == 1)
+    want = limits.sliding_log(requests, "phone", access_q.LOG_MAX, access_q.LOG_SECONDS)
+    assert rows(got, "seq", "allowed") == rows(want, "seq", "allowed")
     locks = stateful.limit_stream(
         stream, "phone", "outcome string, errors bigint, lock_minutes bigint",
         limits.lockout_step(access_q.MAX_ERRORS, access_q.LOCK_SECONDS * 1000))
@@ -222,6 +232,18 @@ def test_chain_and_context_streams_match_batch(spark, sf, tmp_path):
         retrieval_q.conversation_context(spark, sf), "session_id", "history")
 
 
+def test_idle_state_is_forgotten(spark, tmp_path):
+    turns = spark.createDataFrame([(i, 1, "user", f"m{i}") for i in range(2)], "seq bigint, session_id bigint, role string, content string")
+    stream = as_stream(spark, turns, str(tmp_path / "in"), parts=2)
+    said = stateful.run_steps(stream, "session_id", ["seq"], "history string", stateful.context_step(2), idle_ms=1000)
+    out = str(tmp_path / "rows")
+    query = said.writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", str(tmp_path / "ckpt")).trigger(processingTime="8 seconds").start()
+    query.awaitTermination(40)
+    query.stop()
+    assert [r.history for r in spark.read.parquet(out).orderBy("seq").collect()] == ['[["user", "m0"]]', '[["user", "m1"]]']
+
+
 def test_change_log_parser_works_on_a_stream(spark, sf, tmp_path):
     raw = changes_q._json_log(spark, sf)
     stream = as_stream(spark, raw, str(tmp_path / "in"))
