@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterflow.llm import decontamination, line_dedup, ngram_join, packing, quality
-from rosterflow.llm.common import shared_path, table
+from rosterflow.llm.common import table
+from rosterflow.session import shared_dir
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = shared_path(spark, name.replace(" ", "-"))
+        path = shared_dir(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

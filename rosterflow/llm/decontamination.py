@@ -16,7 +16,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterflow.llm.common import sized, written
+from rosterflow.llm.common import sized
+from rosterflow.session import written
 
 SIZE = 10
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

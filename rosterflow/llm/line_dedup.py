@@ -15,7 +15,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterflow.llm.common import Bloom, collected_bits, mixed, words_of_bits, written
+from rosterflow.llm.common import Bloom, collected_bits, mixed, words_of_bits
+from rosterflow.session import written
 
 STRIPPED = b"\x20\x09\x0a\x0b\x0c\x0d"
 SHORTEST = 10

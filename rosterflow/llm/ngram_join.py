@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterflow.llm.common import bloom_of, holds_ids, mixed, pieces, span_hashes, spans_of, written
+from rosterflow.llm.common import bloom_of, holds_ids, mixed, pieces, span_hashes, spans_of
+from rosterflow.session import written
 
 WORDS = 5
 PERCENT = 80

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterflow.llm.common import pieces, span_hashes, spans_of, written
+from rosterflow.llm.common import pieces, span_hashes, spans_of
+from rosterflow.session import written
 
 FEATURES = 256
 RIDGE = 1e-3

@@ -20,7 +20,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterflow.llm.common import shared_path, sized, written
+from rosterflow.llm.common import sized
+from rosterflow.session import shared_dir, written
 
 DATE = "1970-01-01T00:00:00Z"
 # Ranges that are at most so far apart are fetched together, up to so many bytes.
@@ -170,5 +171,5 @@ def read_archives(index: DataFrame, folder: str, with_payload: bool = True) -> D
 
 def archive_folder(pages: DataFrame) -> str:
     """A fresh shared folder for archives, as a URI."""
-    path = shared_path(pages.sparkSession, "warc")
+    path = shared_dir(pages.sparkSession, "warc")
     return path if "://" in path else f"file://{path.removeprefix('file:')}"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from rosterflow.llm import common, quality, queries
+from rosterflow.session import shared_dir
 
 import test_numbered as plain  # noqa: E402
 
@@ -58,7 +59,7 @@ def test_pipeline_stage_by_stage(lake, sf, monkeypatch):
 
     def run(stage, frame):
         out = stage(lake, frame, sf)
-        path = common.shared_path(lake, "stage")
+        path = shared_dir(lake, "stage")
         out.write.parquet(path)
         return lake.read.parquet(path)
 
