@@ -95,8 +95,8 @@ select c_custkey,
        case when c_nationkey = 1 then 'a' else c_name end as name,
        case when c_nationkey = 2 then 'u' when c_nationkey = 4 then 'nobody' else 'user' || cast(c_custkey as string) end
          || case when c_nationkey = 4 then '' else '@mail.example.com' end as email,
-       case c_mktsegment when 'BUILDING' then '北京市海淀区中关村南大街' || cast(c_custkey as string) || '号'
-         when 'MACHINERY' then '大厂回族自治县' || cast(c_custkey as string)
+       case c_mktsegment when 'BUILDING' then '厦门市思明区湖滨南路' || cast(c_custkey as string) || '号'
+         when 'MACHINERY' then '恩施土家族自治县' || cast(c_custkey as string)
          when 'HOUSEHOLD' then 'street ' || cast(c_custkey as string) when 'FURNITURE' then '路' || cast(c_nationkey as string)
          else '' end as address,
        '6222' || lpad(cast(c_custkey as string), case when c_nationkey < 12 then 12 else 15 end, '0') as bank_card,
