@@ -62,9 +62,11 @@ PROGRESS_STEPS = [
     ("verified_success", "资格核验", VERIFIED_SUCCESS),
     ("checkin_completed", "报到完成", CHECKIN_COMPLETED),
 ]
+# Arrival states as shown.
 ARRIVAL_DISPLAY = {"not_arrived": "未到校", "arrived": "已到校", "completed": "报到完成"}
 
 # --- retrieval and answers -----------------------------------------------
+# Categories of knowledge, weights and limits of retrieval.
 CATEGORIES = ["PROCESS", "POI", "FAQ", "MATERIAL"]
 BM25_K1, BM25_B = 1.5, 0.75
 VECTOR_WEIGHT, BM25_WEIGHT = 0.7, 0.3
@@ -76,6 +78,7 @@ MAX_REPLY_LENGTH = 500
 HISTORY_ROUNDS = 5
 MESSAGE_MAX_LENGTH = 500
 
+# Reply texts.
 LOW_CONFIDENCE_REPLY = "抱歉,未检索到足够相关的信息。建议咨询现场志愿者或辅导员。"
 NO_SOURCE_REPLY = "抱歉,未检索到相关信息。建议咨询现场志愿者或辅导员。"
 FAQ_FALLBACK_REPLY = "抱歉,当前为离线降级模式,未能匹配到您的问题。建议咨询现场志愿者或辅导员,或稍后重试。"
@@ -91,6 +94,7 @@ SYSTEM_PROMPT = (
     "4. 涉及校园地点导航时,在回复末尾输出 [[POI:地点名称]] 标记(如 [[POI:第一食堂]])。\n"
     "5. 回复简洁明了,控制在 300 字以内。\n"
 )
+# Headings of a prompt.
 PROMPT_CONTEXT_HEADING = "\n【检索上下文】\n"
 PROMPT_NO_SOURCES = "(无相关检索结果)\n"
 PROMPT_CURRENT_HEADING = "【当前上下文】"
@@ -174,14 +178,17 @@ POI_CATALOGUE = [
     ("library_main", "中心图书馆", "图书馆", 300),
     ("hospital", "校医院", "医院", 600),
 ]
+# Link and text of a navigation.
 NAV_URL_PREFIX = "/pages/map/nav?dest="
 TOOL_DISPLAY_PREFIX = "跳转至 "
 
 # --- limits and access ---------------------------------------------------
+# Limits a minute.
 CHAT_LIMIT_PER_MINUTE = 10
 TOOL_LIMIT_PER_MINUTE = 10
 # Rate rules by path prefix in order (prefix, bucket size, refill per minute).
 RATE_RULES = [("/api/v1/ai", 10, 10), ("/api/v1/parent/bind", 5, 5)]
+# Limits of code requests and lockouts.
 CODE_REQUEST_WINDOW_SECONDS, CODE_REQUEST_MAX = 60, 1
 MAX_ERROR_COUNT, LOCK_SECONDS = 5, 1800
 
@@ -214,5 +221,6 @@ PII_FIELDS = {
     "bankCard": "BANK_CARD",
     "bankCardNumber": "BANK_CARD",
 }
+# Endings of district names, and claims a token must not hold.
 DISTRICT_SUFFIXES = ["区", "县", "市", "旗", "自治县", "自治旗"]
 FORBIDDEN_CLAIMS = ["phone", "id_card", "idCard", "name", "address", "password"]
