@@ -7,13 +7,14 @@ pieces of at most ``PIECE_BYTES``, so memory depends on the longest text, never
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 # Bits of the largest Bloom filter: 32 MB a filter, whatever the input.  Beyond it only more rows pass the filter.
 MOST_BLOOM_BITS = 1 << 28
 
@@ -60,7 +61,12 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _UNDO = pow(_BASE, -1, 1 << 64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+@lru_cache(maxsize=2)
+def _usual_powers(base: int) -> np.ndarray:
+    return _powers_of(base, PIECE_BYTES + 1)
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     if n:
         out[0] = 1
@@ -68,6 +74,10 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    return _usual_powers(base)[:n] if n <= PIECE_BYTES + 1 else _powers_of(base, n)
+
+
 def spans_of(inside: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of each unbroken run of true bytes within a text."""
     edge = np.zeros(len(inside) + 1, bool)
