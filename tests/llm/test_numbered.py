@@ -411,8 +411,8 @@ def plain_search(rows, chosen, k, most_terms):
 
 
 def test_search_of_whole_texts(docs, empty, monkeypatch):
-    monkeypatch.setattr(search, "SHARD", 60)
-    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(search, "SHARD", 6000)
+    monkeypatch.setattr(search, "QUERY_TERMS", 2000)
     rows = rows_of(docs)
     got = collections.defaultdict(list)
     for r in search.search_like(docs, F.col("doc_id") % 20 == 0).orderBy("query_id", "rank").collect():
@@ -423,6 +423,18 @@ def test_search_of_whole_texts(docs, empty, monkeypatch):
     assert search.search_like(empty, F.col("doc_id") % 20 == 0).count() == 0
 
 
+def test_search_with_the_rarest_terms(lake):
+    texts = ["common alpha beta gamma", "common alpha beta", "common common gamma delta", "common beta own", "", "common", None, "alpha zeta"]
+    rows = lake.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in search.search_like(rows, F.col("doc_id") == 0, most_terms=2).orderBy("rank").collect():
+        got[r.query_id].append(r.doc_id)
+    # Of the query's terms gamma has 2 documents; alpha and beta tie at 3, and either brings documents 1 and one more.
+    assert set(got) == {0} and got[0][0] == 0 and set(got[0]) in ({0, 1, 2, 3}, {0, 1, 2, 7})
+    again = search.search_like(rows, F.col("doc_id").isin(3, 4, 6), most_terms=1).collect()
+    assert {(r.query_id, r.doc_id) for r in again} == {(3, 0), (3, 1), (3, 3)}
+
+
 def test_pruned_search_equals_full_scores():
     import numpy as np
     import pyarrow as pa
