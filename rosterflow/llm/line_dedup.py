@@ -105,8 +105,9 @@ def dropped_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "key"])
 
     rows = written(docs.mapInArrow(suspects, "doc_id long, key binary"), "suspects")
-    firsts = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(
-        "first < last").select("key", "first")
+    # A table of its own, so that Spark can split the rows of a key that a third of the documents hold.
+    firsts = written(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(
+        "first < last").select("key", "first"), "firsts")
     return rows.join(firsts, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
