@@ -10,10 +10,6 @@ from rosterflow.llm import chat, decontamination, line_dedup, ngram_join, packin
 from rosterflow.llm.common import table
 
 
-# A document asks with so many of its terms, the rarest that another document has too.
-RAREST_TERMS = 16
-
-
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     folder = warc.archive_folder(pages)
@@ -75,7 +71,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_like(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0, most_terms=RAREST_TERMS)
+    return search.search_like(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
 
 
 QUERIES = {f.__name__: f for f in (

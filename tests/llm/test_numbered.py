@@ -435,6 +435,17 @@ def test_search_with_the_rarest_terms(lake):
     assert {(r.query_id, r.doc_id) for r in again} == {(3, 0), (3, 1), (3, 3)}
 
 
+def test_the_query_asks_with_all_terms(lake, tmp_path):
+    shared = [f"s{i}" for i in range(40)]
+    texts = {0: shared, 1: shared[:20], 2: shared[20:], 20: ["all", "its", "own"], 3: ["other"]}
+    lake.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.defaultdict(set)
+    for r in queries.op10_search(lake, str(tmp_path)).collect():
+        got[r.query_id].add(r.doc_id)
+    # The 16 rarest terms of document 0 cannot all lie in both halves, and document 20 shares no term.
+    assert got == {0: {0, 1, 2}, 20: {20}}
+
+
 def test_pruned_search_equals_full_scores():
     import numpy as np
     import pyarrow as pa
