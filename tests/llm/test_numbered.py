@@ -446,6 +446,21 @@ def test_the_query_asks_with_all_terms(lake, tmp_path):
     assert got == {0: {0, 1, 2}, 20: {20}}
 
 
+def test_the_query_equals_plain_search(lake, sf):
+    rows = rows_of(common.table(lake, sf, "documents"))
+    got = collections.defaultdict(list)
+    for r in queries.op10_search(lake, sf).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.doc_id))
+    want = {q: best for q, best in plain_search(rows, lambda d: d % 20 == 0, 10, None) if best}
+    assert set(got) == set(want) and want
+    for query, best in want.items():
+        assert [s for s, _ in got[query]] == pytest.approx([s for s, _ in best], abs=2e-6)
+        # Documents may trade places only where rounding decides between their scores.
+        plain = {d: s for s, d in best}
+        least = best[-1][0]
+        assert all(plain.get(d, least) == pytest.approx(s, abs=2e-6) for s, d in got[query])
+
+
 def test_pruned_search_equals_full_scores():
     import numpy as np
     import pyarrow as pa
