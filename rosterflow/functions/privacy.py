@@ -189,23 +189,30 @@ def _no_number(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
-def _masked_text(node) -> str:
+def _masked_text(node, kind: DataType | None = None) -> str:
+    """``kind``: the type that a schema gives the node; what it calls text is masked however the document spells it."""
     if isinstance(node, dict):
-        return "{" + ",".join(
-            json.dumps(key, ensure_ascii=False) + ":" + (
-                json.dumps(_mask_value(value, C.PII_FIELDS[key]), ensure_ascii=False)
-                if key in C.PII_FIELDS and type(value) is str else _masked_text(value))
-            for key, value in node.items()) + "}"
+        kinds = {f.name: f.dataType for f in kind.fields} if isinstance(kind, StructType) else {}
+
+        def masked(key, value):
+            if key in C.PII_FIELDS and type(value) is str:
+                return json.dumps(_mask_value(value, C.PII_FIELDS[key]), ensure_ascii=False)
+            if key in C.PII_FIELDS and value is not None and isinstance(kinds.get(key), StringType):
+                return json.dumps(_mask_value(_masked_text(value), C.PII_FIELDS[key]), ensure_ascii=False)
+            return _masked_text(value, kinds.get(key))
+
+        return "{" + ",".join(json.dumps(key, ensure_ascii=False) + ":" + masked(key, value) for key, value in node.items()) + "}"
     if isinstance(node, list):
-        return "[" + ",".join(_masked_text(item) for item in node) + "]"
+        kind = kind.elementType if isinstance(kind, ArrayType) else None
+        return "[" + ",".join(_masked_text(item, kind) for item in node) + "]"
     return str(node) if isinstance(node, _Number) else json.dumps(node, ensure_ascii=False)
 
 
-def _mask_document(text: str | None) -> str | None:
+def _mask_document(text: str | None, unreadable: str | None, kind: DataType | None = None) -> str | None:
     try:
-        return _masked_text(json.loads(text, parse_float=_Number, parse_int=_Number, parse_constant=_no_number))
+        return _masked_text(json.loads(text, parse_float=_Number, parse_int=_Number, parse_constant=_no_number), kind)
     except (TypeError, ValueError, RecursionError):
-        return text
+        return unreadable
 
 
 @F.pandas_udf(StringType())
@@ -213,15 +220,16 @@ def mask_json(documents: pd.Series) -> pd.Series:
     """Mask known fields anywhere in a JSON text of any shape; numbers keep their spelling.
 
     Text that is not JSON, or is nested too deeply to be read, stays as it is.  Where the shape is known,
-    :func:`mask_json_as` does the same without Python.
+    :func:`mask_json_as` does the same in Spark expressions.
     """
-    return documents.map(_mask_document)
+    return documents.map(lambda text: _mask_document(text, text))
 
 
 def mask_json_as(col: Column, schema: StructType) -> Column:
-    """Mask known fields of a JSON text of the given shape, in Spark expressions only.
+    """Mask known fields of a JSON text of the given shape, in Spark expressions.
 
-    Fields beyond the schema and null fields are left out; text that does not parse stays as it is.
+    A document that the schema does not give back as it was (further or null fields, other types, other spelling) is
+    masked as by :func:`mask_json`, so that no field is lost; text that is not JSON stays as it is.
     """
     bad = "__unreadable"
     parsed = F.from_json(col, StructType([*schema.fields, StructField(bad, StringType())]), {
@@ -237,7 +245,15 @@ def mask_json_as(col: Column, schema: StructType) -> Column:
             return F.when(is_blank(value), value).otherwise(MASKS[C.PII_FIELDS[name]](value))
         return value
 
-    return F.when(parsed.isNull() | parsed[bad].isNotNull(), col).otherwise(F.to_json(rebuilt(parsed, schema)))
+    @F.pandas_udf(StringType())
+    def masked_whole(documents: pd.Series) -> pd.Series:
+        return documents.map(lambda text: _mask_document(text, None, schema))
+
+    readable = parsed.isNotNull() & parsed[bad].isNull()
+    same = F.coalesce(readable & (F.to_json(parsed, {"ignoreNullFields": "true"}) == col), F.lit(False))
+    masked = F.when(readable, F.to_json(rebuilt(parsed, schema)))
+    # Python sees only the documents that are not the same; those it cannot read are masked as far as Spark reads them.
+    return F.when(same, masked).otherwise(F.coalesce(masked_whole(F.when(~same, col)), masked, col))
 
 
 def mask_params(params: Column) -> Column:

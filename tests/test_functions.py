@@ -175,3 +175,14 @@ def test_mask_json_of_a_known_shape(spark):
     for odd in ("{broken", "[1", ""):
         assert one(spark, privacy.mask_json_as(F.col("v"), shape), odd) == odd
     assert one(spark, privacy.mask_json_as(F.col("v"), shape), None) is None
+
+
+@pytest.mark.parametrize("text, masked", [
+    ('{"phone":"13900001111","more":{"email":"li@mail.example","n":1.50}}', '{"phone":"139****1111","more":{"email":"l***@mail.example","n":1.50}}'),
+    ('{"a":{"b":[{"n":1.10,"x":null}]},"phone":null}', '{"a":{"b":[{"n":1.10,"x":null}]},"phone":null}'),
+    ('{"a":"text","phone":"13900001111"}', '{"a":"text","phone":"139****1111"}'),
+    ('{"phone":13900001111,"more":1}', '{"phone":"139****1111","more":1}'),
+    ("{'phone':'13900001111'}", '{"phone":"139****1111"}')])
+def test_mask_json_of_a_known_shape_keeps_all_fields(spark, text, masked):
+    shape = StructType.fromDDL("a struct<phone:string,b:array<struct<email:string,n:decimal(10,2)>>>, phone string")
+    assert one(spark, privacy.mask_json_as(F.col("v"), shape), text) == masked
