@@ -3,7 +3,8 @@
 A conversation is a log of events by ``seq``: ``open`` starts a message (role), ``delta`` adds text to it, ``edit`` replaces
 its text, ``regenerate`` empties it; the last two also take back every later message that was opened before them.
 Messages are folded one by one, so a conversation of any length is spread over tasks; only their short heads are put in
-order to find what was taken back.  Rendering and reading stream through a conversation and hold one message.
+order to find what was taken back.  Rendering places blocks of turns on their own, from the sum of sizes of each block; only
+reading, whose digests run in order, streams through a whole conversation.  Both hold one message.
 
 Template: ``### role: text</turn>`` and a line end for each message.  In texts ``\\``, ``###`` and ``</turn>`` get a
 backslash before them, in roles ``:`` too, so that a reader that takes the character after a backslash as it is gets
@@ -23,6 +24,8 @@ from pyspark.sql import Window as W
 END = "</turn>"
 MARK = "###"
 ASSISTANT = "assistant"
+# Messages of so many neighbouring turns are placed together.
+BLOCK_TURNS = 256
 _MESSAGE = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
 _ESCAPE = re.compile(r"\\(.)", re.S)
 
@@ -81,15 +84,23 @@ def render(final: DataFrame) -> DataFrame:
     body = escaped(F.col("text"))
     pieces = final.select("conv_id", "turn", "msg", F.concat(head, body, F.lit(END + "\n")).alias("formatted"), F.when(
         F.col("role") == ASSISTANT, F.struct(F.length(head).alias("a"), (F.length(head) + F.length(body)).alias("b"))).alias("loss"))
-    pieces = pieces.select("conv_id", "turn", "msg", "formatted", F.length("formatted").alias("size"), "loss.a", "loss.b")
+    pieces = pieces.select("conv_id", "turn", "msg", "formatted", F.length("formatted").alias("size"), "loss.a", "loss.b",
+                           F.floor(F.col("turn") / BLOCK_TURNS).alias("block"))
+    # A null turn is a block of its own, before all others.
+    sums = pieces.groupBy("conv_id", "block").agg(F.sum("size").alias("sum"))
+    before = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    bases = sums.select(F.col("conv_id").alias("conv_id_"), F.col("block").alias("block_"),
+                        F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
+    pieces = pieces.join(bases, F.col("conv_id").eqNullSafe(F.col("conv_id_")) & F.col("block").eqNullSafe(F.col("block_")))
+    pieces = pieces.select("conv_id", "turn", "msg", "formatted", "size", "a", "b", "block", "base")
 
     def place(batches):
-        conv, at = object(), 0
+        key, at = object(), 0
         for batch in batches:
             starts = []
-            for own, size in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist()):
-                if own != conv:
-                    conv, at = own, 0
+            for conv, block, base, size in zip(*(batch.column(i).to_pylist() for i in (0, 7, 8, 4))):
+                if (conv, block) != key:
+                    key, at = (conv, block), base
                 starts.append(at)
                 at += size
             shift = [[None if x is None else s + x for s, x in zip(starts, batch.column(i).to_pylist())] for i in (5, 6)]
@@ -97,7 +108,7 @@ def render(final: DataFrame) -> DataFrame:
                                    *[pa.array(x, pa.int64()) for x in shift]],
                                   names=["conv_id", "start", "formatted", "loss_start", "loss_end"])
 
-    ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "msg")
+    ordered = pieces.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "msg")
     return ordered.mapInArrow(place, "conv_id long, start long, formatted string, loss_start long, loss_end long")
 
 

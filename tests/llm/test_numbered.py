@@ -359,6 +359,21 @@ def test_chat_events_are_taken_back(lake):
         (0, "user", "hello"), (1, "assistant", "right"), (2, "user", "edited!"), (4, "assistant", "last")] * 2
 
 
+def test_a_long_chat_is_placed_in_several_tasks(lake):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    lake.conf.set(key, "false")
+    try:
+        turns = [(c, t, 0, "user" if t % 2 else "assistant", "x" * (t % 7)) for c in (1, None) for t in range(-300, 3000)] + [(1, None, 0, "user", "first")]
+        rendered = chat.render(lake.createDataFrame(turns, "conv_id long, turn long, msg long, role string, text string"))
+        rows = rendered.withColumn("task", F.spark_partition_id()).where("conv_id = 1").orderBy("start").collect()
+    finally:
+        lake.conf.unset(key)
+    assert len({r.task for r in rows}) > 1
+    assert [r.start for r in rows] == [sum(map(len, (r.formatted for r in rows[:i]))) for i in range(len(rows))]
+    assert rows[0].formatted == "### user: first</turn>\n" and len(rows) == 3301
+    assert {r.conv_id: (r.n_turns) for r in chat.read_back(rendered).collect()} == {1: 3301, None: 3300}
+
+
 PAGES = [(5, "http://a/\r\nb", "x"), (3, None, "x"), (3, "http://c", "x"), (9, "é", None), (8, "u", ""), (None, "n", "x"), (None, "m", "only"),
          (11, "v", "y\r\n\r\nWARC/1.1\r\n"), (12, "w", "é" * 100_000), (13, "w", "é" * 100_000)]
 
