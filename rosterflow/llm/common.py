@@ -11,8 +11,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from rosterflow.operators.joins import join_back
+from rosterflow.session import written
 
 PIECE_BYTES = 1 << 20
 # Bits of the largest Bloom filter: 32 MB a filter, whatever the input.  Beyond it only more rows pass the filter.
@@ -161,3 +165,31 @@ def holds_ids(bloom: Bloom, ids: pa.Array) -> np.ndarray:
 def sized(df: DataFrame, rows: int, row_bytes: int, most: int = 32 << 20) -> DataFrame:
     """Marks a table for broadcast if ``rows`` rows of ``row_bytes`` stay below ``most``; else Spark shuffles."""
     return F.broadcast(df) if rows * row_bytes <= most else df
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row, from 1, among the rows of its key along ``order``; nulls come first, null is a key.
+
+    Rows are sorted by range, so one key may fill many tasks; a task counts its own rows, and what lies before a task
+    comes from one row per key and task.  Rows that are equal in ``order`` share a task: let it tell rows apart.
+    """
+    along = [F.asc_nulls_first(c) for c in [*keys, *order]]
+    rows = written(df.repartitionByRange(*along).sortWithinPartitions(*along).withColumn(
+        "_at", F.monotonically_increasing_id()), "numbered").withColumn("_task", F.shiftright("_at", 33))
+    starts = rows.groupBy(*keys, "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    starts = starts.select(*keys, "_task", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return join_back(rows, starts, [*keys, "_task"]).withColumn(
+        name, F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_at", "_task", "_first", "_before")
+
+
+def measured(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """Marks a written table for broadcast if its rows hold at most ``most`` characters as JSON; else Spark shuffles."""
+    size = df.agg(F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
+def word_count(text: Column) -> Column:
+    """Number of runs of characters that are no ASCII white space; null has none."""
+    marks = F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "x")
+    return F.coalesce(F.length(F.translate(marks, " \t\n\x0b\f\r", "")), F.lit(0)).cast("long")

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterflow.llm import chat, decontamination, line_dedup, ngram_join, packing, pii, quality, search, token_counts, warc
+from rosterflow.llm import (chat, decontamination, line_dedup, mixing, ngram_join, packing, pii, prefix_trie, quality, search,
+                            structure_repair, token_counts, warc)
 from rosterflow.llm.common import table
 
 
@@ -74,9 +75,21 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_like(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.regrafted(prefix_trie.turns_of(table(spark, sf_dir, "conversations"))))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repair_damage(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_packing, op3_decontamination, op4_ngram_join, op5_token_counts, op6_quality, op7_pii, op8_chat,
-    op9_line_dedup, op10_search)}
+    op9_line_dedup, op10_search, op11_mixing, op12_prefix_trie, op13_structure_repair)}
 
 ORACLES = {
     "op1_warc": r"""
@@ -158,4 +171,39 @@ marked as (select keyed.*, coalesce(doc_id > first, false) as gone from keyed le
 select doc_id, count(*)::bigint as n_lines, (count(*) filter (where gone))::bigint as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from marked group by doc_id""",
+    "op12_prefix_trie": r"""
+with given as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, role,
+    sha256(length(role) || chr(10) || role || chr(10) || text)) as pos,
+    sha256(length(role) || chr(10) || role || chr(10) || text) as id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words
+  from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)),
+convs as (
+  select conv_id, conv_id - conv_id % 20 as base, (4294967295 - list_reduce(list_prepend(4294967295::bigint,
+    list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda crc, byte:
+    list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 4 as h
+  from (select distinct conv_id from given)),
+sized as (
+  select c.*, least(h, (select count(*) from given g where g.conv_id = c.base)) as k from convs c),
+turns as (
+  select s.conv_id, pos, id, words from sized s join given g on g.conv_id = s.base where pos <= h
+  union all select s.conv_id, pos - h + k, id, words from sized s join given g using (conv_id) where pos > h),
+paths as (select conv_id, list(id order by pos) as p, list(words order by pos) as w from turns group by conv_id),
+held as (select conv_id, coalesce(p, []) as p, coalesce(w, []) as w from convs left join paths using (conv_id)),
+prefixes as (
+  select conv_id, d, array_to_string(p[1:d], ',') as node, array_to_string(p[1:d - 1], ',') as up,
+    case when d > 0 then w[d] else 0 end as words, len(p) = d as ends
+  from (select *, unnest(range(len(p) + 1)) as d from held)),
+nodes as (
+  select node, d, min(up) as up, min(conv_id) as conv_id, count(*) as n, min(words) as words,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as sha
+  from prefixes group by node, d),
+children as (select up as node, count(*) as n_children from nodes where d > 0 group by up),
+sums as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join children using (node)),
+under as (select distinct a.node as top, b.node from prefixes a join prefixes b on a.conv_id = b.conv_id and a.d <= b.d),
+totals as (
+  select top, count(*) filter (where n_children = 0) as n_leaves, sum((n - 1) * words)::bigint as saved_tokens
+  from under join sums using (node) group by top)
+select s.conv_id, s.d::bigint as depth, case when s.d > 0 then u.conv_id end as parent_conv_id, s.n as n_convs, s.n_children,
+  n_leaves, saved_tokens, s.sha as ends_sha256
+from sums s join totals on top = s.node left join nodes u on u.node = s.up""",
 }
