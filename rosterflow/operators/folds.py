@@ -2,18 +2,22 @@
 
 Limiters and lockouts need the state left by the row before, so they are no
 window functions.  A key is cut at the points where its state is known anyway
-(an idle gap that refills a bucket, empties a log or ends a window); the pieces
-are independent and spread over the cluster.  Within a piece, rows stream
-through the task in sorted Arrow batches and only the small state is kept: no
-group is collected.  Requests of one key in the same millisecond are counted
-before the shuffle, so a piece has at most one row per millisecond of unbroken
-activity, however many requests there are.
+(an idle gap that refills a bucket, empties a log or ends a window, or a load so
+light that nothing can have been refused); the pieces are independent and spread
+over the cluster.  Within a piece, rows stream through the task in sorted Arrow
+batches and only the small state is kept: no group is collected.  Requests of one
+key in the same millisecond are counted before the shuffle, so a piece has at
+most one row per millisecond of unbroken activity, however many requests there
+are.  Where a machine has few states, blocks of one piece run side by side too
+(:func:`fold_blocks`).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +25,7 @@ from pyspark.sql import Window as W
 
 from rosterflow.operators import blocks
 from rosterflow.operators.joins import join_back
+from rosterflow.session import written
 
 Step = Callable[[object, tuple], "tuple[object, tuple]"]
 
@@ -29,20 +34,24 @@ def epoch_millis(ts: str) -> Column:
     return F.unix_millis(F.col(ts).cast("timestamp"))
 
 
-def cut_at_gaps(counted: DataFrame, key: str, gap_ms: int, block_ms: int) -> DataFrame:
+def cut_at_gaps(
+    counted: DataFrame, key: str, gap_ms: int, block_ms: int, settled: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Adds ``piece``: first millisecond of the stretch without an idle gap of ``gap_ms``.
 
     ``counted`` has one row (key, ms, n) per millisecond, so a block holds at
     most ``block_ms`` rows; stretches over several blocks are tied together from
-    one summary row per block.
+    one summary row per block.  ``settled`` adds a column of that name to rows with
+    their ``blk``: true where a fold may start anew without any gap.
     """
     inside = W.partitionBy(key, "blk").orderBy("ms")
     along = W.partitionBy(key).orderBy("blk")
     ms = F.col("ms")
+    blocked = counted.withColumn("blk", blocks.by_millis("ms", block_ms))
+    blocked = settled(blocked) if settled else blocked.withColumn("settled", F.lit(False))
     marked = (
-        counted.withColumn("blk", blocks.by_millis("ms", block_ms))
-        .withColumn("cut", F.when(ms - F.lag("ms").over(inside) >= gap_ms, ms))
-        .withColumn("last_cut", F.max("cut").over(inside))
+        blocked.withColumn("cut", F.when((ms - F.lag("ms").over(inside) >= gap_ms) | F.col("settled"), ms))
+        .withColumn("last_cut", F.max("cut").over(inside)).drop("settled")
     )
     summary = marked.groupBy(key, "blk").agg(
         F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.max("cut").alias("cut"))
@@ -73,23 +82,26 @@ def cut_after(rows: DataFrame, key: str, order: list[str], known: Column, block_
 
 def fold(
     rows: DataFrame, group: list[str], order: list[str], inputs: list[str], outputs: str, step: Step,
+    start: str | None = None,
 ) -> DataFrame:
     """Runs ``step(state, input values) -> (state, output values)`` along each group.
 
     The result has the columns of ``rows`` and the ``outputs`` ("name type, ...").
-    The state starts as None.
+    The state starts as None, or as what the column ``start`` holds as JSON.
     """
     names = [part.split()[0] for part in outputs.split(",")]
-    kept = rows.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", " + outputs
+    fields = [f for f in rows.schema.fields if f.name != start]
+    kept = [f.name for f in fields]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + outputs
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
             results = []
-            for owner, values in zip(batch["__group"], batch[inputs].itertuples(index=False)):
+            begun = batch[start] if start else [None] * len(batch)
+            for owner, first, values in zip(batch["__group"], begun, batch[inputs].itertuples(index=False)):
                 if owner != current:
-                    current, state = owner, None
+                    current, state = owner, json.loads(first) if first else None
                 state, result = step(state, values)
                 results.append(result)
             out = batch[kept].copy()
@@ -100,3 +112,55 @@ def fold(
     grouped = rows.withColumn("__group", F.to_json(F.struct(*group), {"ignoreNullFields": "false"}))
     arranged = grouped.repartition("__group").sortWithinPartitions("__group", *order)
     return arranged.mapInPandas(run, schema)
+
+
+def fold_blocks(
+    rows: DataFrame, group: list[str], order: list[str], inputs: list[str], outputs: str, step: Step,
+    table: Callable[[pd.DataFrame], dict], hop: Callable[[object, dict], object], block_ms: int,
+) -> DataFrame:
+    """:func:`fold` with blocks of one group side by side, for machines whose blocks have a small table of exits.
+
+    ``table(rows)`` sums up what a block makes of any state in which it may be entered; ``hop(state, table)`` is the
+    state behind it (state None: the group starts).  A walk over one row per block finds the state before each
+    block, from which its rows are folded.  Groups of a single block need none of this.
+    """
+    spread = written(rows.withColumns({
+        "__owner": F.to_json(F.struct(*group), {"ignoreNullFields": "false"}), "__blk": blocks.by_millis("ms", block_ms)}), "fold")
+    long = spread.groupBy("__owner").agg(F.min("__blk").alias("a"), F.max("__blk").alias("b")).where("a < b").select("__owner")
+    if long.isEmpty():
+        return fold(rows, group, order, inputs, outputs, step)
+
+    def summed(block: pd.DataFrame) -> pd.DataFrame:
+        first = block.iloc[0]
+        exits = table(block.sort_values(order))
+        return pd.DataFrame({"__owner": [first["__owner"]], "__blk": [first["__blk"]], "exits": [json.dumps(exits)]})
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, state = None, None
+        for batch in batches:
+            starts = []
+            for own, exits in zip(batch["__owner"], batch["exits"]):
+                if own != owner:
+                    owner, state = own, None
+                starts.append(None if state is None else json.dumps(state))
+                state = hop(state, json.loads(exits))
+            yield pd.DataFrame({"__owner": batch["__owner"], "__blk": batch["__blk"], "__start": pd.Series(starts, dtype=object)})
+
+    needed = ["__owner", "__blk", *dict.fromkeys([*order, *inputs])]
+    tables = spread.join(long, "__owner", "left_semi").select(*needed).groupBy("__owner", "__blk").applyInPandas(
+        summed, "__owner string, __blk bigint, exits string")
+    starts = tables.repartition("__owner").sortWithinPartitions("__owner", "__blk").mapInPandas(
+        walk, "__owner string, __blk bigint, __start string")
+    started = spread.join(starts, ["__owner", "__blk"], "left")
+    return fold(started, ["__owner", "__blk"], order, inputs, outputs, step, "__start").drop("__owner", "__blk")
+
+
+def follow(next_row: np.ndarray) -> np.ndarray:
+    """Last row of the chain from each row; ``next_row`` is later than the row, or the number of rows where it ends."""
+    rows = np.arange(len(next_row))
+    jump = np.where(next_row < len(next_row), np.minimum(next_row, len(next_row) - 1), rows)
+    while True:
+        further = jump[jump]
+        if np.array_equal(further, jump):
+            return jump
+        jump = further

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -73,14 +76,123 @@ def lockout_step(max_errors: int, lock_ms: int):
     return step
 
 
+def _surely_full(key: str, capacity: int, refill_per_minute: float):
+    """Marks the first row of a block at which a bucket that was empty before it, and always pays for every request, is
+    full: so is any other then."""
+    def settled(rows: DataFrame) -> DataFrame:
+        inside = W.partitionBy(key, "blk").orderBy("ms")
+        refill = F.coalesce(F.col("ms") - F.lag("ms").over(inside), F.lit(0)) * (refill_per_minute / 60_000.0)
+        rows = rows.withColumn("refill", refill).withColumn("net", F.sum(F.col("refill") - F.col("n")).over(
+            inside.rowsBetween(W.unboundedPreceding, 0)))
+        level = F.col("net") - F.min("net").over(inside.rowsBetween(W.unboundedPreceding, 0))
+        # A margin above rounding errors, which a long sum may have.
+        rows = rows.withColumn("level", level).withColumn("full", F.lag("level").over(inside) + F.col("refill") >= capacity + 1e-3)
+        first = F.min(F.when(F.col("full"), F.col("ms"))).over(W.partitionBy(key, "blk"))
+        return rows.withColumn("settled", F.coalesce(F.col("ms") == first, F.lit(False))).drop("refill", "net", "level", "full")
+    return settled
+
+
+def _surely_accepted(key: str, max_requests: int, window_ms: int, block_ms: int):
+    """Marks rows from which on a whole window of requests is accepted whatever came before.
+
+    That holds where no more requests than allowed lie in the window of each of them; an empty log does as well there.
+    Only windows that lie within the block are judged.
+    """
+    def settled(rows: DataFrame) -> DataFrame:
+        inside = W.partitionBy(key, "blk").orderBy("ms")
+        start = F.col("blk") * block_ms
+        rows = rows.withColumn("seen", F.sum("n").over(inside.rangeBetween(1 - window_ms, 0)))
+        unsure = (F.col("seen") > max_requests) | (F.col("ms") - start < window_ms)
+        rows = rows.withColumn("unsure", unsure.cast("int"))
+        whole = (F.sum("unsure").over(inside.rangeBetween(0, window_ms - 1)) == 0) & (F.col("ms") + window_ms <= start + block_ms)
+        # Neighbouring rows need not all start anew.
+        rows = rows.withColumn("whole", whole)
+        return rows.withColumn("settled", F.col("whole") & ~F.coalesce(F.lag("whole").over(inside), F.lit(False))).drop("seen", "unsure", "whole")
+    return settled
+
+
+def window_table(window_ms: int):
+    """Exits of a block of requests for windows that open at a request, by the start of the window it is entered in."""
+    def table(rows: pd.DataFrame) -> dict:
+        ms, n = rows["ms"].to_numpy(), rows["n"].to_numpy()
+        behind = np.concatenate(([0], np.cumsum(n)))
+        last = folds.follow(np.searchsorted(ms, ms + window_ms, "right"))
+        # A window that is open before the block ends within a window's length of its first request.
+        near = int(np.searchsorted(ms, ms[0] + window_ms, "right")) + 1
+        ends = last[:near]
+        runs = np.flatnonzero(np.concatenate((ends[1:] != ends[:-1], [True])))
+        return {"upto": ms[:near][runs].tolist(), "start": ms[ends[runs]].tolist(),
+                "used": (behind[-1] - behind[ends[runs]]).tolist(), "first": int(ms[0]), "total": int(behind[-1])}
+    return table
+
+
+def window_hop(window_ms: int):
+    def hop(state, exits):
+        start, used = state or (exits["first"] - window_ms - 1, 0)
+        run = bisect_right(exits["upto"], start + window_ms)
+        if run == len(exits["upto"]):
+            return [start, used + exits["total"]]
+        return [exits["start"][run], exits["used"][run]]
+    return hop
+
+
+def lockout_table(max_errors: int, lock_ms: int):
+    """Exits of a block of attempts: for each number of errors it is entered with, and by the time that a lock ends."""
+    def table(rows: pd.DataFrame) -> dict:
+        ms, wrong = rows["ms"].to_numpy(), (rows["result"] != "ok").to_numpy()
+        size = len(ms)
+        at = np.arange(size)
+        good = np.flatnonzero(~wrong)
+        # Row of the next success, and errors without one from each row on.
+        next_good = np.append(good, size)[np.searchsorted(good, at)]
+        run = next_good - at
+        heads = np.flatnonzero(wrong & np.concatenate(([True], ~wrong[:-1])) & (run >= max_errors))
+        later = np.append(heads, size)[np.searchsorted(heads, at, "right")]
+        locks = np.where(run >= max_errors, at + max_errors - 1, np.where(later < size, later + max_errors - 1, size))
+        until = np.append(ms, 0)[locks] + lock_ms
+        after = np.where(locks < size, np.searchsorted(ms, until, "right"), size)
+        last = folds.follow(after)
+        trailing = size - (good[-1] + 1 if len(good) else 0)
+
+        def end(row: int) -> list:
+            row = int(last[row])
+            if locks[row] < size:
+                return [max_errors, int(until[row])]
+            return [int(min(size - row, trailing)), None]
+
+        entered = []
+        for errors in range(max_errors):
+            if run[0] + errors >= max_errors:
+                closes = int(ms[max_errors - errors - 1]) + lock_ms
+                row = int(np.searchsorted(ms, closes, "right"))
+                entered.append(end(row) if row < size else [max_errors, closes])
+            else:
+                entered.append(end(int(next_good[0])) if next_good[0] < size else [errors + size, None])
+        firsts = np.flatnonzero(np.concatenate(([True], ms[1:] != ms[:-1])))
+        near = firsts[:int(np.searchsorted(ms[firsts], ms[0] + lock_ms, "right")) + 1]
+        same = np.concatenate((last[near][1:] != last[near][:-1], [True])) | (locks[last[near]] >= size)
+        runs = near[np.flatnonzero(same)]
+        return {"entered": entered, "upto": ms[runs].tolist(), "free": [end(r) for r in runs]}
+    return table
+
+
+def lockout_hop(state, exits):
+    errors, until = state or (0, None)
+    if until is None:
+        return exits["entered"][errors]
+    run = bisect_right(exits["upto"], until)
+    return [errors, until] if run == len(exits["upto"]) else exits["free"][run]
+
+
 def token_bucket(
     requests: DataFrame, key: str, capacity: int, refill_per_minute: float, ts: str = "ts", seq: str = "seq",
     block_ms: int = blocks.BLOCK_MILLIS,
 ) -> DataFrame:
-    """``allowed`` and the tokens left after each request; a bucket idle long enough is full again."""
+    """``allowed`` and the tokens left after each request; a bucket idle or little used for long enough is full again."""
     # One second on top, so that rounding cannot leave the bucket a hair below full.
     full_after = math.ceil(capacity * 60_000 / refill_per_minute) + 1000
-    cut = folds.cut_at_gaps(_per_millisecond(requests, key, ts), key, full_after, block_ms)
+    cut = folds.cut_at_gaps(_per_millisecond(requests, key, ts), key, full_after, block_ms,
+                            _surely_full(key, capacity, refill_per_minute))
     folded = folds.fold(
         cut.select(key, "ms", "n", "piece"), [key, "piece"], ["ms"], ["ms", "n"],
         "tokens double, spent bigint", token_bucket_step(capacity, refill_per_minute))
@@ -99,9 +211,10 @@ def anchored_window(
     window_ms = window_seconds * 1000
     keyed = requests.filter(~is_blank(F.col(key)))
     cut = folds.cut_at_gaps(_per_millisecond(keyed, key, ts), key, window_ms + 1, block_ms)
-    folded = folds.fold(
+    folded = folds.fold_blocks(
         cut.select(key, "ms", "n", "piece"), [key, "piece"], ["ms"], ["ms", "n"],
-        "window_start bigint, used_before bigint", anchored_window_step(window_ms))
+        "window_start bigint, used_before bigint", anchored_window_step(window_ms),
+        window_table(window_ms), window_hop(window_ms), block_ms)
     joined = _back_to_requests(
         requests, folded.select(key, "ms", "window_start", "used_before"), key, ts, seq)
     used = F.col("used_before") + F.col("j")
@@ -121,7 +234,10 @@ def sliding_log(
 ) -> DataFrame:
     """``allowed`` when fewer than ``max_requests`` accepted requests lie in the window before."""
     window_ms = window_seconds * 1000
-    cut = folds.cut_at_gaps(_per_millisecond(requests, key, ts), key, window_ms, block_ms)
+    # A block is to hold several windows.
+    block_ms = max(block_ms, 8 * window_ms)
+    cut = folds.cut_at_gaps(_per_millisecond(requests, key, ts), key, window_ms, block_ms,
+                            _surely_accepted(key, max_requests, window_ms, block_ms))
     folded = folds.fold(
         cut.select(key, "ms", "n", "piece"), [key, "piece"], ["ms"], ["ms", "n"],
         "accepted bigint", sliding_log_step(max_requests, window_ms))
@@ -143,9 +259,10 @@ def lockout(
     order = ["ms", seq]
     clears = (F.col("result") == "ok") & (F.col("ms") - F.col("prev_ms") > lock_ms)
     cut = folds.cut_after(timed, key, order, clears, block_ms)
-    folded = folds.fold(
+    folded = folds.fold_blocks(
         cut.select(*attempts.columns, "ms", "piece"), [key, "piece"], order, ["ms", "result"],
-        "outcome string, errors bigint, lock_minutes bigint", lockout_step(max_errors, lock_ms))
+        "outcome string, errors bigint, lock_minutes bigint", lockout_step(max_errors, lock_ms),
+        lockout_table(max_errors, lock_ms), lockout_hop, block_ms)
     return folded.drop("ms", "piece")
 
 
