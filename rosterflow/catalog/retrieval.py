@@ -39,8 +39,8 @@ def indexed(spark, sf):
             for part in ("", "_terms", "_totals"):
                 spark.sql(f"drop table if exists {name}{part}")
         name = f"chunk_index_{uuid.uuid4().hex}"
-        total_chars = sections(spark, sf).agg(F.sum("n_chars")).first()[0]
-        buckets = knowledge.bucket_count(total_chars, spark.sparkContext.defaultParallelism)
+        total_chars = sections(spark, sf).agg(F.sum(F.length("content"))).first()[0]
+        buckets = knowledge.bucket_count(total_chars or 0, spark.sparkContext.defaultParallelism)
         path = shared_dir(spark, "chunk-index")
         knowledge.store_statistics(knowledge.store_index(chunks(spark, sf), name, path, buckets), name, path)
         _INDEX_TABLES[key] = stamp, name

@@ -1,11 +1,16 @@
 """Hybrid text retrieval: BM25, bigram overlap, fused score, top-K.
 
-Every question is scored against every chunk.  The chunks carry
-an index (term counts and bigrams, see ``sources.knowledge``) bucketed by chunk,
-so all features of a chunk are in one task: they are looked up in the posting
-lists of the questions and summed per (chunk, question) without a shuffle.  A
-term that occurs in every chunk is never grouped into one task, and each task
-hands over at most K rows per question.
+The chunks carry an index (term counts and bigrams, see ``sources.knowledge``)
+bucketed by chunk, so all features of a chunk are in one task: they are looked up
+in the posting lists of the questions and summed per (chunk, question) without a
+shuffle.  A term that occurs in every chunk is never grouped into one task.
+
+For many questions and chunks the best K are found without scoring the rest
+(:func:`top_scores`).  Overlap is 1
+at most, so a chunk needs a certain BM25 to be among the best, which a few chunks
+with the rarest terms of the question tell.  Terms whose largest contributions
+together stay below that cannot lift a chunk alone; only chunks with another term
+are looked up, and only those whose sum may reach it are scored.
 
 ``chunks`` below always means the indexed table.
 """
@@ -31,11 +36,23 @@ POSTING_LENGTH = 1000
 # characters: every character makes at most one bigram and one term entry of
 # about 24 bytes, so the lists stay below 100 MB.
 BROADCAST_QUESTION_CHARS = 2_000_000
+# Postings of a question, rarest terms first, that are read for its first
+# threshold, and chunks scored for that, as a multiple of K.
+SEED_POSTINGS = 2_000
+SEEDS = 4
+# Pairs of questions and chunks from which pruning pays: it reads the index five
+# times instead of twice.  The results are the same.
+PRUNED_PAIRS = 50_000_000
+# Share of the threshold that the terms left out may carry together: less means
+# more postings, and fewer chunks that are scored in full.
+LEFT_OUT = 0.08
+# What sums in another order may differ by, relative to the largest.
+MARGIN = 1e-9
 
 
 @dataclass(frozen=True)
 class Statistics:
-    """Stored counts of an index: (category, feature, df), and (category, n_chunks, content_len)."""
+    """Stored counts of an index: (category, feature, df, max_tf, min_ratio), and (category, n_chunks, content_len)."""
 
     terms: DataFrame
     totals: DataFrame
@@ -73,8 +90,10 @@ def _totals(chunks: DataFrame, stats: Statistics | None) -> tuple[int, float]:
     return row.n or 0, (row.length or 0) / row.n if row.length else 1.0
 
 
-def _term_weights(questions: DataFrame, chunks: DataFrame, total: int, stats: Statistics | None) -> DataFrame:
-    """(question, term, weight): idf times the occurrences in the question.
+def _term_weights(
+    questions: DataFrame, chunks: DataFrame, total: int, stats: Statistics | None, avg_len: float = 1.0,
+) -> DataFrame:
+    """(question, term, weight): idf times the occurrences in the question, and the most it adds to any chunk.
 
     The table is as large as the questions; it is written once, so that the
     document frequencies are not counted again by every pass that reads it.
@@ -83,14 +102,17 @@ def _term_weights(questions: DataFrame, chunks: DataFrame, total: int, stats: St
         questions.select("question_id", F.explode(text.tokenize(F.col("question"))).alias("feature"))
         .groupBy("question_id", "feature").agg(F.count(F.lit(1)).alias("times"))
     )
-    counted = chunks.select(F.explode("terms.feature").alias("feature"), F.lit(1).alias("df")) if stats is None else stats.terms
+    counted = stats.terms if stats else chunks.select("dl", F.explode("terms").alias("t")).select(
+        F.col("t.feature").alias("feature"), F.lit(1).alias("df"), F.col("t.tf").alias("max_tf"), (F.col("dl") / F.col("t.tf")).alias("min_ratio"))
     df = (
         counted.join(terms.select("feature").distinct(), "feature", "left_semi")
-        .groupBy("feature").agg(F.sum("df").alias("df"))
+        .groupBy("feature").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_ratio").alias("min_ratio"))
     )
-    weights = terms.join(df, "feature").select(
-        "question_id", F.lit(_TERM).alias("kind"), "feature",
-        (idf(F.col("df"), F.lit(total)) * F.col("times")).alias("weight"), F.lit(0).alias("n_question"))
+    # Larger counts and shorter chunks for a count both raise the contribution.
+    most = (C.BM25_K1 + 1) / (1 + C.BM25_K1 * (1 - C.BM25_B) / F.col("max_tf") + C.BM25_K1 * C.BM25_B * F.col("min_ratio") / avg_len)
+    weights = terms.join(df, "feature").withColumn("weight", idf(F.col("df"), F.lit(total)) * F.col("times")).select(
+        "question_id", F.lit(_TERM).alias("kind"), "feature", "weight", F.lit(0).alias("n_question"), "df",
+        (F.col("weight") * most).alias("ceiling"))
     return written(weights, "term-weights")
 
 
@@ -107,6 +129,10 @@ def _small(questions: DataFrame) -> bool:
     return (chars or 0) <= BROADCAST_QUESTION_CHARS
 
 
+def _saturated(tf: Column, dl: Column, avg_len: float) -> Column:
+    return tf * (C.BM25_K1 + 1) / (tf + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * dl / avg_len))
+
+
 def _pairs(chunks: DataFrame, wanted: DataFrame, grams: bool, small: bool, avg_len: float) -> DataFrame:
     """(question, chunk, bm25, overlap) for pairs that share at least one feature.
 
@@ -127,18 +153,16 @@ def _pairs(chunks: DataFrame, wanted: DataFrame, grams: bool, small: bool, avg_l
         return F.transform(values, lambda v: F.struct(
             F.lit(kind).alias("kind"), feature(v).alias("feature"), tf(v).alias("tf")))
 
-    features = tagged(_TERM, F.col("terms"), lambda v: v["feature"], lambda v: v["tf"])
-    if grams:
-        features = F.concat(features, tagged(_GRAM, F.col("grams"), lambda v: v, lambda v: F.lit(0)))
-    size = F.size("grams") if grams else F.lit(0)
     if small:
         postings = F.broadcast(postings)
-    rows = chunks.select(
-        "chunk_no", "dl", size.alias("n_chunk"), F.explode(features).alias("f")
-    ).select("chunk_no", "dl", "n_chunk", "f.*")
-    tf = F.col("tf")
-    saturated = tf * (C.BM25_K1 + 1) / (
-        tf + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / avg_len))
+    if grams:
+        features = F.concat(tagged(_TERM, F.col("terms"), lambda v: v["feature"], lambda v: v["tf"]),
+                            tagged(_GRAM, F.col("grams"), lambda v: v, lambda v: F.lit(0)))
+        rows = chunks.select("chunk_no", "dl", F.size("grams").alias("n_chunk"), features.alias("features")).select(
+            "chunk_no", "dl", "n_chunk", F.inline("features"))
+    else:
+        rows = chunks.select("chunk_no", "dl", F.lit(0).alias("n_chunk"), F.inline("terms")).withColumn("kind", F.lit(_TERM))
+    saturated = _saturated(F.col("tf"), F.col("dl"), avg_len)
     hits = rows.join(postings, ["kind", "feature"]).select(
         "chunk_no", "n_chunk", "kind",
         F.when(F.col("kind") == _TERM, saturated).otherwise(F.lit(0.0)).alias("saturated"),
@@ -168,7 +192,7 @@ def hybrid_scores(questions: DataFrame, chunks: DataFrame, stats: Statistics | N
     best = _pairs(chunks, weights, False, small, avg_len).groupBy("question_id").agg(F.max("bm25").alias("best"))
     if small:  # one row per question: the pairs stay where they are
         best = F.broadcast(best)
-    wanted = weights.unionByName(_question_grams(questions))
+    wanted = weights.drop("df", "ceiling").unionByName(_question_grams(questions))
     pairs = _pairs(chunks, wanted, True, small, avg_len)
     relative = F.when(F.col("best") > 0, F.col("bm25") / F.col("best")).otherwise(F.lit(0.0))
     score = C.VECTOR_WEIGHT * F.col("overlap") + C.BM25_WEIGHT * relative
@@ -176,6 +200,86 @@ def hybrid_scores(questions: DataFrame, chunks: DataFrame, stats: Statistics | N
         "question_id", "chunk_no", "bm25", "overlap", "score").filter(F.col("score") > 0)
 
 
+def _scored(pairs: DataFrame, asked: DataFrame, weights: DataFrame, chunks: DataFrame, avg_len: float) -> DataFrame:
+    """(question, chunk, bm25, overlap) of the given pairs alone, which share a term each, from the features of both sides."""
+    held = chunks.select("chunk_no", "dl", "terms", F.col("grams").alias("chunk_grams"))
+    both = pairs.select("question_id", "chunk_no").join(held, "chunk_no").join(asked, "question_id")
+    shared = F.coalesce(text.overlap(F.col("question_grams"), F.col("chunk_grams")), F.lit(0.0))
+    # In a projection of its own, else it would be computed anew for each term of the chunk.
+    both = both.select("question_id", "chunk_no", "dl", "terms", shared.alias("overlap"))
+    terms = both.select("question_id", "chunk_no", "dl", "overlap", F.inline("terms")).join(weights, ["question_id", "feature"])
+    return terms.groupBy("question_id", "chunk_no").agg(
+        F.sum(F.col("weight") * _saturated(F.col("tf"), F.col("dl"), avg_len)).alias("bm25"), F.first("overlap").alias("overlap"))
+
+
+def _floors(found: DataFrame, k: int) -> DataFrame:
+    """(question, best, floor): largest BM25 found, and what a chunk needs of it to come into the best ``k`` found."""
+    best = F.max("bm25").over(W.partitionBy("question_id"))
+    need = F.col("bm25") - C.VECTOR_WEIGHT / C.BM25_WEIGHT * (1 - F.col("overlap")) * F.col("best")
+    ranked = found.withColumn("best", best).withColumn("need", need).withColumn(
+        "place", F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("need"))))
+    return ranked.filter(F.col("place") == k).select(
+        "question_id", "best", (F.col("need") - F.greatest(F.lit(1.0), "best") * MARGIN * 10).alias("floor"))
+
+
+def top_scores(questions: DataFrame, chunks: DataFrame, k: int, stats: Statistics | None = None) -> DataFrame:
+    """Fused scores of chunks among which are the best ``k`` of each question, ties included.
+
+    Questions whose threshold does not exclude chunks without any of their terms
+    are scored against all chunks that share a feature.
+    """
+    total, avg_len = _totals(chunks, stats)
+    weights = _term_weights(questions, chunks, total, stats, avg_len)
+    small = _small(questions)
+    asked = written(questions.select("question_id", text.bigrams(F.col("question")).alias("question_grams")), "asked")
+    asked, each = [F.broadcast(t) if small else t for t in (asked, weights.select("question_id", "feature", "weight"))]
+    mine = W.partitionBy("question_id")
+    read = mine.orderBy("df", "feature").rowsBetween(W.unboundedPreceding, -1)
+    rare = weights.withColumn("before", F.coalesce(F.sum("df").over(read), F.lit(0))).filter(F.col("before") + F.col("df") <= F.greatest(F.lit(SEED_POSTINGS), "df"))
+    seeds = _pairs(chunks, rare.select("question_id", "kind", "feature", "weight", "n_question"), False, small, avg_len)
+    seeds = seeds.withColumn("place", F.row_number().over(mine.orderBy(F.desc("bm25"), "chunk_no"))).filter(F.col("place") <= SEEDS * k)
+    found = written(_scored(seeds, asked, each, chunks, avg_len), "scored")
+    done = pending = None
+    while True:
+        floors = _floors(found, k)
+        if done is not None:
+            # A higher best lowers the floor; the chunks between the two have not been looked up.
+            floors = floors.join(done.withColumnRenamed("floor", "old"), "question_id").filter(F.col("floor") < F.col("old")).drop("old")
+        pending = written(floors.filter("floor > 0").select("question_id", "floor"), "floors")
+        if done is not None and pending.isEmpty():
+            break
+        small_first = mine.orderBy("ceiling", "feature").rowsBetween(W.unboundedPreceding, 0)
+        limited = weights.join(pending, "question_id").withColumn("upto", F.sum("ceiling").over(small_first) * (1 + MARGIN))
+        needless = F.col("upto") < F.col("floor") * LEFT_OUT
+        needed = limited.filter(~needless).select("question_id", "kind", "feature", "weight", "n_question")
+        rest = limited.groupBy("question_id", "floor").agg(F.max(F.when(needless, F.col("upto"))).alias("rest"))
+        rest = rest.select("question_id", "floor", (F.col("floor") - F.coalesce("rest", F.lit(0.0))).alias("least"))
+        partial = _pairs(chunks, needed, False, small, avg_len)
+        near = partial.join(F.broadcast(rest) if small else rest, "question_id").filter(F.col("bm25") >= F.col("least") * (1 - MARGIN))
+        near = near.select("question_id", "chunk_no", "bm25", (F.col("floor") - F.col("least")).alias("rest"))
+        near = written(near.join(found, ["question_id", "chunk_no"], "left_anti"), "near")
+        # The largest of them first: they raise the threshold for the others.
+        place = F.row_number().over(mine.orderBy(F.desc("bm25"), "chunk_no"))
+        first = near.withColumn("place", place).filter(F.col("place") <= SEEDS * k)
+        found = written(found.unionByName(_scored(first, asked, each, chunks, avg_len)), "scored")
+        raised = _floors(found, k).select("question_id", F.col("floor").alias("raised"))
+        left = near.join(raised, "question_id").filter(F.col("bm25") + F.col("rest") >= F.col("raised") * (1 - MARGIN))
+        left = left.join(found, ["question_id", "chunk_no"], "left_anti")
+        found = written(found.unionByName(_scored(left, asked, each, chunks, avg_len)), "scored")
+        done = pending if done is None else written(
+            done.join(pending.select("question_id"), "question_id", "left_anti").unionByName(pending), "floors")
+    # Exact bests are known by now for all whose floor was above 0 throughout; one without known terms never had any.
+    sure = written(_floors(found, k).filter("floor > 0").select("question_id", "best").join(
+        done.select("question_id"), "question_id", "left_semi"), "bests")
+    relative = F.when(F.col("best") > 0, F.col("bm25") / F.col("best")).otherwise(F.lit(0.0))
+    score = (C.VECTOR_WEIGHT * F.col("overlap") + C.BM25_WEIGHT * relative).alias("score")
+    pruned = found.join(sure, "question_id").select("question_id", "chunk_no", "bm25", "overlap", score)
+    weak = questions.join(sure.select("question_id"), "question_id", "left_anti")
+    if weak.isEmpty():
+        return pruned
+    return pruned.unionByName(hybrid_scores(weak, chunks, stats))
+
+
 def retrieve(
     questions: DataFrame, chunks: DataFrame, k: int = C.TOP_K, category: str | None = None,
     stats: Statistics | None = None,
@@ -186,7 +290,10 @@ def retrieve(
     those of the candidates: the stored ones, or counted here where ``stats`` is None.
     """
     candidates = chunks if category is None else chunks.filter(F.col("category") == category)
-    scored = hybrid_scores(questions, candidates, stats and stats.of(category)).select("question_id", "chunk_no", "score")
+    own = stats and stats.of(category)
+    pruned = k > 0 and questions.count() * _totals(candidates, own)[0] >= PRUNED_PAIRS
+    found = top_scores(questions, candidates, k, own) if pruned else hybrid_scores(questions, candidates, own)
+    scored = found.select("question_id", "chunk_no", "score")
     ranking = W.partitionBy("question_id").orderBy(
         F.round("score", RANK_DIGITS).desc(), F.col("chunk_no"))
     ranked = scored.withColumn("rank", F.row_number().over(ranking))

@@ -70,9 +70,12 @@ def store_index(chunks: DataFrame, name: str, path: str, buckets: int) -> DataFr
 
 
 def store_statistics(index: DataFrame, name: str, path: str) -> None:
-    """Document frequencies and lengths per category as ``<name>_terms`` and ``<name>_totals``, for a stored index."""
-    terms = index.select("category", F.explode("terms.feature").alias("feature")).groupBy("category", "feature").agg(
-        F.count(F.lit(1)).alias("df"))
+    """Frequencies, bounds and lengths per category as ``<name>_terms`` and ``<name>_totals``, for a stored index.
+
+    ``max_tf`` and ``min_ratio`` (chunk length for each occurrence) bound what a term can add to any chunk.
+    """
+    terms = index.select("category", "dl", F.explode("terms").alias("t")).groupBy("category", F.col("t.feature").alias("feature")).agg(
+        F.count(F.lit(1)).alias("df"), F.max("t.tf").alias("max_tf"), F.min(F.col("dl") / F.col("t.tf")).alias("min_ratio"))
     totals = index.groupBy("category").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.sum(F.col("content_len").cast("bigint")).alias("content_len"))
     for part, rows in (("terms", terms), ("totals", totals)):

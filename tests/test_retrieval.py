@@ -67,8 +67,9 @@ def questions(spark):
 
 
 @pytest.mark.parametrize("category", [None, "FAQ"])
-@pytest.mark.parametrize("broadcast_chars", [2_000_000, 0])
-def test_retrieve(spark, chunks, questions, category, broadcast_chars, monkeypatch):
+@pytest.mark.parametrize("broadcast_chars, pruned_pairs", [(2_000_000, 0), (0, 0), (2_000_000, 10 ** 9), (0, 10 ** 9)])
+def test_retrieve(spark, chunks, questions, category, broadcast_chars, pruned_pairs, monkeypatch):
+    monkeypatch.setattr(retrieval, "PRUNED_PAIRS", pruned_pairs)
     monkeypatch.setattr(retrieval, "BROADCAST_QUESTION_CHARS", broadcast_chars)
     monkeypatch.setattr(retrieval, "POSTING_LENGTH", 2)
     pool = [c for c in SECTIONS if category in (None, c[2])]
@@ -81,6 +82,41 @@ def test_retrieve(spark, chunks, questions, category, broadcast_chars, monkeypat
             assert [m[2] for m in mine] == pytest.approx([w[1] for w in want])
 
 
+def test_pruned_search_scores_few_pairs(spark, monkeypatch):
+    import random
+
+    draw = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(draw.choice(letters) for _ in range(draw.randrange(2, 9))) for _ in range(3000)]
+    weight = [1 / (i + 1) for i in range(3000)]
+    # Six versions of each text, so that the best chunks of a question score well above the others.
+    bases = [draw.choices(words, weight, k=draw.randrange(30, 300)) for _ in range(100)]
+    texts = [" ".join(base + draw.choices(words, weight, k=10)) for base in bases for _ in range(6)]
+    asked = []
+    for i in range(40):
+        source = bases[draw.randrange(100)]
+        at = draw.randrange(max(1, len(source) - 25))
+        asked.append((i, " ".join(source[at:at + 25] + draw.choices(words, weight, k=draw.choice([0, 10, 40])))))
+    # Questions with no known term, with one everywhere, and empty ones cannot be pruned.
+    asked += [(40, "qq?"), (41, words[0]), (42, ""), (43, "学费")]
+    rows = spark.createDataFrame([(i, f"d{i}", "FAQ", "t", "", t, None) for i, t in enumerate(texts, 1)],
+                                 "n bigint, doc_id string, category string, title string, section string, content string, student_category string")
+    pool = knowledge.index_chunks(knowledge.ingest(rows, "n"))
+    questions = spark.createDataFrame(asked, "question_id bigint, question string")
+
+    def best(scored, k):
+        by = {}
+        for r in scored.filter("score > 0").collect():
+            by.setdefault(r.question_id, []).append((-round(r.score, 9), r.chunk_no))
+        return {q: sorted(v)[:k] for q, v in by.items()}
+
+    full = retrieval.hybrid_scores(questions, pool).cache()
+    for k in (1, 5):
+        pruned = retrieval.top_scores(questions, pool, k).cache()
+        assert best(pruned, k) == best(full, k)
+        assert pruned.filter("question_id < 40").count() < 40 * 600 / 5
+
+
 def test_chunk_ids_and_first_metadata(spark, chunks):
     assert {r.chunk_id for r in chunks.collect()} == {f"{s[1]}-c{i + 1}" for i, s in enumerate(SECTIONS)}
     meta = knowledge.document_metadata(chunks, "n").filter("doc_id = 'mat'").first()
