@@ -100,6 +100,13 @@ def cdc_enrich(spark, sf):
         F.col("record")["card_id"].alias("card_id"), F.col("record")["amount"].alias("amount"))
 
 
+def cdc_enrich_asof(spark, sf):
+    versions = V.view(spark, sf, V.ID_VERSIONS, v_id_mapping=V.view(spark, sf, V.ID_MAPPING))
+    return ops.enrich_as_of(change_log(spark, sf), versions).select(
+        "seq", "student_id", "mapping_missing", F.col("record")["id_card"].alias("id_card"),
+        F.col("record")["card_id"].alias("card_id"), F.col("record")["amount"].alias("amount"))
+
+
 def id_mapping_latest(spark, sf):
     return id_mapping(spark, sf)
 
@@ -204,7 +211,7 @@ def batch_incremental_sync(spark, sf):
 
 
 QUERIES = {fn.__name__: fn for fn in (
-    cdc_parse, cdc_unwrap, cdc_effective_image, cdc_event_id, cdc_offset_filter, cdc_enrich, id_mapping_latest,
+    cdc_parse, cdc_unwrap, cdc_effective_image, cdc_event_id, cdc_offset_filter, cdc_enrich, cdc_enrich_asof, id_mapping_latest,
     id_translate, cdc_sink_route, cdc_high_water, cdc_retry_plan, cdc_outcomes, cdc_stats, cdc_dead_letter, sync_counts,
     sink_latency_avg, latency_percentiles, batch_full_sync, batch_incremental_sync)}
 
@@ -287,6 +294,14 @@ ORACLES = {
       select seq, image_student as student_id, mapping_missing, id_card, card_id,
         case when (has_after or has_before) and not mapping_missing then amount end as amount from enriched""",
         **{k: _CTES[k] for k in ("v_cdc", "v_id_mapping", "id_latest", "identified", "enriched")}),
+    "cdc_enrich_asof": V.oracle("""
+      , held as (
+        select i.*, m.student_id is not null and m.active as known, m.id_card, m.card_id
+        from identified i asof left join id_versions m on m.student_id = i.image_student and m.ts <= i.ts)
+      select seq, image_student as student_id, image_student is not null and not known as mapping_missing,
+        case when known then id_card end as id_card, case when known then card_id end as card_id,
+        case when (has_after or has_before) and (image_student is null or known) then amount end as amount from held""",
+        **{k: _CTES[k] for k in ("v_cdc", "v_id_mapping", "identified")}, id_versions=V.ID_VERSIONS),
     "id_mapping_latest": V.oracle("select * from id_latest", v_id_mapping=V.ID_MAPPING, id_latest=V.ID_LATEST),
     "id_translate": V.oracle("""
       select 'student_id' as kind, cast(c_custkey as string) as value, m.id_card as result

@@ -62,6 +62,13 @@ def event_dedupe(spark, sf):
     return ops.dedupe(events_view(spark, sf).select("event_id", "seq", "event_type", "student_id"), ["event_id"])
 
 
+def event_dedupe_horizon(spark, sf):
+    """One event a student and type passes within a horizon."""
+    keyed = events_view(spark, sf).select("seq", "ts", "event_type", "student_id", F.concat(
+        "event_type", F.lit(":"), "student_id").alias("key"))
+    return ops.dedupe_horizon(keyed, "key").select("seq", "event_type", "student_id")
+
+
 def event_fanout(spark, sf):
     return ops.fan_out(events_view(spark, sf)).select("seq", "event_id", "event_type", "queue")
 
@@ -138,7 +145,7 @@ def hourly_arrivals(spark, sf):
 
 
 QUERIES = {fn.__name__: fn for fn in (
-    event_parse, event_publish_json, event_retry_publish, event_dedupe, event_fanout, retry_plan, event_dead_letter, queue_expiry,
+    event_parse, event_publish_json, event_retry_publish, event_dedupe, event_dedupe_horizon, event_fanout, retry_plan, event_dead_letter, queue_expiry,
     event_chain, chain_ordered, completion_prereq, parent_notify, student_steps, student_progress, rate_by_group,
     step_funnel, hourly_arrivals)}
 
@@ -201,6 +208,18 @@ ORACLES = {
       select event_id, seq, event_type, student_id from (
         select *, row_number() over (partition by event_id order by seq) as rn from v_events) t where rn = 1""",
         v_events=V.EVENTS),
+    "event_dedupe_horizon": V.oracle("recursive:" + """
+      select seq, event_type, student_id from passed where seq = passing""",
+        v_events=V.EVENTS, placed="""
+      select seq, event_type, student_id, epoch_us(ts) // 1000 as ms, event_type || ':' || student_id as key,
+        row_number() over (partition by event_type, student_id order by epoch_us(ts) // 1000, seq) as i from v_events""",
+        passed=f"""
+      select seq, event_type, student_id, key, i, ms as since, seq as passing from placed where i = 1
+      union all
+      select n.seq, n.event_type, n.student_id, n.key, n.i,
+        case when n.ms - p.since > {C.IDEMPOTENT_HOURS * 3_600_000} then n.ms else p.since end,
+        case when n.ms - p.since > {C.IDEMPOTENT_HOURS * 3_600_000} then n.seq else p.passing end
+      from passed p join placed n on n.key = p.key and n.i = p.i + 1"""),
     "event_fanout": V.oracle("select seq, event_id, event_type, queue from delivered", **_D),
     "retry_plan": V.oracle("""
       select seq, queue, action, case when action = 'RETRY' then cast(retry_count + 1 as int) end as next_retry,

@@ -54,6 +54,13 @@ from (select *, 0 as version from {customer}
       select *, 1 as version from {customer} where c_mktsegment = 'BUILDING') c
 """
 
+# The same versions with the time from which each holds.
+ID_VERSIONS = """
+select *, timestamp '1995-01-01 00:00:00' + cast(seq % 10000000000 * 7919 % 1500
+    + cast(floor(seq / 10000000000) as bigint) * 700 as bigint) * interval 1 day as ts
+from v_id_mapping
+"""
+
 ID_LATEST = """
 select student_id, id_card, card_id from (
   select *, row_number() over (partition by student_id order by seq desc) as rn from v_id_mapping) m

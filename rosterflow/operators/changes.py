@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rosterflow import constants as C
 from rosterflow.functions.times import instant_text
 from rosterflow.operators import blocks
-from rosterflow.operators.joins import first_positions, keep_last, lookup
+from rosterflow.operators.joins import first_positions, join_back, keep_last, lookup
 from rosterflow.session import written
 
 
@@ -88,8 +88,37 @@ def enrich(changes: DataFrame, mapping: DataFrame) -> DataFrame:
         "student_id", F.col("id_card").alias("mapped_id_card"),
         F.col("card_id").alias("mapped_card_id"), F.lit(True).alias("__known"))
     probed = changes.withColumn("__sid", effective_image()["student_id"])
-    joined = lookup(
-        probed, keyed.withColumnRenamed("student_id", "__sid"), "__sid", ["event_id"])
+    return _enriched(lookup(probed, keyed.withColumnRenamed("student_id", "__sid"), "__sid", ["event_id"]))
+
+
+def enrich_as_of(changes: DataFrame, versions: DataFrame, block_ms: int = blocks.BLOCK_MILLIS) -> DataFrame:
+    """:func:`enrich` with the mapping as it was when the change was made.
+
+    ``versions`` carries student_id, id_card, card_id, active, seq and ts.  The last version at or before the ``ts`` of a
+    change holds; of several at one time that with the larger ``seq``.  A change before the first version, or after one
+    that is not ``active``, is unmapped; so is a change without a time.  Versions and changes of a student are one ordered
+    stream, cut into blocks of time, so that a student with many changes is spread over tasks.
+    """
+    probed = changes.withColumn("__sid", effective_image()["student_id"])
+    facts = F.struct(*[F.col(c).alias(c) for c in ("id_card", "card_id", "active")])
+    given = versions.filter("student_id is not null and ts is not null").select(
+        F.col("student_id").alias("__sid"), F.unix_millis(F.col("ts").cast("timestamp")).alias("__ms"), F.lit(0).alias("__late"),
+        F.col("seq").alias("__at"), F.struct(F.col("ts"), F.col("seq"), facts.alias("m")).alias("__version"))
+    asked = probed.filter("__sid is not null and ts is not null").select(
+        "__sid", F.unix_millis(F.col("ts").cast("timestamp")).alias("__ms"), F.lit(1).alias("__late"), F.col("seq").alias("__at"),
+        F.lit(None).cast(given.schema["__version"].dataType).alias("__version"), "source_server")
+    both = given.unionByName(asked, allowMissingColumns=True)
+    # Versions rise along the order, so the largest so far is the last one.
+    known = blocks.running_max(
+        both, ["__sid"], ["__ms", "__late", "__at"], F.col("__version"), blocks.by_millis("__ms", block_ms), "__last")
+    mapped = known.filter(F.col("__late") == 1).select(
+        "source_server", F.col("__at").alias("seq"), F.col("__last.m.id_card").alias("mapped_id_card"),
+        F.col("__last.m.card_id").alias("mapped_card_id"), F.lit(True).alias("__known"), F.col("__last.m.active").alias("__active"))
+    mapped = mapped.filter("__active").drop("__active")
+    return _enriched(join_back(probed, mapped, ["source_server", "seq"]))
+
+
+def _enriched(joined: DataFrame) -> DataFrame:
     found = F.map_filter(
         F.create_map(F.lit("id_card"), F.col("mapped_id_card"), F.lit("card_id"), F.col("mapped_card_id")),
         lambda _, v: v.isNotNull())

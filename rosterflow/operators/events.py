@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterflow import constants as C
-from rosterflow.operators import blocks
+from rosterflow.operators import blocks, limits
 from rosterflow.operators.joins import first_positions, fixed_table, keep_first, lookup
 
 Handler = Callable[[DataFrame], Column]
@@ -25,6 +25,16 @@ def dedupe(events: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     return keep_first(events, keys, seq)
 
 
+def dedupe_horizon(
+    events: DataFrame, key: str, hours: int = C.IDEMPOTENT_HOURS, ts: str = "ts", seq: str = "seq",
+) -> DataFrame:
+    """Deliveries that idempotence lets pass when a key is remembered for ``hours`` from the delivery that passed.
+
+    A copy within that time is dropped and does not prolong it; the next one after it passes again.
+    """
+    return limits.first_in_horizon(events, key, hours * 3_600_000, ts, seq).filter("accepted").drop("accepted")
+
+
 def retry_delay(attempt: Column) -> Column:
     """Seconds before a retry; the last step of the ladder repeats."""
     ladder = F.array(*[F.lit(d) for d in C.RETRY_DELAYS_SECONDS])

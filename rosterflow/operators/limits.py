@@ -228,6 +228,22 @@ def anchored_window(
     }).drop("ms", "j", "window_start", "used_before")
 
 
+def first_in_horizon(
+    rows: DataFrame, key: str, horizon_ms: int, ts: str = "ts", seq: str = "seq", block_ms: int = blocks.BLOCK_MILLIS,
+) -> DataFrame:
+    """``accepted``: the first row of a key, and then the first one more than ``horizon_ms`` after the last accepted.
+
+    Of rows of one millisecond the one with the smallest ``seq`` comes first.  Blocks of a key run side by side.
+    """
+    cut = folds.cut_at_gaps(_per_millisecond(rows, key, ts), key, horizon_ms + 1, block_ms)
+    folded = folds.fold_blocks(
+        cut.select(key, "ms", "n", "piece"), [key, "piece"], ["ms"], ["ms", "n"],
+        "window_start bigint, used_before bigint", anchored_window_step(horizon_ms),
+        window_table(horizon_ms), window_hop(horizon_ms), max(block_ms, horizon_ms))
+    joined = _back_to_requests(rows, folded.select(key, "ms", "used_before"), key, ts, seq)
+    return joined.withColumn("accepted", F.col("used_before") + F.col("j") == 1).drop("ms", "j", "used_before")
+
+
 def sliding_log(
     requests: DataFrame, key: str, max_requests: int, window_seconds: int, ts: str = "ts", seq: str = "seq",
     block_ms: int = blocks.BLOCK_MILLIS,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rosterflow import constants as C
 from rosterflow.operators import blocks
 from rosterflow.operators import changes as ops
+from rosterflow.operators import monitor
 from rosterflow.operators.joins import first_positions
 from rosterflow.session import written
 from rosterflow.streaming.batches import read_state
@@ -18,6 +19,7 @@ Sink = Callable[[DataFrame], DataFrame]
 
 OFFSET = "struct<binlog_file:string,binlog_position:bigint>"
 COMMITTED_SCHEMA = f"source_server string, committed {OFFSET}"
+LATENCY_SCHEMA = "source_server string, seq bigint, latency_ms bigint"
 SEEN_SCHEMA = f"source_server string, event_id string, source_offset {OFFSET}, ts timestamp_ntz"
 
 
@@ -108,3 +110,37 @@ def running_stats(batches: DataFrame) -> DataFrame:
     """Counters over all batches, from the per-batch counter table."""
     counters = [c for c in batches.columns if c.endswith(("_count", "_events"))]
     return batches.groupBy("source_server").agg(*[F.sum(c).alias(c) for c in counters])
+
+
+def latency_handler(root: str, size: int = C.LATENCY_WINDOW):
+    """Handler for :func:`run_batches` over samples (source_server, seq, latency_ms).
+
+    The newest ``size`` samples of each source are state; ``latency`` holds their percentiles after each batch.  Older
+    samples live on in ``latency_sketches``, one small row a source and batch that :func:`running_latency` merges.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> Iterator[tuple]:
+        samples = batch.select("source_server", "seq", F.col("latency_ms").cast("bigint").alias("latency_ms"))
+        held = read_state(batch.sparkSession, root, "latency_window", LATENCY_SCHEMA, batch_id)
+        window = written(monitor.latest_samples(held.unionByName(samples), "source_server", "seq", size), "window")
+        yield "latency_window", window
+        yield "latency", monitor.latency_percentiles(window, "source_server", "seq", "latency_ms")
+        yield "latency_sketches", samples.groupBy("source_server").agg(
+            F.kll_sketch_agg_bigint("latency_ms").alias("sketch"))
+
+    return handle
+
+
+def together(*handlers):
+    """One handler that runs several over the same batches."""
+    def handle(batch: DataFrame, batch_id: int) -> Iterator[tuple]:
+        for handler in handlers:
+            yield from handler(batch, batch_id)
+
+    return handle
+
+
+def running_latency(sketches: DataFrame, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
+    """Latency at each percentile over all batches, within the rank error of the sketches (about 1.3 %)."""
+    merged = sketches.groupBy("source_server").agg(F.kll_merge_agg_bigint("sketch").alias("s"))
+    return merged.select("source_server", F.kll_sketch_get_n_bigint("s").alias("samples"), *[
+        F.kll_sketch_get_quantile_bigint("s", F.lit(p / 100.0)).alias(f"p{p}_ms") for p in percents])

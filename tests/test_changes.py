@@ -183,3 +183,25 @@ def test_writes_are_tried_four_times_at_most(spark):
     spent = [("RETRY", 0, None), ("RETRY", 10, None), ("RETRY", 40, None), ("RETRY", 100, "RETRY_EXHAUSTED")]
     assert got == {1: [("SUCCESS", 0, "SUCCESS")], 2: [*spent[:2], ("SUCCESS", 40, "SUCCESS")], 3: spent,
                    4: [spent[0], ("DEAD_LETTER", 10, "DEAD_LETTER")], 5: spent, 6: spent}
+
+
+def test_mapping_as_of_the_change(spark):
+    import random
+
+    rng = random.Random(8)
+    versions = [(v, "hot" if v % 2 else f"s{v % 5}", f"id{v}", f"card{v}" if v % 3 else None, v % 7 != 0,
+                 dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(400))) for v in range(60)]
+    log = [(c, "srv", rng.choice(["hot", "s2", "s9", None]), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(-10, 420)) if c % 11 else None)
+           for c in range(300)]
+    changes = spark.createDataFrame(log, "seq bigint, source_server string, student_id string, ts timestamp_ntz").select(
+        "seq", "source_server", "ts", F.lit("INSERT").alias("operation"), F.lit(None).cast("map<string,string>").alias("before"),
+        F.when(F.col("student_id").isNotNull(), F.create_map(F.lit("student_id"), F.col("student_id"))).alias("after"))
+    given = spark.createDataFrame(versions, "seq bigint, student_id string, id_card string, card_id string, active boolean, ts timestamp_ntz")
+    got = {r.seq: (r.mapping_missing, (r.record or {}).get("id_card"), (r.record or {}).get("card_id"))
+           for r in ops.enrich_as_of(changes, given, block_ms=3_600_000).collect()}
+    want = {}
+    for seq, _, student, ts in log:
+        held = max(((v[5], v[0], v) for v in versions if ts and v[1] == student and v[5] <= ts), default=None)
+        known = held is not None and held[2][4]
+        want[seq] = (student is not None and not known, held[2][2] if known else None, held[2][3] if known else None)
+    assert got == want and len(set(w[0] for w in want.values())) == 2

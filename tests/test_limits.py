@@ -212,3 +212,14 @@ def test_bucket_and_log_start_anew_where_the_load_is_light(spark, monkeypatch):
         log += [millis(ts)] if len(log) < 22 else []
     assert by_seq(limits.sliding_log(frame(spark, rows), "key", 22, 30, block_ms=300_000), "allowed") == want
     assert len({w for w in want.values()}) == 2 and len(sizes) > 10 and sizes[-1] < len(rows) / 5
+
+
+def test_first_in_horizon_follows_the_last_accepted(spark):
+    rows, last, want = hot([0, 10, 300, 900], n=1500) + [(2000 + i, None, START + dt.timedelta(seconds=i), "ok") for i in range(5)], {}, {}
+    for seq, key, ts, _ in rows:
+        want[seq] = (key not in last or millis(ts) - last[key] > 2_500,)
+        if want[seq][0]:
+            last[key] = millis(ts)
+    got = limits.first_in_horizon(frame(spark, rows), "key", 2_500, block_ms=20_000)
+    assert by_seq(got, "accepted") == want
+    assert 20 < sum(w[0] for w in want.values()) < 1000

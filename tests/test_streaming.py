@@ -9,13 +9,13 @@ from rosterflow.catalog import access as access_q
 from rosterflow.catalog import changes as changes_q
 from rosterflow.catalog import events as events_q
 from rosterflow.catalog import retrieval as retrieval_q
-from rosterflow.operators import events, limits, progress
+from rosterflow.operators import events, limits, monitor, progress
 from rosterflow.sources import changes as src
 from rosterflow.streaming import stateful
 from rosterflow.streaming.batches import read_batches, read_state, run_batches
 from rosterflow.streaming.events import (
     STEP_SCHEMA, consume_handler, current_steps, dedupe_stream, expiry_handler, progress_handler)
-from rosterflow.streaming.sync import deliver, running_stats, sync_handler
+from rosterflow.streaming.sync import deliver, latency_handler, running_latency, running_stats, sync_handler, together
 
 
 def rows(df, *columns):
@@ -250,3 +250,27 @@ def test_change_log_parser_works_on_a_stream(spark, sf, tmp_path):
     got = collect_stream(src.parse_changes(stream), spark, str(tmp_path))
     assert rows(got, "seq", "operation", "parse_error") == rows(
         changes_q.cdc_parse(spark, sf), "seq", "operation", "parse_error")
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_latency_stream_matches_batch(spark, sf, tmp_path, parts):
+    samples = changes_q.change_log(spark, sf).select("source_server", "seq", "latency_ms")
+    root = str(tmp_path / "job")
+    handler = together(latency_handler(os.path.join(root, "out"), size=100))
+    out = run(as_stream(spark, samples, str(tmp_path / "in"), parts), root, handler)
+    newest = monitor.latest_samples(samples, "source_server", "seq", 100)
+    want = monitor.latency_percentiles(newest, "source_server", "seq", "latency_ms")
+    columns = ["source_server", "samples", "p95_ms", "p99_ms", "healthy"]
+    streamed = read_batches(spark, out, "latency", "source_server string, samples bigint, p95_ms bigint, p99_ms bigint, healthy boolean")
+    last = streamed.filter(F.col("batch_id") == streamed.agg(F.max("batch_id")).first()[0])
+    assert rows(last, *columns) == rows(want, *columns)
+    sketches = read_batches(spark, out, "latency_sketches", "source_server string, sketch binary")
+    every = {}
+    for r in samples.collect():
+        every.setdefault(r.source_server, []).append(r.latency_ms)
+    for r in running_latency(sketches).collect():
+        values = every[r.source_server]
+        assert r.samples == len(values)
+        for percent, got in ((50, r.p50_ms), (95, r.p95_ms), (99, r.p99_ms)):
+            rank = sum(v <= got for v in values) / len(values)
+            assert abs(rank - percent / 100) < 0.03
