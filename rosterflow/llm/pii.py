@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +80,8 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 def _passes(kind: str, span: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in span.split("."))
+        # Without leading zeros, of which there may be more than a number may have digits.
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in span.split(".")))
     digits = digits_of(span)
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
@@ -128,12 +131,11 @@ def proposals(text: str) -> list[tuple[str, int, int, bool, int, int]]:
     if _DIGIT.search(text):
         for kind, pattern in (("ip", _IP), ("card", _LOOSE_CARD), ("phone", _LOOSE_PHONE)):
             loose += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
-    place = 0
+    # A span overlaps a base span if one of those that start before its end ends after its start.
+    starts, latest = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for kind, a, b in sorted(loose, key=lambda s: (s[1], -s[2])):
-        while place < len(taken) and taken[place][1] <= a:
-            place += 1
-        # Base spans of different kinds may nest, so look a little further than the first that ends later.
-        if a >= (out[-1][2] if out and not out[-1][3] else 0) and not any(x < b and a < y for x, y in taken[place:place + 8]):
+        earlier = bisect_left(starts, b)
+        if a >= (out[-1][2] if out and not out[-1][3] else 0) and not (earlier and latest[earlier - 1] > a):
             out.append((kind, a, b, False))
     found = []
     for kind, a, b, is_base in out:

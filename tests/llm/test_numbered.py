@@ -308,6 +308,21 @@ def test_pii(lake, docs, empty):
     assert pii.scan(empty).count() == 0
 
 
+def test_pii_takes_long_numbers_and_many_nested_spans(lake):
+    zeros = "0" * 5000
+    nested = "a@1.1.1.1 " * 3 + "+1.1.1.1.1.1.1.1.1.1.1.1.1 " + "1.1.1.1@b.cc.1.1.1.1 " * 20
+    texts = [zeros + ".1.1.1", f"{zeros}1.{zeros}255.{zeros}.0 " + zeros, nested, "x@y.zz " + nested * 50 + "joe (at) example (dot) com"]
+    got = {r.doc_id: r for r in pii.scan(lake.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        spans = plain_spans(text) if i > 1 else [("ip", 0, 5006)] if i == 0 else [("ip", 0, 15008)]
+        mine = [s for s in got[i].spans.split(",") if s]
+        assert {f"{k}:{a}:{b}" for k, a, b in spans} <= set(mine)
+        # What was added overlaps no base span and nothing that was added.
+        base = {(a, b) for _, a, b in spans}
+        added = sorted((int(a), int(b)) for _, a, b in (s.split(":") for s in mine) if (int(a), int(b)) not in base)
+        assert all(b <= x or y <= a for a, b in added for x, y in base) and all(a[1] <= b[0] for a, b in zip(added, added[1:]))
+
+
 def test_reliabilities_tell_good_labelers_from_bad():
     import numpy as np
 
