@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rosterflow import constants as C
 from rosterflow.operators import events as ops
 from rosterflow.operators import progress
+from rosterflow.session import written
 from rosterflow.streaming.batches import read_state
 
 HandlerResult = Callable[[DataFrame], DataFrame]
@@ -92,3 +93,35 @@ def current_steps(deltas: DataFrame) -> DataFrame:
     """State over all batches: the delta with the latest arrival wins."""
     return deltas.groupBy("student_id", "step_code").agg(
         F.max_by("completed_at", "seq").alias("completed_at"))
+
+
+HOURS_SCHEMA = "hour timestamp_ntz, arrivals bigint"
+
+
+def arrivals_handler(root: str, lateness: str = "2 hours"):
+    """Handler for :func:`run_batches`: check-ins per hour in event time.
+
+    The watermark of a batch lies ``lateness`` behind the latest time of the batches before it.  ``hours`` gets an hour once
+    the watermark has passed its end; ``open_hours`` is the state of all others.  Check-ins of an hour that has been given
+    out are kept in ``late``, with their hour, instead of being lost.  Rows without a time are late.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> Iterator[tuple]:
+        spark = batch.sparkSession
+        held = read_state(spark, root, "open_hours", HOURS_SCHEMA, batch_id)
+        before = read_state(spark, root, "watermark", "latest timestamp_ntz", batch_id)
+        after = written(before.union(batch.select(F.col("ts").cast("timestamp_ntz"))).agg(F.max("latest").alias("latest")), "watermark")
+        closed = [t.select((F.col("latest") - F.expr(f"interval {lateness}")).alias("w")).select("w").scalar() for t in (before, after)]
+        rows = batch.filter(F.col("event_type") == C.CHECKIN_SUCCESS).withColumn(
+            "hour", F.window(F.col("ts").cast("timestamp"), "1 hour")["start"].cast("timestamp_ntz"))
+        end = F.col("hour") + F.expr("interval 1 hour")
+        late = F.coalesce(end <= closed[0], F.col("hour").isNull())
+        rows = rows.withColumn("late", F.coalesce(late, F.lit(False)))
+        counted = held.unionByName(rows.filter(~F.col("late")).groupBy("hour").agg(F.count(F.lit(1)).alias("arrivals")))
+        counted = written(counted.groupBy("hour").agg(F.sum("arrivals").alias("arrivals")).withColumn(
+            "done", F.coalesce(end <= closed[1], F.lit(False))), "hours")
+        yield "hours", counted.filter("done").drop("done")
+        yield "open_hours", counted.filter("not done").drop("done")
+        yield "late", rows.filter("late").select("seq", "ts", "hour")
+        yield "watermark", after
+
+    return handle

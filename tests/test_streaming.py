@@ -14,7 +14,7 @@ from rosterflow.sources import changes as src
 from rosterflow.streaming import stateful
 from rosterflow.streaming.batches import read_batches, read_state, run_batches
 from rosterflow.streaming.events import (
-    STEP_SCHEMA, consume_handler, current_steps, dedupe_stream, expiry_handler, progress_handler)
+    HOURS_SCHEMA, STEP_SCHEMA, arrivals_handler, consume_handler, current_steps, dedupe_stream, expiry_handler, progress_handler)
 from rosterflow.streaming.sync import deliver, latency_handler, running_latency, running_stats, sync_handler, together
 
 
@@ -274,3 +274,22 @@ def test_latency_stream_matches_batch(spark, sf, tmp_path, parts):
         for percent, got in ((50, r.p50_ms), (95, r.p95_ms), (99, r.p99_ms)):
             rank = sum(v <= got for v in values) / len(values)
             assert abs(rank - percent / 100) < 0.03
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_arrivals_stream_matches_batch_and_keeps_late_rows(spark, sf, tmp_path, parts):
+    view = events_q.events_view(spark, sf).select("seq", "event_type", "ts")
+    # Half a day back for some, so that their hours have been given out when they come.
+    back = F.when(F.col("seq") % 17 == 0, F.expr("interval 12 hours")).otherwise(F.expr("interval 0 hours"))
+    view = view.withColumn("ts", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("seq") * 300_000).cast("timestamp_ntz") - back)
+    root = str(tmp_path / "job")
+    out = run(as_stream(spark, view, str(tmp_path / "in"), parts), root, arrivals_handler(os.path.join(root, "out")))
+    closed = read_batches(spark, out, "hours", HOURS_SCHEMA)
+    open_hours = read_batches(spark, out, "open_hours", HOURS_SCHEMA)
+    last = open_hours.filter(F.col("batch_id") == read_batches(spark, out, "watermark", "latest timestamp_ntz").agg(F.max("batch_id")).first()[0])
+    late = read_batches(spark, out, "late", "seq bigint, ts timestamp_ntz, hour timestamp_ntz")
+    assert closed.count() == closed.select("hour").distinct().count()
+    every = closed.drop("batch_id").unionByName(last.drop("batch_id")).unionByName(
+        late.groupBy("hour").agg(F.count(F.lit(1)).alias("arrivals"))).groupBy("hour").agg(F.sum("arrivals").alias("arrivals"))
+    assert rows(every, "hour", "arrivals") == rows(progress.hourly_arrivals(view), "hour", "arrivals")
+    assert (late.count() > 0) == (parts > 1) and closed.count() > 0
