@@ -14,7 +14,6 @@ the original.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,8 +25,8 @@ MARK = "###"
 ASSISTANT = "assistant"
 # Messages of so many neighbouring turns are placed together.
 BLOCK_TURNS = 256
-_MESSAGE = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
-_ESCAPE = re.compile(r"\\(.)", re.S)
+# No text holds half of a surrogate pair, so one can stand for an escaped backslash while others are taken away.
+_HALF = "\ud800"
 
 
 def escaped(text: Column) -> Column:
@@ -38,7 +37,31 @@ def escaped(text: Column) -> Column:
 
 
 def unescaped(text: str) -> str:
-    return _ESCAPE.sub(r"\1", text)
+    return text.replace("\\\\", _HALF).replace("\\", "").replace(_HALF, "\\")
+
+
+def _find(text: str, token: str, start: int) -> int:
+    """Place of the first ``token`` that no backslash escapes, -1 if there is none."""
+    at, found = start, text.find(token, start)
+    while found >= 0:
+        escape = text.find("\\", at, found)
+        if escape < 0:
+            return found
+        at = escape + 2
+        if found < at:
+            found = text.find(token, at)
+    return -1
+
+
+def parsed(formatted: str) -> tuple[str, str] | None:
+    """Role and text, still escaped, of one rendered message; None if it is none.  Takes memory for copies of the text only."""
+    if not formatted.startswith(f"{MARK} "):
+        return None
+    colon = _find(formatted, ": ", len(MARK) + 1)
+    end = _find(formatted, END, colon + 2) if colon >= 0 else -1
+    if end < 0 or formatted[end:] != END + "\n":
+        return None
+    return formatted[len(MARK) + 1:colon], formatted[colon + 2:end]
 
 
 def messages(events: DataFrame) -> DataFrame:
@@ -126,11 +149,11 @@ def read_back(rendered: DataFrame) -> DataFrame:
                     if state:
                         out.append((conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
                     conv, state = own, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                got = _MESSAGE.fullmatch(formatted)
+                got = parsed(formatted)
                 if not got or start != state[4]:
                     raise ValueError(f"conversation {own} can't be read back at {start}")
                 state[0] += 1
-                state[1].update(f"{unescaped(got[1])}\n{unescaped(got[2])}\n".encode())
+                state[1].update(f"{unescaped(got[0])}\n{unescaped(got[1])}\n".encode())
                 if a is not None:
                     loss = unescaped(formatted[a - start:b - start])
                     state[2] += len(loss)
@@ -149,16 +172,35 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
 
 def events_of(rows: DataFrame) -> DataFrame:
-    """A log from finished rows (conv_id, turn, role, text): each is opened and then streamed in two deltas.
+    """A log of streamed messages that ends in the given rows (conv_id, turn, role, text).
 
-    Rows of one turn follow each other in the order of the table, so ``rows`` must be a table that is read as written.
+    A text comes in two deltas.  By the hash of their name, three quarters of the messages are first streamed with a wrong
+    text and then regenerated, edited and gone on with, or edited as a whole; before the second kind of edit lies a message
+    that answers the wrong text and is taken back.  Rows that share a turn, or have none, are streamed without faults,
+    as an edit would take back the later of them.  These follow each other in the order of the table, so ``rows`` must
+    be a table that is read as written.
     """
+    alone = rows.where("turn is not null").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(
+        F.col("conv_id").alias("conv_id_"), F.col("turn").alias("turn_"), F.lit(True).alias("alone"))
     text = F.coalesce("text", F.lit(""))
     half = (F.length(text) / 2).cast("int")
     row = rows.select("conv_id", "turn", F.monotonically_increasing_id().alias("msg"), "role", text.alias("text"), half.alias("half"))
-    parts = F.array(
-        F.struct(F.lit(0).alias("step"), F.lit("open").alias("kind"), F.lit("").alias("text")),
-        F.struct(F.lit(1).alias("step"), F.lit("delta").alias("kind"), F.expr("left(text, half)").alias("text")),
-        F.struct(F.lit(2).alias("step"), F.lit("delta").alias("kind"), F.expr("substring(text, half + 1)").alias("text")))
-    return row.select("conv_id", "turn", "msg", "role", F.explode(parts).alias("p")).select(
-        "conv_id", "turn", "msg", (F.coalesce("turn", F.lit(0)) * 3 + F.col("p.step")).cast("long").alias("seq"), "p.kind", "role", "p.text")
+    row = row.join(alone, F.col("conv_id").eqNullSafe(F.col("conv_id_")) & (F.col("turn") == F.col("turn_")), "left")
+    lot = F.when(F.col("alone"), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))).otherwise(F.lit(0))
+
+    def event(step: int, kind: str, said=None, later: bool = False):
+        return F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), (F.lit("") if said is None else said).alias("text"),
+                        F.lit(later).alias("later"))
+
+    first, second, wrong = F.expr("left(text, half)"), F.expr("substring(text, half + 1)"), F.concat(F.lit("No: "), F.expr("right(text, half)"))
+    opened = [event(0, "open"), event(1, "delta", wrong)]
+    follow = [event(2, "open", later=True), event(3, "delta", F.lit("An answer to that."), later=True)]
+    logs = F.element_at(F.array(
+        F.array(event(0, "open"), event(1, "delta", first), event(2, "delta", second)),
+        F.array(*opened, event(4, "regenerate"), event(5, "delta", first), event(6, "delta", second)),
+        F.array(*opened, *follow, event(4, "edit", first), event(5, "delta", second)),
+        F.array(*opened, event(4, "edit", F.col("text")))), (lot + 1).cast("int"))
+    return row.select("conv_id", "turn", "msg", "role", F.explode(logs).alias("p")).select(
+        "conv_id", "turn", F.when(F.col("p.later"), F.col("msg") + (1 << 62)).otherwise(F.col("msg")).alias("msg"),
+        (F.coalesce("turn", F.lit(0)) * 8 + F.col("p.step")).cast("long").alias("seq"), "p.kind",
+        F.when(F.col("p.later"), F.lit(ASSISTANT)).otherwise(F.col("role")).alias("role"), "p.text")

@@ -362,6 +362,30 @@ def test_chat(lake, sf):
     assert chat.read_back(chat.render(chat.messages(chat.events_of(rows.where("1 = 0"))))).count() == 0
 
 
+def test_chat_log_holds_faults_and_take_backs(lake, sf):
+    rows = common.table(lake, sf, "conversations").select("conv_id", "turn", "role", "text")
+    log = chat.events_of(rows)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"open", "delta", "edit", "regenerate"} and kinds["open"] > rows.count() and kinds["edit"] > kinds["regenerate"] > 0
+    same([tuple(r) for r in chat.messages(log).select("conv_id", "turn", "role", "text").collect()], [tuple(r) for r in rows.collect()])
+
+
+def test_one_long_message_is_read_in_little_memory():
+    import tracemalloc
+
+    for body in ("x" * 20_000_000, "\\\\" * 500_000 + "<" * 1_000_000, "\\###" * 300_000, "\\</turn>" * 300_000):
+        formatted = f"### a\\: b: {body}</turn>\n"
+        tracemalloc.start()
+        role, text = chat.parsed(formatted)
+        chat.unescaped(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert role == "a\\: b" and text == body and peak < 8 * len(formatted) + 1_000_000
+    for bad in ("### a: b</turn>", "## a: b</turn>\n", "### a\\: b</turn>\n", "### a: b</turn>c</turn>\n", "### a: b\\</turn>\n", ""):
+        assert chat.parsed(bad) is None
+    assert chat.unescaped("\\\\\\###\\</turn>\\\\n\\:") == "\\###</turn>\\n:"
+
+
 def test_chat_events_are_taken_back(lake):
     log = [("open", 0, 1, "user", ""), ("delta", 0, 2, None, "hel"), ("delta", 0, 3, None, "lo"), ("open", 1, 4, "assistant", ""),
            ("delta", 1, 5, None, "wrong"), ("regenerate", 1, 6, None, None), ("delta", 1, 7, None, "ri"), ("delta", 1, 8, None, "ght"),
