@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -49,3 +49,17 @@ def latency_percentiles(samples: DataFrame, by: str, seq: str, latency: str) ->
         nearest_rank(F.col("v"), 95).cast("bigint").alias("p95_ms"),
         nearest_rank(F.col("v"), 99).cast("bigint").alias("p99_ms"),
     ).withColumn("healthy", F.col("p95_ms") <= C.P95_TARGET_MS)
+
+
+def observed(handled: DataFrame, name: str = "sync") -> tuple[DataFrame, Observation]:
+    """The rows, and counters that the first action on them fills in passing, without a pass of their own.
+
+    The counters are those of ``changes.sync_stats`` over all sources.
+    """
+    counters = Observation(name)
+    outcome = F.col("outcome")
+    failed = outcome.isin(C.DEAD_LETTER, C.MAPPING_MISSING, C.RETRY_EXHAUSTED)
+    return handled.observe(
+        counters, F.count(F.lit(1)).alias("total_events"), F.count_if(outcome == C.SUCCESS).alias("success_count"),
+        F.count_if(failed).alias("failure_count"), F.count_if(failed).alias("dead_letter_count"),
+        F.count_if(outcome == C.SKIPPED_DUPLICATE).alias("skipped_count")), counters

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,10 +36,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that the driver and all executors share; it goes when the application ends.
 
-    It lies below the folder that the cluster names in ``spark.checkpoint.dir``, and below the warehouse where that
-    setting is absent.
+    It lies below the folder that the cluster names in ``spark.checkpoint.dir``.  Where that setting is absent it lies below
+    the warehouse, unless that is a folder of the driver's machine which executors on others cannot see.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if base.split(":")[0] in ("file", base) and not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = f"{base.rstrip('/')}/rosterflow/{name}-{uuid.uuid4().hex}"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)

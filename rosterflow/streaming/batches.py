@@ -60,3 +60,39 @@ def read_batches(spark: SparkSession, root: str, table: str, schema: str, before
             raise
         return spark.createDataFrame([], columns)
     return rows if before is None else rows.filter(F.col("batch_id") < before)
+
+
+def _runs(batches: int) -> list[int]:
+    """Ids of the batches whose folders hold the merged rows of the first ``batches`` ones: one for each binary digit."""
+    out = []
+    while batches:
+        out.append(batches - 1)
+        batches &= batches - 1
+    return out
+
+
+def merged_handler(root: str, table: str, schema: str, rows_of: Callable[[DataFrame], DataFrame],
+                   merge: Callable[[DataFrame], DataFrame]) -> Handler:
+    """Handler for :func:`run_batches` that keeps a keyed table in merged runs.
+
+    Batch n merges its rows with those of the batches before it, as many as the largest power of two that divides n, so the
+    first n batches always lie in at most log2(n) + 1 folders.  What to merge follows from the number of the batch and
+    folders are never changed afterwards, so a replayed batch writes the same, and a reader needs no other file.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> Iterator[tuple]:
+        number = batch_id + 1
+        kept = set(_runs(number))
+        found = rows_of(batch)
+        for earlier in _runs(batch_id):
+            if earlier not in kept:
+                found = found.unionByName(batch.sparkSession.read.schema(schema).parquet(batch_path(root, table, earlier)))
+        yield table, merge(found)
+
+    return handle
+
+
+def read_merged(spark: SparkSession, root: str, table: str, schema: str, last_batch: int) -> DataFrame:
+    """The merged runs after batch ``last_batch``; a key may be in several, so the caller merges once more."""
+    if last_batch < 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[batch_path(root, table, b) for b in _runs(last_batch + 1)])

@@ -11,7 +11,7 @@ from rosterflow import constants as C
 from rosterflow.operators import events as ops
 from rosterflow.operators import progress
 from rosterflow.session import written
-from rosterflow.streaming.batches import read_state
+from rosterflow.streaming.batches import merged_handler, read_state
 
 HandlerResult = Callable[[DataFrame], DataFrame]
 
@@ -89,6 +89,17 @@ def progress_handler(batch: DataFrame, batch_id: int) -> Iterator[tuple]:
     yield "steps", progress.latest_steps(batch, with_seq=True)
 
 
+def merged_steps(rows: DataFrame) -> DataFrame:
+    """The latest completion per (student, step) of several runs."""
+    return rows.groupBy("student_id", "step_code").agg(
+        F.max_by("completed_at", "seq").alias("completed_at"), F.max("seq").alias("seq"))
+
+
+def merged_progress_handler(root: str):
+    """:func:`progress_handler` whose table is merged as it grows, so that reading it touches few folders."""
+    return merged_handler(root, "steps", STEP_SCHEMA, lambda batch: progress.latest_steps(batch, with_seq=True), merged_steps)
+
+
 def current_steps(deltas: DataFrame) -> DataFrame:
     """State over all batches: the delta with the latest arrival wins."""
     return deltas.groupBy("student_id", "step_code").agg(

@@ -12,9 +12,10 @@ from rosterflow.catalog import retrieval as retrieval_q
 from rosterflow.operators import events, limits, monitor, progress
 from rosterflow.sources import changes as src
 from rosterflow.streaming import stateful
-from rosterflow.streaming.batches import read_batches, read_state, run_batches
+from rosterflow.streaming.batches import _runs, read_batches, read_merged, read_state, run_batches
 from rosterflow.streaming.events import (
-    HOURS_SCHEMA, STEP_SCHEMA, arrivals_handler, consume_handler, current_steps, dedupe_stream, expiry_handler, progress_handler)
+    HOURS_SCHEMA, STEP_SCHEMA, arrivals_handler, consume_handler, current_steps, dedupe_stream, expiry_handler,
+    merged_progress_handler, progress_handler)
 from rosterflow.streaming.sync import deliver, latency_handler, running_latency, running_stats, sync_handler, together
 
 
@@ -293,3 +294,44 @@ def test_arrivals_stream_matches_batch_and_keeps_late_rows(spark, sf, tmp_path,
         late.groupBy("hour").agg(F.count(F.lit(1)).alias("arrivals"))).groupBy("hour").agg(F.sum("arrivals").alias("arrivals"))
     assert rows(every, "hour", "arrivals") == rows(progress.hourly_arrivals(view), "hour", "arrivals")
     assert (late.count() > 0) == (parts > 1) and closed.count() > 0
+
+
+def test_merged_progress_reads_few_folders_and_survives_a_replay(spark, sf, tmp_path):
+    view = events_q.events_view(spark, sf)
+    root, calls = str(tmp_path / "job"), []
+    handler = merged_progress_handler(os.path.join(root, "out"))
+
+    def failing(batch, batch_id):
+        calls.append(batch_id)
+        yield from handler(batch, batch_id)
+        if batch_id == 5 and calls.count(5) == 1:
+            raise RuntimeError("lost after the write")
+
+    stream = as_stream(spark, view, str(tmp_path / "in"), parts=11)
+    try:
+        run(stream, root, failing)
+    except Exception:  # the first run stops after it has written its sixth batch
+        pass
+    out = run(stream, root, failing)
+    assert calls.count(5) == 2 and max(calls) == 10
+    state = current_steps(read_merged(spark, out, "steps", STEP_SCHEMA, 10))
+    assert rows(state, "student_id", "step_code", "completed_at") == rows(
+        progress.latest_steps(view), "student_id", "step_code", "completed_at")
+    assert read_merged(spark, out, "steps", STEP_SCHEMA, -1).count() == 0
+
+
+def test_merged_runs_cover_every_batch_once():
+    held = {}
+    for batch in range(130):
+        kept = set(_runs(batch + 1))
+        held[batch] = {batch}.union(*[held[b] for b in _runs(batch) if b not in kept])
+        cover = [x for b in kept for x in held[b]]
+        assert sorted(cover) == list(range(batch + 1)) and len(kept) <= 8
+
+
+def test_observed_counters_come_with_the_write(spark, sf):
+    handled, counters = monitor.observed(changes_q.handled(spark, sf))
+    handled.write.format("noop").mode("overwrite").save()
+    totals = changes_q.cdc_stats(spark, sf).agg(*[F.sum(c).alias(c) for c in (
+        "total_events", "success_count", "failure_count", "dead_letter_count", "skipped_count")]).first()
+    assert counters.get == totals.asDict()
