@@ -18,6 +18,7 @@ def build_session(app_name: str = "rosterflow", master: str | None = None, **con
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
     )
     if master:
         builder = builder.master(master)
