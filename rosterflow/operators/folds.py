@@ -27,6 +27,11 @@ from rosterflow.operators import blocks
 from rosterflow.operators.joins import join_back
 from rosterflow.session import written
 
+# Rows of a block that runs beside others, on average; groups of fewer than so many
+# blocks are folded at once.
+FOLD_ROWS = 50_000
+FOLD_BLOCKS = 4
+
 Step = Callable[[object, tuple], "tuple[object, tuple]"]
 
 
@@ -122,13 +127,17 @@ def fold_blocks(
 
     ``table(rows)`` sums up what a block makes of any state in which it may be entered; ``hop(state, table)`` is the
     state behind it (state None: the group starts).  A walk over one row per block finds the state before each
-    block, from which its rows are folded.  Groups of a single block need none of this.
+    block, from which its rows are folded.  Small groups are folded at once, as a block costs more than its rows then.
     """
-    spread = written(rows.withColumns({
-        "__owner": F.to_json(F.struct(*group), {"ignoreNullFields": "false"}), "__blk": blocks.by_millis("ms", block_ms)}), "fold")
-    long = spread.groupBy("__owner").agg(F.min("__blk").alias("a"), F.max("__blk").alias("b")).where("a < b").select("__owner")
+    spread = written(rows.withColumn("__owner", F.to_json(F.struct(*group), {"ignoreNullFields": "false"})), "fold")
+    many = spread.groupBy("__owner").agg(F.min("ms").alias("__low"), F.max("ms").alias("b"), F.count(F.lit(1)).alias("n"))
+    many = many.filter(F.col("n") >= FOLD_ROWS * FOLD_BLOCKS)
+    width = F.greatest(F.lit(block_ms), F.ceil((F.col("b") - F.col("__low") + 1) / F.ceil(F.col("n") / FOLD_ROWS)))
+    long = written(many.select("__owner", "__low", width.cast("bigint").alias("__width")), "long")
     if long.isEmpty():
-        return fold(rows, group, order, inputs, outputs, step)
+        return fold(spread.drop("__owner"), group, order, inputs, outputs, step)
+    spread = spread.join(long, "__owner", "left").withColumn(
+        "__blk", F.floor((F.col("ms") - F.col("__low")) / F.col("__width")).cast("bigint"))
 
     def summed(block: pd.DataFrame) -> pd.DataFrame:
         first = block.iloc[0]
@@ -147,11 +156,11 @@ def fold_blocks(
             yield pd.DataFrame({"__owner": batch["__owner"], "__blk": batch["__blk"], "__start": pd.Series(starts, dtype=object)})
 
     needed = ["__owner", "__blk", *dict.fromkeys([*order, *inputs])]
-    tables = spread.join(long, "__owner", "left_semi").select(*needed).groupBy("__owner", "__blk").applyInPandas(
+    tables = spread.filter("__blk is not null").select(*needed).groupBy("__owner", "__blk").applyInPandas(
         summed, "__owner string, __blk bigint, exits string")
     starts = tables.repartition("__owner").sortWithinPartitions("__owner", "__blk").mapInPandas(
         walk, "__owner string, __blk bigint, __start string")
-    started = spread.join(starts, ["__owner", "__blk"], "left")
+    started = join_back(spread.drop("__low", "__width"), starts, ["__owner", "__blk"])
     return fold(started, ["__owner", "__blk"], order, inputs, outputs, step, "__start").drop("__owner", "__blk")
 
 

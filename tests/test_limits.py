@@ -158,6 +158,7 @@ def hot(gap, n=4000, seed=5, result=lambda rng: "wrong"):
 def folded_groups(monkeypatch):
     """Sizes of the groups that are folded one after the other, largest last."""
     seen, fold = [], folds.fold
+    monkeypatch.setattr(folds, "FOLD_ROWS", 100)
 
     def watched(rows, group, *rest, **more):
         seen.extend(sorted(r["count"] for r in rows.groupBy(*group).count().collect()))
@@ -214,7 +215,8 @@ def test_bucket_and_log_start_anew_where_the_load_is_light(spark, monkeypatch):
     assert len({w for w in want.values()}) == 2 and len(sizes) > 10 and sizes[-1] < len(rows) / 5
 
 
-def test_first_in_horizon_follows_the_last_accepted(spark):
+def test_first_in_horizon_follows_the_last_accepted(spark, monkeypatch):
+    monkeypatch.setattr(folds, "FOLD_ROWS", 100)
     rows, last, want = hot([0, 10, 300, 900], n=1500) + [(2000 + i, None, START + dt.timedelta(seconds=i), "ok") for i in range(5)], {}, {}
     for seq, key, ts, _ in rows:
         want[seq] = (key not in last or millis(ts) - last[key] > 2_500,)
