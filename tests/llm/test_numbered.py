@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -180,15 +181,16 @@ def test_decontamination(lake, sf, docs, empty):
     assert len(clean) == len(want) and not any(r.n_hit for r in clean)
 
 
-def test_packing(docs, empty):
+def plain_pieces(rows):
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    got = packing.pack_documents(docs, TOKENIZER).collect()
-    want = []
-    for d, text in rows_of(docs):
+    for d, text in rows:
         ids = tokenizer.encode(text, add_special_tokens=False).ids + [1]
-        want += [(d, s, len(ids[s:s + 2048]), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[s:s + 2048])), len(ids))
-                 for s in range(0, len(ids), 2048)]
-    same([(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got], want)
+        for s in range(0, len(ids), 2048):
+            cut = ids[s:s + 2048]
+            yield d, s, len(cut), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in cut)), len(ids)
+
+
+def padding_of(got):
     sequences = collections.defaultdict(list)
     for r in got:
         sequences[r.sequence_id].append((r.offset, r.length))
@@ -200,10 +202,46 @@ def test_packing(docs, empty):
             at += length
         assert at <= 2048
         padding += 2048 - at if at & (at - 1) else 0
-    assert padding < 0.02 * sum(r.length for r in got)
+    return padding
+
+
+def test_packing(docs, empty):
+    got = packing.pack_documents(docs, TOKENIZER).collect()
+    same([(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got], plain_pieces(rows_of(docs)))
+    assert padding_of(got) < 0.02 * sum(r.length for r in got)
     assert packing.pack_documents(empty, TOKENIZER).count() == 0
 
 
+def test_the_packing_query(lake, sf):
+    got = queries.op2_packing(lake, sf).collect()
+    given = rows_of(common.table(lake, sf, "documents"))
+    same([(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got], plain_pieces(given))
+    assert padding_of(got) < 0.02 * sum(r.length for r in got)
+
+
+@pytest.mark.parametrize("ends", [1000, 10_000, 60_000])
+def test_most_windows_come_from_the_rounded_counts(ends):
+    lengths = np.clip(np.random.default_rng(ends).gamma(2.0, 350.0, ends), 1, 2047).astype(int)
+    sequence, _ = packing.pack(lengths)
+    windows = int(sequence.max()) + 1
+    counted = packing.counted_windows(np.bincount(lengths, minlength=2049))
+    assert all(sum(parts) == 2048 for parts in counted)
+    assert len(counted) > windows / 2
+    assert windows * 2048 - lengths.sum() < 0.005 * lengths.sum() + 2048
+
+
+def test_least_squares_has_the_gradient_of_a_minimum():
+    histogram = np.zeros(2049, int)
+    histogram[[100, 400, 700, 948, 1000, 1024, 1048, 1348]] = [30, 20, 20, 10, 40, 50, 35, 20]
+    sets = packing.fillings(np.flatnonzero(histogram), 2048)
+    x = packing.least_squares(sets, histogram, 2000)
+    used = np.bincount(sets.ravel(), np.repeat(x, 3), 2049)
+    missing = histogram - used
+    missing[0] = 0
+    slope = missing[sets].sum(1)
+    assert x.min() >= 0 and slope.max() < 0.1 and np.abs(slope[x > 0]).max() < 0.1
+
+
 def test_encoder_equals_the_file_on_odd_texts():
     tokenizer, texts = Tokenizer.from_file(TOKENIZER), [t or "" for _, t in ODD] + [
         "<|endoftext|> a<|endoftext|>", "\u0085᠎​  　x", "don't I'LL we'd 'tis", "१२३ ½ ² x²", "a\r\n\r\n  b", "\x00\x1c\x1d"]
