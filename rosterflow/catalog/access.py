@@ -92,7 +92,7 @@ def audit_by_student(spark, sf):
     """Calls and failures by student, from a log that the outcomes were appended to."""
     path = shared_dir(spark, "tool-calls")
     audit.append_calls(_outcomes(spark, sf), path)
-    logged = spark.read.parquet(path)
+    logged = audit.all_calls(spark, path)
     return logged.groupBy("student_id", F.col("params")["student_id"].alias("masked_student_id")).agg(
         F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("success")).alias("failures"), F.max("ts").alias("last_call"))
 

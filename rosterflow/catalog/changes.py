@@ -191,23 +191,23 @@ def _order_rows(spark, sf):
     return fetch
 
 
-def _batch(spark, sf, scanned, sink_result):
+def _batch(spark, sf, scanned, sink_result, table):
     routed = ops.enrich(scanned, id_mapping(spark, sf)).withColumns(
         {"target": ops.target_system(), "sink_result": sink_result})
-    return ops.batch_result(routed.withColumn("outcome", ops.write_outcome()))
+    return ops.batch_result(routed.withColumn("outcome", ops.write_outcome()), (table,))
 
 
 def batch_full_sync(spark, sf):
     scanned = src.snapshot_scan(spark, _student_rows(spark, sf), "student_info", "student_id", "run-1")
     result = F.when(F.col("after")["c_nationkey"] == "7", "RETRY").otherwise("SUCCESS")
-    return _batch(spark, sf, scanned, result)
+    return _batch(spark, sf, scanned, result, "student_info")
 
 
 def batch_incremental_sync(spark, sf):
     scanned = src.incremental_scan(
         spark, _order_rows(spark, sf), "checkin_record", "o_orderkey", "run-1", "1999-01-01 00:00:00")
     result = F.when(F.col("after")["o_orderstatus"] == "P", "DEAD_LETTER").otherwise("SUCCESS")
-    return _batch(spark, sf, scanned, result)
+    return _batch(spark, sf, scanned, result, "checkin_record")
 
 
 QUERIES = {fn.__name__: fn for fn in (

@@ -82,12 +82,12 @@ def kb_replace_category(spark, sf):
     knowledge.write_chunks(loaded, path)
     fresh = loaded.withColumn("chunk_id", F.concat("chunk_id", F.lit("-v2"))).filter("section <> ''")
     knowledge.replace_category(fresh, "FAQ", path)
-    return spark.read.parquet(path).select("chunk_id", "category", "section")
+    return spark.read.schema(loaded.schema).parquet(path).select("chunk_id", "category", "section")
 
 
 def kb_counts(spark, sf):
     per_category = sections(spark, sf).groupBy(F.col("category").alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    total = per_category.agg(F.sum("n").alias("n")).select(F.lit("total").alias("name"), "n")
+    total = per_category.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("total").alias("name"), "n")
     active = turns(spark, sf).groupBy("session_id").count().agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("active_sessions").alias("name"), "n")
     return per_category.unionByName(total).unionByName(active)

@@ -253,8 +253,13 @@ def sync_stats(handled: DataFrame, by: str = "source_server") -> DataFrame:
     )
 
 
-def batch_result(handled: DataFrame) -> DataFrame:
-    """Synced and failed rows of a batch run, per table."""
+def batch_result(handled: DataFrame, tables: tuple[str, ...] = ()) -> DataFrame:
+    """Synced and failed rows of a batch run, per table; ``tables`` that were scanned without finding a row have zeros."""
     ok = F.col("outcome") == C.SUCCESS
-    return handled.groupBy("source_table").agg(
+    found = handled.groupBy("source_table").agg(
         F.count_if(ok).alias("synced"), F.count_if(~ok).alias("failed"))
+    if not tables:
+        return found
+    scanned = handled.sparkSession.createDataFrame([(t,) for t in tables], "source_table string")
+    return found.join(scanned, "source_table", "full").select(
+        "source_table", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("synced", "failed")])

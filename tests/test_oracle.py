@@ -1,6 +1,9 @@
 """Every registered query against its SQL on the smallest data set."""
 
+import os
+
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
@@ -19,6 +22,17 @@ def duck(sf):
     return con
 
 
+@pytest.fixture(scope="module")
+def empty_tables(sf, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("empty")
+    for name in TABLES:
+        pq.write_table(pq.read_table(f"{sf}/{name}.parquet").slice(0, 0), os.path.join(folder, f"{name}.parquet"))
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"create view {name} as select * from '{folder}/{name}.parquet'")
+    return str(folder), con
+
+
 def plain(value):
     return round(value, 6) + 0.0 if isinstance(value, float) else value
 
@@ -34,7 +48,16 @@ def test_entry_returns_rows(spark):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, sf, duck, name):
-    df = QUERIES[name](spark, sf)
+    compare(QUERIES[name](spark, sf), duck, name)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_matches_sql_on_empty_tables(spark, empty_tables, name):
+    folder, con = empty_tables
+    compare(QUERIES[name](spark, folder), con, name)
+
+
+def compare(df, duck, name):
     names = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=repr)
     result = duck.execute(ORACLES[name])
