@@ -1,6 +1,8 @@
 """Streaming forms give the results of the batch forms, also after a restart."""
 
+import json
 import os
+import resource
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from rosterflow.catalog import changes as changes_q
 from rosterflow.catalog import events as events_q
 from rosterflow.catalog import retrieval as retrieval_q
 from rosterflow.operators import events, limits, monitor, progress
+from rosterflow.operators.folds import epoch_millis
 from rosterflow.sources import changes as src
 from rosterflow.streaming import stateful
 from rosterflow.streaming.batches import _runs, read_batches, read_merged, read_state, run_batches
@@ -233,6 +236,55 @@ def test_chain_and_context_streams_match_batch(spark, sf, tmp_path):
         retrieval_q.conversation_context(spark, sf), "session_id", "history")
 
 
+def fold_stream(spark, stream, root, schema, *how, **idle):
+    out = run(stream, root, stateful.fold_handler(os.path.join(root, "out"), *how, **idle))
+    return read_batches(spark, out, "rows", schema)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 10])
+def test_folded_batches_match_batch(spark, sf, tmp_path, parts):
+    records = events.chain_records(events_q.events_view(spark, sf))
+    stream = as_stream(spark, records, str(tmp_path / "in"), parts)
+    got = fold_stream(spark, stream, str(tmp_path / "a"), "seq bigint, event_type string, met boolean",
+                      "student_id", ["seq"], "met boolean", stateful.chain_step)
+    assert got.count() == records.count()
+    assert rows(got.filter("event_type = 'student.checkin.completed'"), "seq", "met") == rows(
+        events_q.completion_prereq(spark, sf), "seq", "prerequisites_met")
+
+    requests = access_q._requests(spark, sf).withColumn("ms", epoch_millis("ts")).withColumn("n", F.lit(1).cast("bigint"))
+    stream = as_stream(spark, requests, str(tmp_path / "requests"), parts)
+    outputs = "outcome string, errors bigint, lock_minutes bigint"
+    locks = fold_stream(spark, stream, str(tmp_path / "b"), "seq bigint, " + outputs, "phone", ["ms", "seq"], outputs,
+                        limits.lockout_step(access_q.MAX_ERRORS, access_q.LOCK_SECONDS * 1000))
+    assert rows(locks, "seq", "outcome", "errors") == rows(access_q.lockout(spark, sf), "seq", "outcome", "errors")
+
+
+def test_folded_batches_keep_null_keys_and_forget_idle_ones(spark, tmp_path):
+    given = spark.createDataFrame(
+        [(0, 0, None, "user", "a"), (1, 5, "s", "user", "b"), (2, 9, None, "user", "c"), (3, 30, "s", "user", "d"),
+         (4, 2**60, "s", None, None), (5, 2**60 + 1, "s", "user", "e")],
+        "seq bigint, ms bigint, session_id string, role string, content string")
+    stream = as_stream(spark, given, str(tmp_path / "in"), 3)
+    got = fold_stream(spark, stream, str(tmp_path / "a"), "seq bigint, ms bigint, history string",
+                      "session_id", ["seq"], "history string", stateful.context_step(2), time="ms", idle_ms=20)
+    assert [(r.seq, r.ms, len(json.loads(r.history))) for r in got.orderBy("seq").collect()] == [
+        (0, 0, 1), (1, 5, 1), (2, 9, 2), (3, 30, 1), (4, 2**60, 1), (5, 2**60 + 1, 2)]
+
+
+def test_a_batch_of_one_key_is_folded_in_little_memory(spark, tmp_path):
+    def step(state, row):
+        count = (state or 0) + 1
+        return count, (count, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+
+    given = spark.range(1_000_000).select(F.col("id").alias("seq"), F.lit("k").alias("k"), F.rpad(
+        F.col("id").cast("string"), 400, "x").alias("text"))
+    stream = as_stream(spark, given, str(tmp_path / "in"), 2)
+    got = fold_stream(spark, stream, str(tmp_path / "a"), "seq bigint, n bigint, kb bigint", "k", ["seq"], "n bigint, kb bigint", step)
+    assert got.filter("n <> seq + 1").count() == 0 and got.count() == 1_000_000
+    grown = got.groupBy("batch_id").agg((F.max("kb") - F.min("kb")).alias("kb")).collect()
+    assert len(grown) == 2 and max(r.kb for r in grown) < 100_000
+
+
 def test_idle_state_is_forgotten(spark, tmp_path):
     turns = spark.createDataFrame([(i, 1, "user", f"m{i}") for i in range(2)], "seq bigint, session_id bigint, role string, content string")
     stream = as_stream(spark, turns, str(tmp_path / "in"), parts=2)
