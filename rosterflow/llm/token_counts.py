@@ -1,14 +1,16 @@
 """Token counts that follow edits.
 
-A text is cut into leaves of about ``LEAF`` characters, only between a letter and a space before a letter, where the
-tokenizer's pre-tokens always end, so the counts of the leaves add up to that of the text.  The leaves are the bottom of
+A text is cut into leaves of about ``LEAF`` characters, only where the tokenizer's pre-tokens always end, whatever the
+script: before a space or line end that follows anything else, and between a mark and a letter of a script written without
+spaces.  So the counts of the leaves add up to that of the text.  A run without any such place stays in one leaf.  The leaves are the bottom of
 a segment tree of characters and tokens.  An edit finds its leaves from the sums, takes in neighbours whose border
-it touches, encodes this region alone, and renews the sums on the way to the root.
+it touches, encodes this region alone, and renews the sums on the way to the root; a region that has outgrown a leaf
+becomes several.
 """
 
 from __future__ import annotations
 
-import string
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -19,21 +21,15 @@ from rosterflow.llm.common import pieces
 from rosterflow.llm.packing import encoder
 
 LEAF = 512
-_LETTERS = frozenset(string.ascii_letters)
+# What some library may take for white space is left out before a space; the letters are in all versions of Unicode.
+_BORDER = re.compile("(?<=[^\\s\x1c-\x1f\x85\u180e\u200b\ufeff])[ \n]|(?<=[。，、！？；：])[ぁ-ゖァ-ヺ一-龥가-힣]")
 
 
 def cut_places(text: str, leaf: int = LEAF) -> list[int]:
     """Borders of the leaves, 0 and the length included: the first safe place after each ``leaf`` characters."""
-    places, at = [0], leaf
-    while at < len(text):
-        at = text.find(" ", at)
-        if at < 0 or at + 1 >= len(text):
-            break
-        if text[at - 1] in _LETTERS and text[at + 1] in _LETTERS:
-            places.append(at)
-            at += leaf
-        else:
-            at += 1
+    places = [0]
+    while found := _BORDER.search(text, places[-1] + leaf):
+        places.append(found.start())
     return [*places, len(text)]
 
 
@@ -73,6 +69,12 @@ class Tree:
             node //= 2
             self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
 
+    def split(self, first: int, last: int, chars: list[int], tokens: list[int]) -> None:
+        """Puts other leaves in place of the leaves from ``first`` to ``last``; empty ones go."""
+        own = self.sums[self.size:self.size + self.leaves]
+        whole = np.concatenate([own[:first], np.stack([chars, tokens], 1), own[last + 1:]])
+        self.__init__(*whole[whole[:, 0] > 0].T)
+
     def chars_of(self, leaf: int) -> int:
         return int(self.sums[self.size + leaf, 0])
 
@@ -83,7 +85,7 @@ def build(text: str, encode, leaf: int = LEAF) -> Tree:
     return Tree([len(p) for p in parts], [len(x) for x in encode(parts)])
 
 
-def edit(text: str, tree: Tree, start: int, end: int, new: str, encode) -> tuple[str, int]:
+def edit(text: str, tree: Tree, start: int, end: int, new: str, encode, leaf: int = LEAF) -> tuple[str, int]:
     """Replaces [start, end) by ``new``; returns the text and the characters that were encoded again.
 
     Places beyond the text are cut to its length; an end before the start counts as the start.
@@ -94,7 +96,7 @@ def edit(text: str, tree: Tree, start: int, end: int, new: str, encode) -> tuple
         first = last = low = high = 0
     else:
         first, low = tree.leaf_at(start)
-        # A border is safe while the letter before it and the space and letter after it stay as they are.
+        # A border is safe while the characters beside it stay as they are.
         while first and start < low + 2:
             first -= 1
             low -= tree.chars_of(first)
@@ -108,10 +110,16 @@ def edit(text: str, tree: Tree, start: int, end: int, new: str, encode) -> tuple
             last += 1
             high += tree.chars_of(last)
     region = text[low:start] + new + text[end:high]
-    tree.put(first, len(region), len(encode([region])[0]))
-    for leaf in range(first + 1, last + 1):
-        if tree.chars_of(leaf):
-            tree.put(leaf, 0, 0)
+    places = cut_places(region, leaf) if len(region) > 2 * leaf else [0, len(region)]
+    parts = [region[a:b] for a, b in zip(places, places[1:])]
+    tokens = [len(ids) for ids in encode(parts)]
+    if len(parts) > 1:
+        tree.split(first, last, [len(p) for p in parts], tokens)
+    else:
+        tree.put(first, len(region), tokens[0])
+        for other in range(first + 1, last + 1):
+            if tree.chars_of(other):
+                tree.put(other, 0, 0)
     return text[:start] + new + text[end:], len(region)
 
 
@@ -137,7 +145,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, leaf: int = LEAF) -> DataFrame
         count, f"doc_id long, text string, edits {EDITS}, leaf_chars array<int>, leaf_tokens array<int>")
 
 
-def apply_edits(counted: DataFrame, tokenizer: str) -> DataFrame:
+def apply_edits(counted: DataFrame, tokenizer: str, leaf: int = LEAF) -> DataFrame:
     """Rows (doc_id, text, n_tokens_before, n_tokens, n_chars, n_edits, n_chars_encoded).
 
     ``counted``: rows of ``count_tokens``, which keeps ``edits``, an array of (start, end, text) in the order of application (null:
@@ -152,7 +160,7 @@ def apply_edits(counted: DataFrame, tokenizer: str) -> DataFrame:
                 text, tree, again = text or "", Tree(chars, tokens), 0
                 before = tree.tokens
                 for e in edits or []:
-                    text, own = edit(text, tree, e["start"], e["end"], e["text"] or "", encode)
+                    text, own = edit(text, tree, e["start"], e["end"], e["text"] or "", encode, leaf)
                     again += own
                 rows.append((text, before, tree.tokens, len(text), len(edits or []), again))
             columns = list(zip(*rows)) or [()] * 6

@@ -277,11 +277,44 @@ def test_many_edits_keep_the_tree_right():
         a = draw.randrange(len(text) + 3)
         b = a + draw.choice([0, 0, 1, 2, 5, 30, 200])
         new = draw.choice(["", " ", "'s", " big", "big", "\n\n", "1", " the end of it"])
-        text, _ = token_counts.edit(text, tree, a, b, new, encode)
+        text, _ = token_counts.edit(text, tree, a, b, new, encode, 40)
         assert tree.tokens == len(encode([text])[0])
         assert tree.sums[1, 0] == len(text)
 
 
+@pytest.mark.parametrize("unit", ["Слово за словом, и снова 12 слов.\n", "漢字かな交じり文。東京、2024年！", "한국어 문장; ", "120 3456 7 ",
+                                  "don't 'tis  \u200b \u0085 x²\r\n", "a\x1c b\u180e \ufeff \u3000 c! ", "<|endoftext|> x "])
+def test_edits_in_any_script_encode_little(unit):
+    encode = packing.encoder(TOKENIZER)
+    text = unit * (24_000 // len(unit))
+    tree = token_counts.build(text, encode)
+    assert tree.leaves >= 30 and tree.tokens == len(encode([text])[0])
+    for at in range(0, len(text), 3001):
+        for new in ("字", "б", "7", " ", "'", "s", "\n", ""):
+            text, again = token_counts.edit(text, tree, at, at + 1, new, encode)
+            assert again <= 3 * token_counts.LEAF
+    assert tree.tokens == len(encode([text])[0]) and tree.sums[1, 0] == len(text)
+
+
+def test_a_leaf_that_grows_is_split():
+    encode = packing.encoder(TOKENIZER)
+    text = "one word after the other " * 400
+    tree, again = token_counts.build(text, encode), []
+    for k in range(200):
+        text, own = token_counts.edit(text, tree, 5000, 5000, f"{k} inserted words of about a hundred characters, " * 2, encode)
+        again.append(own)
+    assert tree.tokens == len(encode([text])[0]) and tree.sums[1, 0] == len(text)
+    assert max(again) < 4 * token_counts.LEAF
+
+
+def test_the_token_query(lake, sf):
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    got = {r.doc_id: r for r in queries.op5_token_counts(lake, sf).collect()}
+    given = rows_of(common.table(lake, sf, "documents"))
+    assert {d: r.n_tokens_before for d, r in got.items()} == {
+        d: len(tokenizer.encode(text, add_special_tokens=False).ids) for d, text in given}
+
+
 def test_quality(lake, sf, docs, empty):
     labels = common.table(lake, sf, "labels")
     odd = lake.createDataFrame([(-1, None), (None, 1), (-3, 0), (-3, 1)], "doc_id long, quality int")
