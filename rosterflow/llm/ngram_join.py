@@ -10,7 +10,8 @@ M times its transpose.  Three bounds that follow from the set sizes keep the pro
 * Columns that meet in one smallest document form a block.  In a block overlaps are accumulated over slices of
   columns, and a pair is given up where its sizes rule a link out.  Large blocks are cut into pairs of sub-blocks.
 
-A block reports only as many links as it needs to connect its rows, so no group of n copies makes n * n rows.
+A block reports only as many links as it needs to connect its rows, so no group of n copies makes n * n rows.  Where links
+are counted, a row of the block reports their number, and a pair counts in the smallest of the blocks in which it meets.
 """
 
 from __future__ import annotations
@@ -154,15 +155,45 @@ class _Forest:
         return x != y
 
 
-def _product(grams: list[np.ndarray], side: np.ndarray, percent: int, rows_at_once: int = 512, columns_at_once: int = 2048):
-    """Pairs (i, j) that link and are not connected by earlier ones.
+class _Tally:
+    """Weights of all rows that each row of a cell links with, but for pairs that meet in one of their ``earlier`` blocks."""
+
+    def __init__(self, weights: np.ndarray, earlier: list[np.ndarray]):
+        self.weights, self.links = weights, np.zeros(len(weights), np.int64)
+        _, code, counts = np.unique(np.concatenate(earlier), return_inverse=True, return_counts=True)
+        held = counts[code] > 1
+        self.owner = np.repeat(np.arange(len(earlier)), [len(e) for e in earlier])[held]
+        self.code = (np.cumsum(counts > 1) - 1)[code[held]]
+
+    def add(self, left: np.ndarray, right: np.ndarray, link: np.ndarray, columns_at_once: int = 2048) -> None:
+        met = np.zeros(link.shape, bool)
+        place = np.full((2, len(self.weights)), -1)
+        place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+        for first in range(0, int(self.code.max(initial=-1)) + 1, columns_at_once):
+            inside = (self.code >= first) & (self.code < first + columns_at_once)
+            factors = [np.zeros((n, columns_at_once), np.float32) for n in link.shape]
+            for rows, factor in zip(place, factors):
+                row = rows[self.owner[inside]]
+                factor[row[row >= 0], self.code[inside][row >= 0] - first] = 1
+            met |= factors[0] @ factors[1].T > 0
+        once = (link & ~met).astype(np.int64)
+        self.links[left] += once @ self.weights[right]
+        self.links[right] += once.T @ self.weights[left]
+
+
+def _product(grams: list[np.ndarray], side: np.ndarray, percent: int, rows_at_once: int = 512, columns_at_once: int = 2048,
+             tally: _Tally | None = None):
+    """Pairs (i, j) that link and are not connected by earlier ones; ``tally`` takes connected ones too.
 
     ``side`` false and true: rows of two parts, of which only pairs across count; one value throughout: all pairs.
     """
     sizes = np.array([len(g) for g in grams])
     if len(grams) == 2:
         both = len(np.intersect1d(grams[0], grams[1], assume_unique=True))
-        return [(0, 1)] if both * 100 >= percent * (sizes.sum() - both) else []
+        link = both * 100 >= percent * (sizes.sum() - both)
+        if link and tally:
+            tally.add(np.array([0]), np.array([1]), np.ones((1, 1), bool))
+        return [(0, 1)] if link else []
     _, code, counts = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(grams)), sizes)
     # Entries of columns that one row holds add to no overlap; a row that has too many of them links with nothing.
@@ -199,6 +230,8 @@ def _product(grams: list[np.ndarray], side: np.ndarray, percent: int, rows_at_on
                 overlap += factors[0] @ factors[1].T
             both = np.rint(overlap).astype(np.int64)
             link = both * 100 >= percent * (ordered[left][:, None] + ordered[right][None, :] - both)
+            if tally:
+                tally.add(alive[left], alive[right], np.triu(link, 1) if low == top else link)
             for x, y in zip(*np.nonzero(link)):
                 i, j = int(alive[top + x]), int(alive[low + y])
                 if i != j and forest.join(i, j):
@@ -206,8 +239,12 @@ def _product(grams: list[np.ndarray], side: np.ndarray, percent: int, rows_at_on
     return found
 
 
-def links(docs: DataFrame, met: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Rows (x, y) of doc_ids that link, enough to connect all that are connected within their blocks."""
+def links(docs: DataFrame, met: DataFrame, words: int = WORDS, percent: int = PERCENT, weights: DataFrame | None = None) -> DataFrame:
+    """Rows (x, y) of doc_ids that link, enough to connect all that are connected within their blocks.
+
+    With ``weights``, rows (doc_id, mark, weight), there are also rows (x, mark, n) without y: document x with this mark
+    links with documents of weight n, to be summed.
+    """
     met = written(met, "blocks")
     load = met.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("entries"))
     parts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("entries") / BLOCK_ENTRIES), F.lit(1)).cast("int")
@@ -218,18 +255,36 @@ def links(docs: DataFrame, met: DataFrame, words: int = WORDS, percent: int = PE
     placed = met.join(load.where("rows > 1").select("block", parts.alias("parts")), "block").withColumn("own", own)
     placed = placed.select("block", "doc_id", "mark", "own", F.explode(cells).alias("cell"))
     grams = _sets(docs, met.select("doc_id").distinct(), words)
+    if weights is not None:
+        # A row meets others in fewer blocks than its set has hashes, mostly in one to three.
+        others = met.groupBy("doc_id", "mark").agg(F.collect_set("block").alias("others"))
+        placed = placed.join(weights.join(others, ["doc_id", "mark"]), ["doc_id", "mark"])
     dealt = placed.join(grams, ["doc_id", "mark"]).select(
-        "block", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "doc_id", "own", "grams")
+        "block", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "doc_id", "own", "grams",
+        *(["mark", "weight", "others"] if weights is not None else []))
     dealt = dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "doc_id")
 
+    counting = weights is not None
+
     def multiply(batches):
         key, rows, out = None, [], []
 
         def finish():
-            if len(rows) > 1:
-                side = np.array([key[1] != key[2] and r[1] == key[2] for r in rows])
-                for i, j in _product([r[2] for r in rows], side, percent):
-                    out.append((rows[i][0], rows[j][0]))
+            side = np.array([key[1] != key[2] and r[1] == key[2] for r in rows]) if rows else np.zeros(0, bool)
+            # Two parts meet only where both have rows; those of one part meet in its own cell.
+            if len(rows) > 1 and (key[1] == key[2] or side.any() and not side.all()):
+                tally = None
+                if counting:
+                    tally = _Tally(np.array([r[4] for r in rows], np.int64), [r[5][r[5] < key[0]] for r in rows])
+                for i, j in _product([r[2] for r in rows], side, percent, tally=tally):
+                    out.append((rows[i][0], rows[j][0], None, None))
+                if tally:
+                    out.extend((rows[i][0], None, rows[i][3], int(tally.links[i])) for i in np.flatnonzero(tally.links))
+
+        def found():
+            columns = list(zip(*out)) or [()] * 4
+            out.clear()
+            return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["x", "y", "mark", "n"])
 
         for batch in batches:
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
@@ -240,16 +295,16 @@ def links(docs: DataFrame, met: DataFrame, words: int = WORDS, percent: int = PE
                 if k != key:
                     finish()
                     key, rows = k, []
-                rows.append((ids[r], owns[r], values[at[r]:at[r + 1]].copy()))
+                more = ()
+                if counting:
+                    more = batch.column(6)[r].as_py(), batch.column(7)[r].as_py(), np.array(batch.column(8)[r].as_py(), np.int64)
+                rows.append((ids[r], owns[r], values[at[r]:at[r + 1]].copy(), *more))
             if out:
-                yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())],
-                                      names=["x", "y"])
-                out = []
+                yield found()
         finish()
-        yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())],
-                              names=["x", "y"])
+        yield found()
 
-    return dealt.mapInArrow(multiply, "x long, y long")
+    return dealt.mapInArrow(multiply, "x long, y long, mark long, n long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -282,22 +337,36 @@ def components(edges: DataFrame) -> DataFrame:
     return out.join(out.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, sample: int = SAMPLE) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each row of ``docs`` (doc_id, text).
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, sample: int = SAMPLE,
+                    count_links: bool = False) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id[, n_links]), one for each row of ``docs`` (doc_id, text).
 
     Documents without words are linked with nothing.  Rows that share a doc_id are nodes of one name: their links
-    are those of all their texts.  A null doc_id is linked with nothing and has a null component.
+    are those of all their texts.  A null doc_id is linked with nothing and has a null component.  ``n_links`` is the
+    number of other rows, those of the same doc_id included, with which the row's text links, each counted once.
     """
     every = written(signatures(docs, words), "signatures")
     linkable = every.where("n > 0 and doc_id is not null")
-    classes = written(linkable.groupBy("n", "a", "b").agg(F.min("doc_id").alias("head")), "classes")
+    classes = written(linkable.groupBy("n", "a", "b").agg(
+        F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("size")), "classes")
     low = signatures(docs, words, sample).where("n > 0 and doc_id is not null")
     heads = low.groupBy("n", "a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("low").alias("low"))
     heads = heads.select("doc_id", F.col("a").bitwiseAND(_MARK).alias("mark"), "n", "low")
-    near = links(docs, blocks(heads, percent, sample), words, percent)
+    sizes = classes.select("n", "a", "b", "size", F.col("head").alias("doc_id"), F.col("a").bitwiseAND(_MARK).alias("mark"))
+    weights = sizes.select("doc_id", "mark", F.col("size").alias("weight")) if count_links else None
+    near = links(docs, blocks(heads, percent, sample), words, percent, weights)
+    near = written(near, "links") if count_links else near
     # Members hang on the head of their class; a doc_id with two texts ties two classes together.
     member = linkable.join(classes, ["n", "a", "b"]).select("doc_id", "head").distinct()
     ties = member.where("doc_id <> head").select(F.col("head").alias("x"), F.col("doc_id").alias("y"))
-    found = components(near.union(ties))
-    return every.join(found, "doc_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = components(near.where("y is not null").select("x", "y").union(ties))
+    out = every.join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    shown = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+    if not count_links:
+        return out.select(shown)
+    counted = near.where("y is null").groupBy(F.col("x").alias("doc_id"), "mark").agg(F.sum("n").alias("others"))
+    # Only texts that link with any other text, their own copies included, are looked up.
+    counted = sizes.join(counted, ["doc_id", "mark"], "left").select(
+        "n", "a", "b", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")).where("n_links > 0")
+    n_links = F.when(F.col("doc_id").isNotNull(), F.col("n_links"))
+    return out.join(counted, ["n", "a", "b"], "left").select(*shown, F.coalesce(n_links, F.lit(0)).cast("long").alias("n_links"))

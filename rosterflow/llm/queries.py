@@ -30,7 +30,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), count_links=True)
 
 
 def edits_of(docs: DataFrame) -> DataFrame:
@@ -157,7 +157,8 @@ links as (
 ends as (select x, y from links union all select y, x from links),
 reach(doc_id, other) as (
   select doc_id, doc_id from sets union select r.doc_id, e.y from reach r join ends e on e.x = r.other)
-select s.doc_id, len(s.s)::bigint as n_shingles, min(r.other) as component_id
+select s.doc_id, len(s.s)::bigint as n_shingles, min(r.other) as component_id,
+  (select count(*) from ends e where e.x = s.doc_id) as n_links
 from sets s join reach r using (doc_id) group by s.doc_id, len(s.s)""",
     "op9_line_dedup": r"""
 with lines as (

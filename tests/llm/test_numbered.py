@@ -71,6 +71,26 @@ def test_near_duplicates(docs, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("block_rows", [3, 1500])
+def test_links_are_counted_once(docs, empty, lake, monkeypatch, block_rows):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block_rows)
+    words = [f"w{i}" for i in range(60)]
+    near = [(10**6 + i, " ".join(f"e{i}" if k in {(i * 7) % 60, (i * 13) % 60} else w for k, w in enumerate(words))) for i in range(40)]
+    given = docs.select("doc_id", "text").union(lake.createDataFrame(near + near[:5], "doc_id long, text string"))
+    rows = rows_of(given)
+    sets = list(plain_sets(rows))
+    n_links = [0] * len(rows)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and None not in (rows[i][0], rows[j][0]) and 100 * len(a & b) >= 80 * len(a | b):
+                n_links[i] += 1
+                n_links[j] += 1
+    got = ngram_join.near_duplicates(given, count_links=True).select("doc_id", "n_shingles", "n_links").collect()
+    same([tuple(r) for r in got], [(d, len(s), n) for (d, _), s, n in zip(rows, sets, n_links)])
+    assert ngram_join.near_duplicates(empty, count_links=True).count() == 0
+
+
 def test_near_duplicates_of_a_large_group_are_cut_into_blocks(lake, monkeypatch):
     words = [f"w{i}" for i in range(150)]
 
