@@ -351,7 +351,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("size")), "classes")
     low = signatures(docs, words, sample).where("n > 0 and doc_id is not null")
     heads = low.groupBy("n", "a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("low").alias("low"))
-    heads = heads.select("doc_id", F.col("a").bitwiseAND(_MARK).alias("mark"), "n", "low")
+    heads = written(heads.select("doc_id", F.col("a").bitwiseAND(_MARK).alias("mark"), "n", "low"), "heads")
     sizes = classes.select("n", "a", "b", "size", F.col("head").alias("doc_id"), F.col("a").bitwiseAND(_MARK).alias("mark"))
     weights = sizes.select("doc_id", "mark", F.col("size").alias("weight")) if count_links else None
     near = links(docs, blocks(heads, percent, sample), words, percent, weights)
