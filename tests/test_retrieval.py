@@ -117,6 +117,22 @@ def test_pruned_search_scores_few_pairs(spark, monkeypatch):
         assert pruned.filter("question_id < 40").count() < 40 * 600 / 5
 
 
+def test_index_is_built_row_by_row(spark, tmp_path):
+    texts = [(1, "b a b 学 b a", ""), (2, "?! ?!", ""), (3, None, ""), (4, "a", "x y")]
+    spark.createDataFrame(texts, "chunk_no bigint, content string, section string").write.parquet(str(tmp_path / "c"))
+    index = knowledge.index_chunks(spark.read.parquet(str(tmp_path / "c")))
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    got = {r.chunk_no: r for r in index.collect()}
+    assert {n: {t.feature: t.tf for t in r.terms} for n, r in got.items()} == {
+        1: {"a": 2, "b": 3, "学": 1}, 2: {}, 3: {}, 4: {"a": 1, "x": 1, "y": 1}}
+    assert [(got[n].dl, got[n].content_len) for n in (1, 2, 3, 4)] == [(6, 6), (0, 0), (0, 0), (3, 1)]
+    assert sorted(got[2].grams) == ["!?", "?!"]
+
+
+def test_parts_of_an_index_follow_its_text():
+    assert [knowledge.part_count(n * 10 ** 9, 12) for n in (0, 1, 10)] == [12, 63, 625]
+
+
 def test_chunk_ids_and_first_metadata(spark, chunks):
     assert {r.chunk_id for r in chunks.collect()} == {f"{s[1]}-c{i + 1}" for i, s in enumerate(SECTIONS)}
     meta = knowledge.document_metadata(chunks, "n").filter("doc_id = 'mat'").first()
