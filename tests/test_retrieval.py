@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterflow import constants as C
-from rosterflow.operators import dialogue, retrieval
+from rosterflow.operators import dialogue, retrieval, scan
 from rosterflow.plans import answering
 from rosterflow.sources import knowledge
 
@@ -117,6 +117,31 @@ def test_pruned_search_scores_few_pairs(spark, monkeypatch):
         assert pruned.filter("question_id < 40").count() < 40 * 600 / 5
 
 
+def test_few_questions_are_scored_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(scan, "ROWS", 7)
+    # Twenty copies of each text, one with bigrams but no terms, one empty.
+    texts = ["学费 在财务处缴纳", "library card the the", "?? !!", "", "食堂 the library"] * 20
+    rows = [(i, f"d{i}", ["FAQ", "POI"][i % 2], "t", "", t, None) for i, t in enumerate(texts, 1)]
+    pool = knowledge.index_chunks(knowledge.ingest(spark.createDataFrame(
+        rows, "n bigint, doc_id string, category string, title string, section string, content string, student_category string"), "n"))
+    asked = [("a", "the library?? !!"), ("b", "学费"), ("c", "zz"), ("d", "")]
+    questions = spark.createDataFrame(asked, "question_id string, question string")
+    for category in (None, "POI"):
+        mine = [r for r in rows if category in (None, r[2])]
+        scored = retrieval.scanned_scores(questions, pool if category is None else pool.filter(f"category = '{category}'"), 3)
+        assert scored.count() <= 3 * len(asked) * scored.rdd.getNumPartitions()
+        got = retrieval.retrieve(questions, pool, 3, category).collect()
+        for q, question in asked:
+            found = sorted((r["rank"], r.chunk_no, r.score) for r in got if r.question_id == q)
+            want = brute(question, mine)[:3]
+            assert [x[1] for x in found] == [w[0] for w in want]
+            assert [x[2] for x in found] == pytest.approx([w[1] for w in want])
+    monkeypatch.setattr(scan, "MOST_CELLS", 1)
+    joined = {(r.question_id, r.chunk_no): (round(r.bm25, 9), r["rank"], r.zero_chunks) for r in retrieval.bm25_scores(questions, pool).collect()}
+    monkeypatch.setattr(scan, "MOST_CELLS", 10 ** 6)
+    assert joined == {(r.question_id, r.chunk_no): (round(r.bm25, 9), r["rank"], r.zero_chunks) for r in retrieval.bm25_scores(questions, pool).collect()}
+
+
 def test_index_is_built_row_by_row(spark, tmp_path):
     texts = [(1, "b a b 学 b a", ""), (2, "?! ?!", ""), (3, None, ""), (4, "a", "x y")]
     spark.createDataFrame(texts, "chunk_no bigint, content string, section string").write.parquet(str(tmp_path / "c"))
