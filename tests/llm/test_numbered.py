@@ -628,3 +628,41 @@ def test_pruned_search_equals_full_scores():
         best = np.lexsort((np.arange(3000), -whole))[:10]
         docs, scores = index.top(terms, idf, 10, np.arange(3000))
         assert np.allclose(scores, whole[best][:len(scores)], atol=2e-6)
+
+
+def test_questions_meet_a_shard_together():
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(2)
+    texts = [np.unique(draw.zipf(1.2, draw.integers(1, 80)) % 900) for _ in range(900)]
+    texts[700:760] = [texts[3]] * 60
+    counts = [draw.integers(1, 5, len(t)) for t in texts]
+    counts[700:760] = [counts[3]] * 60
+    rows = pa.table({"doc_id": np.arange(900), "length": [len(t) for t in texts], "terms": pa.array([t.tolist() for t in texts], pa.list_(pa.int64())),
+                     "counts": pa.array([c.tolist() for c in counts], pa.list_(pa.int32()))})
+    index = search.Index(rows, 20.0)
+    terms, idf = np.arange(950), draw.random(950) * 5
+    # More questions than are multiplied at a time; the last has no term, and the one before no term that a document has.
+    questions = [*texts[:600], np.arange(940, 950), np.zeros(0, int)]
+    asked = search.Asked(np.cumsum([0, *map(len, questions)]), np.concatenate(questions), terms, idf)
+    whole = np.zeros((len(questions), 900))
+    for q, own in enumerate(questions):
+        for d, (t, c) in enumerate(zip(texts, counts)):
+            held = np.isin(t, own)
+            tf = c[held]
+            whole[q, d] = (idf[t[held]] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / 20.0))).sum()
+    whole = np.round(whole, search.DIGITS)
+    tie = draw.permutation(900)
+    for least in (np.zeros(len(questions)), np.sort(whole, 1)[:, -5]):
+        got = {q: (docs, scores) for q, docs, scores in index.tops(asked, 10, tie, least)}
+        for q in range(len(questions)):
+            fits = np.flatnonzero((whole[q] > 0) & (whole[q] >= least[q] - 2e-6))
+            best = fits[np.lexsort((tie[fits], -whole[q][fits]))][:10]
+            docs, scores = got.get(q, ([], []))
+            assert np.allclose(scores, whole[q][best], atol=2e-6) and len(set(docs)) == len(docs)
+            assert np.allclose(whole[q][docs], scores, atol=2e-6)
+    # Of 61 equal texts those with the lowest ids are found.
+    equal = np.array([3, *range(700, 760)])
+    docs = next(docs for q, docs, _ in index.tops(asked, 10, tie, np.zeros(len(questions))) if q == 3)
+    assert list(docs) == list(equal[np.argsort(tie[equal])][:10])
