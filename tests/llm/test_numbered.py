@@ -666,3 +666,28 @@ def test_questions_meet_a_shard_together():
     equal = np.array([3, *range(700, 760)])
     docs = next(docs for q, docs, _ in index.tops(asked, 10, tie, np.zeros(len(questions))) if q == 3)
     assert list(docs) == list(equal[np.argsort(tie[equal])][:10])
+
+
+def test_only_terms_of_both_sides_are_multiplied(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(3)
+    # Four languages of 100 common words each; texts are short or long.
+    texts = [np.unique(draw.integers(0, 100, draw.choice([5, 60]))) + 100 * (d % 4) for d in range(2048)]
+    rows = pa.table({"doc_id": np.arange(2048), "length": [len(t) for t in texts], "terms": pa.array([t.tolist() for t in texts], pa.list_(pa.int64())),
+                     "counts": pa.array([[1] * len(t) for t in texts], pa.list_(pa.int32()))})
+    questions = texts[:1024]
+    asked = search.Asked(np.cumsum([0, *map(len, questions)]), np.concatenate(questions), np.arange(400), draw.random(400) + 1)
+    cells = []
+    product = search.Index._product
+
+    def counted(asks, weights):
+        cells.append(asks.size * weights.shape[1])
+        return product(asks, weights)
+
+    monkeypatch.setattr(search.Index, "_product", staticmethod(counted))
+    found = {q: docs for q, docs, _ in search.Index(rows, 20.0).tops(asked, 10, np.arange(2048), np.zeros(1024))}
+    assert set(found) == set(range(1024)) and all((docs % 4 == q % 4).all() for q, docs in found.items())
+    # All terms are common, so questions x documents x terms cells were multiplied before.
+    assert 0 < sum(cells) < 1024 * 2048 * 400 / 3
